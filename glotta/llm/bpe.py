@@ -11,15 +11,14 @@ tree of its own.
 from __future__ import annotations
 
 import base64
-from collections.abc import Callable, Iterable, Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from glotta.llm.common import broadcast_value, text_bytes
+from glotta.llm.common import broadcast_value, map_texts
 
 #: Longer pieces get a tree of their own.
 SIDE_BY_SIDE = 64
@@ -229,49 +228,47 @@ class BytePairCoder:
 _coders: dict[tuple[str, str], BytePairCoder] = {}
 
 
-def _mapped(df: DataFrame, source: str, new: T.StructField, each: Callable[[pa.Array], pa.Array]) -> DataFrame:
-    """``df`` with the column ``new`` that ``each`` makes of the Arrow column ``source``, which goes."""
-    schema = T.StructType([x for x in df.schema if x.name not in (source, new.name)] + [new])
+def coder_of(ranks_path: str, pattern: str, ranks: dict[bytes, int]) -> BytePairCoder:
+    """This worker's coder of a vocabulary."""
+    if (ranks_path, pattern) not in _coders:
+        _coders[ranks_path, pattern] = BytePairCoder(ranks, pattern)
+    return _coders[ranks_path, pattern]
 
-    def over(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            kept = [batch.column(batch.schema.get_field_index(x.name)) for x in schema[:-1]]
-            made = each(batch.column(batch.schema.get_field_index(source)))
-            yield pa.RecordBatch.from_arrays([*kept, made], names=[x.name for x in schema])
-
-    return df.mapInArrow(over, schema)
 
+def encode(docs: DataFrame, *, ranks_path: str, pattern: str, text_col: str = "text") -> DataFrame:
+    """``docs`` with the token ids of every whole text in ``ids`` (array of int), without special tokens.
 
-def encode(docs: DataFrame, *, ranks_path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, ids array<int>) of every whole text, without special tokens; null counts as empty.
-
-    Empty texts have no ids. Repeated rows are encoded again; an empty table gives an empty one.
+    Null counts as empty; empty texts have no ids. Repeated rows are encoded again; an empty table
+    gives an empty one. A column ``ids`` of ``docs`` is replaced, all others stay.
     """
     ranks = broadcast_value(docs, read_ranks(ranks_path))
-    name = ranks_path, pattern
 
-    def each(texts: pa.Array) -> pa.Array:
-        key = name
-        if key not in _coders:
-            _coders[key] = BytePairCoder(ranks.value, pattern)
-        found = _coders[key].encode_batch([x.decode("utf-8", "replace") for x in texts.to_pylist()])
+    def each(texts: list[bytes]) -> list[pa.Array]:
+        coder = coder_of(ranks_path, pattern, ranks.value)
+        found = coder.encode_batch([x.decode("utf-8", "replace") for x in texts])
         ends = np.cumsum([0, *(len(x) // 4 for x in found)]).astype(np.int32)
-        return pa.ListArray.from_arrays(pa.array(ends), pa.array(np.frombuffer(b"".join(found), np.int32)))
+        return [pa.ListArray.from_arrays(pa.array(ends), pa.array(np.frombuffer(b"".join(found), np.int32)))]
 
-    frame = docs.select(F.col(id_col).alias("doc_id"), text_bytes(text_col).alias("_text"))
-    return _mapped(frame, "_text", T.StructField("ids", T.ArrayType(T.IntegerType())), each)
+    return map_texts(docs, [T.StructField("ids", T.ArrayType(T.IntegerType()))], each, text_col)
 
 
 def decode(encoded: DataFrame, *, ranks_path: str, ids_col: str = "ids") -> DataFrame:
-    """``encoded`` with its ids, and the bytes that they stand for in ``decoded``; null ids give no bytes.
+    """``encoded`` with the bytes that the ids of ``ids_col`` stand for in ``decoded``; null or no ids give no bytes.
 
-    The bytes are those of the text, so casting them to string gives it back.
+    The bytes are those of the text, so casting them to string gives it back. A column ``decoded``
+    is replaced.
     """
-    ranks = broadcast_value(encoded, read_ranks(ranks_path))
+    tokens = broadcast_value(encoded, {i: t for t, i in read_ranks(ranks_path).items()})
+    kept = [x for x in encoded.schema if x.name != "decoded"]
+    schema = T.StructType([*kept, T.StructField("decoded", T.BinaryType())])
 
-    def each(lists: pa.Array) -> pa.Array:
-        tokens = {i: t for t, i in ranks.value.items()}
-        return pa.array([b"".join(map(tokens.__getitem__, ids)) if ids else b"" for ids in lists.to_pylist()], pa.binary())
+    def over(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        get = tokens.value.__getitem__
+        for batch in batches:
+            at = batch.schema.get_field_index
+            lists = batch.column(at(ids_col))
+            values, ends = lists.values.to_pylist(), lists.offsets.to_pylist()
+            made = pa.array([b"".join(map(get, values[a:b])) for a, b in zip(ends, ends[1:])], pa.binary())
+            yield pa.RecordBatch.from_arrays([*(batch.column(at(x.name)) for x in kept), made], names=[x.name for x in schema])
 
-    frame = encoded.withColumn("_ids", F.col(ids_col))
-    return _mapped(frame, "_ids", T.StructField("decoded", T.BinaryType()), each)
+    return encoded.mapInArrow(over, schema)

@@ -4,9 +4,12 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Callable, Iterator
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -57,3 +60,33 @@ def id_crc(col: str = "doc_id", modulus: int = 3) -> Column:
 def broadcast_value(df: DataFrame, value):
     """A broadcast variable of the session that ``df`` belongs to."""
     return df.sparkSession.sparkContext.broadcast(value)
+
+
+def map_texts(
+    df: DataFrame,
+    fields: list[T.StructField],
+    each: Callable[[list[bytes]], list[pa.Array]],
+    text_col: str = "text",
+) -> DataFrame:
+    """``df`` with the columns ``fields``, which ``each`` makes of a batch of whole texts.
+
+    ``each`` gets the UTF-8 bytes (null: empty) of some rows and returns one Arrow array per
+    field. A column of ``df`` with the name of a new field is replaced.
+    """
+    new = {x.name for x in fields}
+    source = "_glotta_text"
+    kept = [x for x in df.schema if x.name not in new]
+    schema = T.StructType([*kept, *fields])
+
+    def over(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            at = batch.schema.get_field_index
+            made = each(batch.column(at(source)).to_pylist())
+            yield pa.RecordBatch.from_arrays([*(batch.column(at(x.name)) for x in kept), *made], names=[x.name for x in schema])
+
+    return df.withColumn(source, text_bytes(text_col)).mapInArrow(over, schema)
+
+
+def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    """A table of the corpus folder."""
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
