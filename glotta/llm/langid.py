@@ -15,11 +15,10 @@ from __future__ import annotations
 import re
 from collections import Counter
 from collections.abc import Iterator
-from dataclasses import dataclass, field
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -27,76 +26,79 @@ from pyspark.sql import types as T
 from glotta.llm.common import broadcast_value, map_texts, materialise, text_bytes
 
 WORDS = re.compile(r"[^\W\d_]+")
-SIZES = (1, 2, 3, 4)
+#: Sizes of the n-grams, in bytes; an n-gram and its size fit a 64-bit number.
+SIZES = (3, 4, 5)
 HASHES = 3
-#: A longer run of letters counts as one word per so many letters.
-LONGEST_WORD = 64
-REMEMBERED = 500_000
+#: Tokens that are judged at a time.
+SLICE = 500_000
 
 
 def words_of(text: bytes) -> list[str]:
-    """Runs of letters in lower case; a very long run counts as several."""
-    found = WORDS.findall(text.decode("utf-8", "replace").lower())
-    if found and max(map(len, found)) > LONGEST_WORD:
-        found = [w[i : i + LONGEST_WORD] for w in found for i in range(0, len(w), LONGEST_WORD)]
-    return found
-
-
-def ngrams(word: str) -> list[str]:
-    """All n-grams of the word between two marks; sizes 1 to 4."""
-    marked = f"_{word}_"
-    return [marked[i : i + n] for n in SIZES for i in range(len(marked) - n + 1) if n > 1 or 0 < i < len(marked) - 1]
+    """Runs of letters in lower case."""
+    return WORDS.findall(text.decode("utf-8", "replace").lower())
+
+
+def ngrams(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """All n-grams of the words, each between two marks, as numbers; and which word each belongs to."""
+    marked = np.frombuffer(f"_{'_'.join(words)}_".encode(), np.uint8)
+    marks = np.concatenate([[0], np.cumsum(marked == ord("_"))])
+    wide = marked.astype(np.uint64)
+    grams, owners = [], []
+    for n in SIZES:
+        at = np.arange(max(0, len(marked) - n + 1))
+        at = at[marks[at + n - 1] == marks[at + 1]]  # no mark inside
+        packed = np.full(len(at), n, np.uint64)
+        for k in range(n):
+            packed = packed << np.uint64(8) | wide[at + k]
+        grams.append(packed)
+        owners.append(marks[at + 1] - 1)
+    return np.concatenate(grams), np.concatenate(owners)
 
 
 @dataclass
 class LanguageFilter:
     languages: list[str]
-    slots: np.ndarray  # 64-bit words
-    known: dict[str, np.ndarray] = field(default_factory=dict)
+    slots: np.ndarray  # 64-bit words, a bit for each language
+
+    def false_rate(self) -> np.ndarray:
+        """The chance that an n-gram in no filter seems to be in a language's."""
+        return self._bits(self.slots).mean(0) ** HASHES
 
-    def __post_init__(self):
-        n = max(1, len(self.languages))
-        bits = (self.slots[:, None] >> np.arange(n, dtype=np.uint64)) & np.uint64(1)
-        self.false_rate = bits.mean(0) ** HASHES
+    def _bits(self, masks: np.ndarray) -> np.ndarray:
+        return (masks[:, None] >> np.arange(len(self.languages), dtype=np.uint64)) & np.uint64(1)
 
-    def places(self, grams: list[str]) -> np.ndarray:
+    def places(self, grams: np.ndarray) -> np.ndarray:
         """HASHES slots of each n-gram, by double hashing."""
-        h = np.fromiter(map(xxhash.xxh3_64_intdigest, grams), np.uint64, len(grams))
-        a, b = h & np.uint64(0xFFFFFFFF), h >> np.uint64(32) | np.uint64(1)
-        return (a[:, None] + b[:, None] * np.arange(HASHES, dtype=np.uint64)) % np.uint64(len(self.slots))
-
-    def counts(self, word: str) -> np.ndarray:
-        """The number of the word's n-grams, and of those in each language's filter."""
-        found = self.known.get(word)
-        if found is None:
-            grams = ngrams(word)
-            masks = np.bitwise_and.reduce(self.slots[self.places(grams).astype(np.int64)], axis=1)
-            hits = (masks[:, None] >> np.arange(len(self.languages), dtype=np.uint64)) & np.uint64(1)
-            found = np.concatenate([[len(grams)], hits.sum(0)]).astype(np.int64)
-            if len(self.known) >= REMEMBERED:
-                self.known.clear()
-            self.known[word] = found
-        return found
-
-    def predict(self, text: bytes) -> tuple[str, float]:
-        """The language and its part of all languages' corrected shares; ``und`` where there is no letter."""
-        words = Counter(words_of(text))
-        if not self.languages or not any(c.isalpha() for w in words for c in w):
-            return "und", 0.0
-        total = np.array(list(words.values())) @ np.stack([self.counts(w) for w in words])
-        shares = np.clip((total[1:] / total[0] - self.false_rate) / np.maximum(1 - self.false_rate, 1e-9), 0, 1)
-        k = int(shares.argmax())
-        # the share of a language is close to one in its own text and lower in others': weigh the gap
-        odds = np.exp(-(shares[k] - shares) * 30)
-        return self.languages[k], float(np.clip(1 / odds.sum(), 0, 1))
-
-    def __getstate__(self):
-        return self.languages, self.slots
-
-    def __setstate__(self, state):
-        self.languages, self.slots = state
-        self.known = {}
-        self.__post_init__()
+        h = grams * np.uint64(0x9E3779B97F4A7C15)
+        h = (h ^ (h >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)
+        a, b = h >> np.uint64(33), h & np.uint64(0xFFFFFFFF) | np.uint64(1)
+        return ((a[:, None] + b[:, None] * np.arange(HASHES, dtype=np.uint64)) % np.uint64(len(self.slots))).astype(np.int64)
+
+    def counts(self, words: list[str]) -> np.ndarray:
+        """For each word the number of its n-grams, and of those in each language's filter."""
+        grams, owners = ngrams(words)
+        hits = self._bits(np.bitwise_and.reduce(self.slots[self.places(grams)], axis=1))
+        columns = [np.bincount(owners, minlength=len(words))]
+        columns += [np.bincount(owners, hits[:, k], len(words)) for k in range(len(self.languages))]
+        return np.column_stack(columns)
+
+    def predict(self, texts: list[list[str]], false_rate: np.ndarray) -> list[tuple[str, float]]:
+        """The language of each text, given as words, and its weight among all; ``und`` where there is no letter."""
+        if not self.languages:
+            return [("und", 0.0)] * len(texts)
+        flat = pa.array([w for x in texts for w in x], pa.string()).dictionary_encode()
+        distinct = flat.dictionary.to_pylist()
+        counts = self.counts(distinct) if distinct else np.zeros((0, len(self.languages) + 1))
+        sums = np.concatenate([np.zeros((1, counts.shape[1])), np.cumsum(counts[flat.indices.to_numpy()], axis=0)])
+        ends = np.cumsum([0, *map(len, texts)])
+        total = sums[ends[1:]] - sums[ends[:-1]]
+        shares = np.clip((total[:, 1:] / np.maximum(total[:, :1], 1) - false_rate) / np.maximum(1 - false_rate, 1e-9), 0, 1)
+        best = shares.argmax(1)
+        # an own text has a share close to one, which others' texts share in part: weigh the gaps
+        odds = np.exp((shares - shares.max(1, keepdims=True)) * 30)
+        weight = 1 / odds.sum(1)
+        lettered = [any(c.isalpha() for w in x for c in w) for x in texts]
+        return [(self.languages[k], float(w)) if ok else ("und", 0.0) for k, w, ok in zip(best, weight, lettered, strict=True)]
 
 
 def word_counts(docs: DataFrame, lang_col: str, text_col: str, held: int = 200_000) -> DataFrame:
@@ -127,15 +129,15 @@ def gram_counts(words: DataFrame) -> DataFrame:
 
     def over(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            counts: Counter = Counter()
-            for lang, word, n in zip(*(batch.column(k).to_pylist() for k in range(3)), strict=True):
-                for gram in ngrams(word):
-                    counts[gram, lang] += n
-            if counts:
-                grams, langs = zip(*counts, strict=True)
-                yield pa.RecordBatch.from_arrays([pa.array(grams), pa.array(langs), pa.array(counts.values(), pa.int64())], names=["gram", "lang", "n"])
+            langs, words, n = (np.array(batch.column(k).to_pylist()) for k in range(3))
+            for lang in np.unique(langs):
+                own = langs == lang
+                grams, owners = ngrams(words[own].tolist())
+                distinct, place = np.unique(grams, return_inverse=True)
+                sums = np.bincount(place, n[own][owners]).astype(np.int64)
+                yield pa.RecordBatch.from_arrays([pa.array(distinct.view(np.int64)), pa.array([str(lang)] * len(distinct)), pa.array(sums)], names=["gram", "lang", "n"])
 
-    return words.select("lang", "word", "n").mapInArrow(over, "gram string, lang string, n bigint").groupBy("gram", "lang").agg(F.sum("n").alias("n"))
+    return words.select("lang", "word", "n").mapInArrow(over, "gram bigint, lang string, n bigint").groupBy("gram", "lang").agg(F.sum("n").alias("n"))
 
 
 def fit(docs: DataFrame, *, where: Column | None = None, lang_col: str = "lang", text_col: str = "text", least_rate: float = 2e-5, least_part: float = 0.05, slots: int = 1 << 20) -> LanguageFilter:
@@ -152,10 +154,11 @@ def fit(docs: DataFrame, *, where: Column | None = None, lang_col: str = "lang",
         rated = grams.join(F.broadcast(sums), "lang").select("gram", "lang", (F.col("n") / F.col("total")).alias("rate"))
         peak = rated.groupBy("gram").agg(F.max("rate").alias("peak"), F.collect_list(F.struct("lang", "rate")).alias("all")).where(F.col("peak") >= least_rate)
         chosen = F.filter("all", lambda x: (x["rate"] >= least_rate) & (x["rate"] >= least_part * F.col("peak")))
-        for gram, langs in peak.select("gram", F.transform(chosen, lambda x: x["lang"])).toLocalIterator():
-            mask = np.uint64(sum(1 << languages.index(x) for x in langs))
-            out.slots[out.places([gram])[0].astype(np.int64)] |= mask
-        out.__post_init__()
+        bits = {x: 1 << k for k, x in enumerate(languages)}
+        rows = peak.select("gram", F.transform(chosen, lambda x: x["lang"]).alias("langs")).collect()
+        masks = np.array([sum(map(bits.__getitem__, r["langs"])) for r in rows], np.uint64)
+        for at in out.places(np.array([r["gram"] for r in rows], np.int64).view(np.uint64)).T:
+            np.bitwise_or.at(out.slots, at, masks)
     return out
 
 
@@ -166,10 +169,17 @@ def predict(docs: DataFrame, model: LanguageFilter, *, text_col: str = "text") -
     nothing was learned. Of tied languages the first by name is taken. Other columns stay, but
     for those named as a new one.
     """
-    shared = broadcast_value(docs, model)
+    shared = broadcast_value(docs, (model, model.false_rate() if model.languages else None))
 
     def each(texts: list[bytes]) -> list[pa.Array]:
-        found = [shared.value.predict(x) for x in texts]
+        found, held, size = [], [], 0
+        for text in texts:
+            held.append(words_of(text))
+            size += len(held[-1])
+            if size >= SLICE:
+                found += shared.value[0].predict(held, shared.value[1])
+                held, size = [], 0
+        found += shared.value[0].predict(held, shared.value[1])
         return [pa.array([x for x, _ in found], pa.string()), pa.array([x for _, x in found], pa.float64())]
 
     return map_texts(docs, [T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())], each, text_col)

@@ -13,6 +13,8 @@ Each document is rewritten by itself: no shuffle, no Python.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -24,7 +26,7 @@ _DATE_RADICES, _FIRST_DAY = (17, 4297), "1900-01-01"
 #: What a value of each kind looks like; the order decides where several would fit.
 KINDS = {
     "email": r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]{1,64}+@(?:[A-Za-z0-9-]{1,63}+\.){1,8}+[A-Za-z]{2,24}",
-    "secret": r"(?<![0-9A-Za-z])(?:[0-9a-f]{32,128}+|[0-9A-F]{32,128}+)(?![0-9A-Za-z])",
+    "secret": r"(?<![0-9A-Za-z])(?=[a-fA-F]{0,127}+[0-9])(?:[0-9a-f]{32,128}+|[0-9A-F]{32,128}+)(?![0-9A-Za-z])",
     "ip": r"(?<![0-9.])(?:[0-9]{1,3}+\.){3}[0-9]{1,3}+(?![0-9]|\.[0-9])",
     "date": r"(?<![0-9-])(?:19|20)[0-9]{2}-[0-9]{2}-[0-9]{2}(?![0-9-])|(?<![0-9./])[0-9]{2}(?<sep>[./])[0-9]{2}\k<sep>(?:19|20)[0-9]{2}(?![0-9])",
     "phone": r"\+[0-9]{1,3}+[ .-]?+\([0-9]{2,4}\)[ .-]?+[0-9]{3}[ .-]?+[0-9]{4}(?![0-9])|\([0-9]{3}\)[ .-]?+[0-9]{3}-[0-9]{4}(?![0-9])|(?<![0-9+.-])[0-9]{3}[.-][0-9]{3}[.-][0-9]{4}(?![0-9])",
@@ -33,54 +35,70 @@ KINDS = {
 _PATTERN = "|".join(f"(?:{p})" for p in KINDS.values())
 
 
+def _let(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use`` of a value that is computed once; within a lambda Spark would compute it at each mention."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
 def _digits(value: Column) -> Column:
     return F.regexp_replace(value, "[^0-9]", "")
 
 
 def _luhn_sum(digits: Column) -> Column:
     """The Luhn sum of digits that a check digit follows."""
-    places = F.sequence(F.lit(1), F.length(digits))
 
-    def add(total, i):
-        d = F.substring(F.reverse(digits), i, F.lit(1)).cast("int") * F.when(i % 2 == 1, 2).otherwise(1)
-        return total + F.when(d > 9, d - 9).otherwise(d)
+    def add(state, c):
+        d = c.cast("int") * F.when(state["i"] % 2 == 1, 2).otherwise(1)
+        more = F.when(d > 9, d - 9).otherwise(d)
+        return F.struct((state["total"] + more).alias("total"), (state["i"] + 1).alias("i"))
 
-    return F.aggregate(places, F.lit(0), add)
+    start = F.struct(F.lit(0).alias("total"), F.lit(1).alias("i"))
+    return F.aggregate(_chars(F.reverse(digits)), start, add, lambda state: state["total"])
 
 
 def _luhn_ok(value: Column) -> Column:
-    digits = _digits(value)
-    body = F.substring(digits, F.lit(1), F.length(digits) - 1)
-    return (_luhn_sum(body) + F.right(digits, F.lit(1)).cast("int")) % 10 == 0
+
+    def ok(digits: Column) -> Column:
+        body = F.substring(digits, F.lit(1), F.length(digits) - 1)
+        return (_luhn_sum(body) + F.right(digits, F.lit(1)).cast("int")) % 10 == 0
+
+    return _let(_digits(value), ok)
 
 
 def feistel(values: Column, radices: Column, key: str, kind: str, rounds: int = ROUNDS) -> Column:
     """Permutes rows of digits; ``values[i]`` is below ``radices[i]``, both are arrays of int."""
-    cut = (F.size(values) / 2).cast("int")
-    left_radices, right_radices = F.slice(radices, 1, cut), F.slice(radices, cut + 1, F.size(radices) - cut)
-    start = F.struct(F.slice(values, 1, cut).alias("a"), F.slice(values, cut + 1, F.size(values) - cut).alias("b"))
+
+    def halves(x: Column) -> Column:
+        cut = (F.size(x) / 2).cast("int")
+        return F.struct(F.slice(x, 1, cut).alias("a"), F.slice(x, cut + 1, F.size(x) - cut).alias("b"))
 
     def shifted(half: Column, limits: Column, other: Column, turn: Column) -> Column:
-        said = F.concat_ws(",", F.lit(f"{key}|{kind}"), turn.cast("string"), F.array_join(F.transform(other, lambda x: x.cast("string")), "."))
+        said = F.concat_ws(",", F.lit(f"{key}|{kind}"), turn.cast("string"), F.array_join(other.cast("array<string>"), "."), F.lit("#"))
+
+        def shift(said: Column) -> Column:
+            def one(x: Column, i: Column) -> Column:
+                # 48 bits of the digest: what a radix of 4297 leaves uneven is below one in 10^10
+                word = F.conv(F.substring(F.sha2(F.concat(said, i.cast("string")), 256), 1, 12), 16, 10).cast("bigint")
+                return F.pmod(x + word, F.get(limits, i)).cast("int")
+
+            return F.transform(half, one)
 
-        def shift(x: Column, i: Column) -> Column:
-            # 48 bits of the digest: what a radix of 4297 leaves uneven is below one in 10^10
-            word = F.conv(F.substring(F.sha2(F.concat(said, F.lit("#"), i.cast("string")), 256), 1, 12), 16, 10).cast("bigint")
-            return F.pmod(x + word, F.get(limits, i)).cast("int")
+        return _let(said, shift)
 
-        return F.transform(half, shift)
+    def permuted(limits: Column) -> Column:
+        def turned(state: Column, turn: Column) -> Column:
+            even = F.struct(shifted(state["a"], limits["a"], state["b"], turn).alias("a"), state["b"].alias("b"))
+            odd = F.struct(state["a"].alias("a"), shifted(state["b"], limits["b"], state["a"], turn).alias("b"))
+            return F.when(turn % 2 == 0, even).otherwise(odd)
 
-    def turned(state: Column, turn: Column) -> Column:
-        even = F.struct(shifted(state["a"], left_radices, state["b"], turn).alias("a"), state["b"].alias("b"))
-        odd = F.struct(state["a"].alias("a"), shifted(state["b"], right_radices, state["a"], turn).alias("b"))
-        return F.when(turn % 2 == 0, even).otherwise(odd)
+        turns = F.array(*(F.lit(k) for k in range(rounds)))
+        return F.aggregate(turns, _let(values, halves), turned, lambda state: F.concat(state["a"], state["b"]))
 
-    turns = F.array(*(F.lit(k) for k in range(rounds)))
-    return F.aggregate(turns, start, turned, lambda state: F.concat(state["a"], state["b"]))
+    return _let(_let(radices, halves), permuted)
 
 
 def _chars(value: Column) -> Column:
-    return F.transform(F.sequence(F.lit(1), F.length(value)), lambda i: F.substring(value, i, F.lit(1)))
+    return F.split(value, "")
 
 
 def _permuted(value: Column, key: str, kind: str, alphabets: list[str]) -> Column:
@@ -92,11 +110,13 @@ def _permuted(value: Column, key: str, kind: str, alphabets: list[str]) -> Colum
             out = F.when(F.instr(F.lit(a), c) > 0, F.lit(a)).otherwise(out)
         return out
 
-    chars = _chars(value)
-    values = F.transform(chars, lambda c: F.coalesce(F.instr(of(c), c) - 1, F.lit(0)))
-    radices = F.transform(chars, lambda c: F.coalesce(F.length(of(c)), F.lit(1)))
-    new = feistel(values, radices, key, kind)
-    return F.array_join(F.zip_with(chars, new, lambda c, v: F.coalesce(F.substring(of(c), v + 1, F.lit(1)), c)), "")
+    def moved(chars: Column) -> Column:
+        values = F.transform(chars, lambda c: F.coalesce(F.instr(of(c), c) - 1, F.lit(0)))
+        radices = F.transform(chars, lambda c: F.coalesce(F.length(of(c)), F.lit(1)))
+        new = feistel(values, radices, key, kind)
+        return F.array_join(F.zip_with(chars, new, lambda c, v: F.coalesce(F.substring(of(c), v + 1, F.lit(1)), c)), "")
+
+    return _let(_chars(value), moved)
 
 
 def _email(value: Column, key: str) -> Column:
@@ -110,32 +130,44 @@ def _secret(value: Column, key: str) -> Column:
 
 
 def _ip(value: Column, key: str) -> Column:
-    octets = F.transform(F.split(value, r"\."), lambda x: x.cast("int"))
-    new = feistel(octets, F.array(*[F.lit(256)] * 4), key, "ip")
-    return F.when(F.forall(octets, lambda x: x < 256), F.array_join(F.transform(new, lambda x: x.cast("string")), "."))
+    def moved(octets: Column) -> Column:
+        new = feistel(octets, F.array(*[F.lit(256)] * 4), key, "ip")
+        return F.when(F.forall(octets, lambda x: x < 256), F.array_join(new.cast("array<string>"), "."))
 
+    return _let(F.transform(F.split(value, r"\."), lambda x: x.cast("int")), moved)
 
-def _date(value: Column, key: str) -> Column:
-    out = F.lit(None).cast("string")
-    for sign, form in (("-", "yyyy-MM-dd"), (".", "dd.MM.yyyy"), ("/", "MM/dd/yyyy")):
-        # a form with another separator must not be parsed with this one
-        day = F.datediff(F.try_to_timestamp(F.when(F.instr(value, sign) > 0, value), F.lit(form)).cast("date"), F.lit(_FIRST_DAY).cast("date"))
-        a, b = _DATE_RADICES
+
+def _date_of_form(value: Column, key: str, sign: str, form: str) -> Column:
+    a, b = _DATE_RADICES
+    first = F.lit(_FIRST_DAY).cast("date")
+
+    def shown(digits: Column) -> Column:
+        return F.date_format(F.date_add(first, F.get(digits, F.lit(1)) * a + F.get(digits, F.lit(0))), form)
+
+    def moved(day: Column) -> Column:
         new = feistel(F.array(F.pmod(day, F.lit(a)), (day / a).cast("int")), F.array(F.lit(a), F.lit(b)), key, "date")
-        moved = F.date_format(F.date_add(F.lit(_FIRST_DAY).cast("date"), F.get(new, F.lit(1)) * a + F.get(new, F.lit(0))), form)
-        out = F.when(day.isNotNull(), moved).otherwise(out)
-    return out
+        return F.when(day.isNotNull(), _let(new, shown))
+
+    # a form with another separator must not be parsed with this one
+    return _let(F.datediff(F.try_to_timestamp(F.when(F.instr(value, sign) > 0, value), F.lit(form)).cast("date"), first), moved)
+
+
+def _date(value: Column, key: str) -> Column:
+    forms = (("-", "yyyy-MM-dd"), (".", "dd.MM.yyyy"), ("/", "MM/dd/yyyy"))
+    return F.coalesce(*(_date_of_form(value, key, sign, form) for sign, form in forms))
 
 
 def _phone(value: Column, key: str) -> Column:
     country = F.regexp_extract(value, r"^\+[0-9]{1,3}", 0)
-    return F.concat(country, _permuted(F.substring(value, F.length(country) + 1, F.length(value)), key, "phone", [_DIGITS]))
+    return _let(country, lambda c: F.concat(c, _permuted(F.substring(value, F.length(c) + 1, F.length(value)), key, "phone", [_DIGITS])))
 
 
 def _card(value: Column, key: str) -> Column:
+    def checked(body: Column) -> Column:
+        return F.concat(body, F.pmod(10 - _luhn_sum(_digits(body)) % 10, F.lit(10)).cast("string"))
+
     body = _permuted(F.substring(value, F.lit(1), F.length(value) - 1), key, "card", [_DIGITS])
-    check = F.pmod(10 - _luhn_sum(_digits(body)) % 10, F.lit(10))
-    return F.when(_luhn_ok(value), F.concat(body, check.cast("string")))
+    return F.when(_luhn_ok(value), _let(body, checked))
 
 
 _NEW = {"email": _email, "secret": _secret, "ip": _ip, "date": _date, "phone": _phone, "card": _card}
@@ -151,21 +183,24 @@ def _kind(value: Column) -> Column:
 def pseudonymise(docs: DataFrame, *, key: str, text_col: str = "text") -> DataFrame:
     """``docs`` with its personal values replaced in the text, and ``n_values``, the number replaced.
 
-    Kinds: e-mail addresses (the part before @), hexadecimal secrets of 32 to 128 digits, IPv4
+    Kinds: e-mail addresses (the part before @), hexadecimal secrets of 32 to 128 digits (one decimal at least), IPv4
     addresses, dates from 1900 to 2099, phone numbers (after the country), card numbers of 13
     to 19 digits (the check digit follows). What fails its validation is no value and stays. A
     null text stays null with no values; an empty one stays empty. Repeated rows are rewritten
     alike. All columns stay, but for one named ``n_values``.
     """
     text = F.col(text_col).cast("string")
-    values = F.regexp_extract_all(text, F.lit(_PATTERN), F.lit(0))
+    # every value has an @ or a digit; most texts have neither, and skip the pattern
+    values = F.when(text.contains("@") | text.rlike("[0-9]"), F.regexp_extract_all(text, F.lit(_PATTERN), F.lit(0)))
 
     def judged(value: Column) -> Column:
-        kind = _kind(value)
-        new = F.lit(None).cast("string")
-        for name, make in _NEW.items():
-            new = F.when(kind == name, make(value, key)).otherwise(new)
-        return F.struct(value.alias("value"), kind.alias("kind"), new.alias("new"))
+        def of_kind(kind: Column) -> Column:
+            new = F.lit(None).cast("string")
+            for name, make in _NEW.items():
+                new = F.when(kind == name, make(value, key)).otherwise(new)
+            return F.struct(value.alias("value"), kind.alias("kind"), new.alias("new"))
+
+        return _let(_kind(value), of_kind)
 
     found = F.transform(F.coalesce(values, F.array().cast("array<string>")), judged)
     pieces = F.split(text, _PATTERN, -1)
