@@ -144,15 +144,15 @@ def rtf_plain(body: Column) -> Column:
 
 def legacy_texts(files: DataFrame) -> DataFrame:
     """(path, text) of old binary documents: readable runs in 8-bit or 16-bit text, whichever has more letters, without noise lines."""
-    run = r"[\t -~À-ÿœŒ’]{4,}"
+    body = F.decode("content", "ISO-8859-1")
+    letters = lambda x: F.length(F.regexp_replace(x, r"[^\p{L}]", ""))
 
-    def lines(text: Column) -> Column:
-        found = F.transform(F.regexp_extract_all(text, F.lit(run), F.lit(0)), X.trimmed)
-        letters = lambda x: F.length(F.regexp_replace(x, r"[^\p{L}]", ""))
+    def lines(pattern: str) -> Column:
+        # 16-bit text of Western letters has a zero after every byte
+        found = F.transform(F.regexp_extract_all(body, F.lit(pattern), F.lit(0)), lambda x: X.trimmed(F.regexp_replace(x, r"\x00", "")))
         return F.array_join(F.filter(found, lambda x: (F.length(x) >= 3) & (letters(x) >= 0.45 * F.length(x))), "\n")
 
-    narrow, wide = lines(F.decode("content", "ISO-8859-1")), lines(F.decode("content", "UTF-16LE"))
-    size = lambda x: F.length(F.regexp_replace(x, r"[^\p{L}]", ""))
+    narrow, wide, size = lines(r"[\t -~À-ÿ]{4,}"), lines(r"(?:[\t -~À-ÿ]\x00){4,}"), letters
     best = F.when(size(F.col("wide")) > size(F.col("narrow")), F.col("wide")).otherwise(F.col("narrow"))
     rows = files.where("accepted and kind in ('doc', 'ppt', 'ole')").select("path", narrow.alias("narrow"), wide.alias("wide"))
     return rows.select("path", best.alias("text")).where(F.length("text") >= 20)
