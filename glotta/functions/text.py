@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import unicodedata
 
 from pyspark.sql import Column
@@ -20,8 +21,26 @@ _PLAIN = "".join(unicodedata.normalize("NFD", c)[0] for c in _ACCENTED)
 
 
 def ascii_rule(pattern: str) -> str:
-    r"""A rule whose ``\b`` and ``\s`` have the ECMAScript meaning, for Spark; case is folded in all alphabets."""
-    return "(?iu)" + pattern.replace(r"\b", BOUNDARY).replace(r"\s", WS)
+    r"""A rule whose ``\b`` and ``\s`` have the ECMAScript meaning, for Spark; case is folded in all alphabets.
+
+    Where what follows or precedes a boundary can only be an ASCII word character, one look-around is enough.
+    """
+    pieces = pattern.split(r"\b")
+    out = pieces[0]
+    for before, after in zip(pieces, pieces[1:]):
+        if _all_ascii(re.match(r"(\\w|[0-9A-Za-z_])|\(([^()\\]*)\)", after), 0):
+            out += "(?<![0-9A-Za-z_])"
+        elif _all_ascii(re.search(r"(\\w\+?|(?<!\\)[0-9A-Za-z_])$|\(([^()\\]*)\)$", before), -1):
+            out += "(?![0-9A-Za-z_])"
+        else:
+            out += BOUNDARY
+        out += after
+    return "(?iu)" + out.replace(r"\s", WS)
+
+
+def _all_ascii(found: re.Match | None, at: int) -> bool:
+    """Whether a match is a word character, or a group whose alternatives all have one at the end ``at``."""
+    return bool(found) and (found[2] is None or all(x and x[at].isascii() and x[at].isalnum() for x in found[2].split("|")))
 
 
 def quoted(text: Column) -> Column:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
@@ -48,3 +48,50 @@ def map_stats(vocab: DataFrame) -> DataFrame:
         F.count_if("in_lexicon").alias("n_in_lexicon"),
         F.count_if(F.col("gloss") == "").alias("n_without_gloss"),
     )
+
+
+def filter_vocabulary(vocab: DataFrame, *, level: str | None = None, pos: str | None = None, keyword: str = "", most: int = 300) -> DataFrame:
+    """The first rows of a vocabulary table by level, part of speech and a keyword in lemma or gloss."""
+    word = F.lit(keyword.lower())
+    kept = vocab.where(F.contains("lemma", word) | F.contains(F.lower("gloss"), word))
+    kept = kept.where(F.col("level") == level) if level else kept
+    kept = kept.where(F.col("pos") == pos) if pos else kept
+    return kept.orderBy(F.desc("n"), "doc_id", "first_pos").limit(most)
+
+
+def skill_scores(docs: DataFrame, hits: DataFrame, issues: DataFrame) -> DataFrame:
+    """(doc_id, n_rules, grammar, n_errors, correctness): the range of structures (0 to 1, full at eight) and 100 less six for each error."""
+    rules = hits.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n_rules"))
+    errors = issues.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n_errors"))
+    n_rules, n_errors = F.coalesce("n_rules", F.lit(0)), F.coalesce("n_errors", F.lit(0))
+    return docs.select("doc_id").join(rules, "doc_id", "left").join(errors, "doc_id", "left").select(
+        "doc_id",
+        n_rules.alias("n_rules"),
+        F.least(F.lit(1.0), n_rules / 8.0).alias("grammar"),
+        n_errors.alias("n_errors"),
+        F.greatest(F.lit(0), 100 - 6 * n_errors).alias("correctness"),
+    )
+
+
+def conjugation_mastery(cards: DataFrame, by: str) -> DataFrame:
+    """(by, percent): the share of verb cards (pos) that were reviewed more than once."""
+    verbs = cards.where("pos = 'v'").groupBy(by).agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("reps") > 1).alias("k"))
+    return verbs.select(by, _percent(F.col("k"), F.col("n")).alias("percent"))
+
+
+def shuffled(rows: DataFrame, seed: int, *keys: str) -> DataFrame:
+    """``rows`` in an order that the seed and the keys decide."""
+    return rows.orderBy(F.xxhash64(F.lit(seed), *keys), *keys)
+
+
+def until_failures(pages: DataFrame, group: str, order: str, failed: str, most: int = 3) -> DataFrame:
+    """The rows of each group up to the one where ``most`` have failed; later ones are left out."""
+    before = W.partitionBy(group).orderBy(order).rowsBetween(W.unboundedPreceding, -1)
+    return pages.withColumn("_failed", F.coalesce(F.sum(F.col(failed).cast("int")).over(before), F.lit(0))).where(F.col("_failed") < most).drop("_failed")
+
+
+def format_size(n: Column | str) -> Column:
+    """Bytes as B, KB or MB."""
+    n = F.col(n) if isinstance(n, str) else n
+    shown = lambda x, unit: F.concat(F.round(x, 1).cast("decimal(20,1)").cast("string"), F.lit(unit))
+    return F.when(n < 1024, F.concat(n, F.lit(" B"))).when(n < 2**20, shown(n / 1024, " KB")).otherwise(shown(n / 2**20, " MB"))

@@ -310,6 +310,9 @@ def oracle_sql() -> dict[str, str]:
         "grammar_hits": _with(_GRAMMAR) + " SELECT doc_id, rule, level, len(hits)::BIGINT AS n FROM rules WHERE len(hits) > 0",
         "grammar_samples": _with(_GRAMMAR) + f" SELECT doc_id, rule, array_to_string({_distinct_first('hits', 3)}, '|') AS samples FROM rules WHERE len(hits) > 0",
         "error_hits": errors + f", numbered AS (SELECT *, row_number() OVER (PARTITION BY doc_id, error ORDER BY ord) AS k FROM issues) SELECT doc_id, error, {level} AS level, count(*) AS n, string_agg(snippet, '|' ORDER BY ord) FILTER (WHERE k <= 4) AS samples FROM numbered GROUP BY doc_id, error",
+        "vocab_filter": fr + " SELECT doc_id, lemma, n FROM vocab WHERE level = 'B1' AND pos = 'n' AND (contains(lemma, 'tion') OR contains(lower(gloss), 'tion')) ORDER BY n DESC, doc_id, first_pos LIMIT 300",
+        "skill_scores": errors + "," + _GRAMMAR + ", r AS (SELECT doc_id, count(*) AS n_rules FROM rules WHERE len(hits) > 0 GROUP BY doc_id), i AS (SELECT doc_id, count(*) AS n_errors FROM issues GROUP BY doc_id) SELECT d.doc_id, coalesce(n_rules, 0) AS n_rules, least(1.0::DOUBLE, coalesce(n_rules, 0) / 8.0::DOUBLE) AS grammar, coalesce(n_errors, 0) AS n_errors, greatest(0, 100 - 6 * coalesce(n_errors, 0)) AS correctness FROM documents d LEFT JOIN r ON r.doc_id = d.doc_id LEFT JOIN i ON i.doc_id = d.doc_id",
+        "file_sizes": "WITH s AS (SELECT doc_id, strlen(coalesce(text, '')) * 100 AS n FROM documents) SELECT doc_id, CASE WHEN n < 1024 THEN n || ' B' WHEN n < 1048576 THEN round(n / 1024.0::DOUBLE, 1)::DECIMAL(20, 1)::VARCHAR || ' KB' ELSE round(n / 1048576.0::DOUBLE, 1)::DECIMAL(20, 1)::VARCHAR || ' MB' END AS size FROM s",
         "french_clean": f"SELECT doc_id, {_repaired()} AS text FROM documents",
         "text_quality": f"WITH w AS (SELECT doc_id, regexp_extract_all(lower(coalesce(text, '')), '[a-zà-ÿ]{{2,}}') AS words, len(regexp_extract_all(coalesce(text, ''), '[àâäéèêëîïôöùûüçœÀÂÄÉÈÊËÎÏÔÖÙÛÜÇŒ]')) AS accents FROM documents), h AS (SELECT doc_id, len(words) AS n, accents, len(list_filter(words, lambda x: list_contains({_q(FRENCH_HINTS)}, x))) AS hints FROM w) SELECT doc_id, CASE WHEN n = 0 THEN 'empty' WHEN n < 8 OR (hints < 0.06::DOUBLE * n AND accents < 3) THEN 'low' ELSE 'ok' END AS quality FROM h",
         "html_text": f"SELECT page_id, {_html()} AS text FROM pages",

@@ -115,6 +115,20 @@ def error_hits(spark, sf_dir):
     return found.select("doc_id", "error", "level", "n", F.array_join("samples", "|").alias("samples"))
 
 
+def vocab_filter(spark, sf_dir):
+    found = reports.filter_vocabulary(_vocab(spark, sf_dir, "fr"), level="B1", pos="n", keyword="Tion")
+    return found.select("doc_id", "lemma", "n")
+
+
+def skill_scores(spark, sf_dir):
+    docs = _docs(spark, sf_dir)
+    return reports.skill_scores(docs, grammar.grammar_hits(docs), errors.error_issues(docs, *_dims(spark)))
+
+
+def file_sizes(spark, sf_dir):
+    return _docs(spark, sf_dir).select("doc_id", reports.format_size(F.octet_length(F.coalesce("text", F.lit(""))) * 100).alias("size"))
+
+
 def french_clean(spark, sf_dir):
     return _docs(spark, sf_dir).select("doc_id", X.french_clean(F.col("text")).alias("text"))
 
@@ -234,7 +248,7 @@ def gen_passage(spark, sf_dir):
 
 ALL: list[Callable[[SparkSession, str], DataFrame]] = [
     token_counts, elisions, sentence_stats, word_stats, vocab_topk, vocab_levels, proper_nouns, vocab_example, vocab_summary,
-    deck_additions, lexicon_coverage, grammar_hits, grammar_samples, error_hits, french_clean, text_quality, html_text, accent_free,
+    vocab_filter, skill_scores, file_sizes, deck_additions, lexicon_coverage, grammar_hits, grammar_samples, error_hits, french_clean, text_quality, html_text, accent_free,
     conjugation_table, verb_form_index, srs_state, due_today, due_forecast, study_plan, learner_report, weak_list, mastery,
     rate_limit_daily, tumbling_daily, backup_merge, grade_answers, target_used, page_ranges, anki_rows, backup_json,
     quiz_distractors, quiz_questions, gen_passage,

@@ -90,3 +90,12 @@ def test_gloss_table_keeps_the_first(spark, tmp_path):
     batch = spark.createDataFrame([("a", "two"), ("b", "bee"), ("c", "")], "lemma string, gloss string")
     streams.merged_glosses(batch, path)(batch, 0)
     assert {tuple(r) for r in spark.read.parquet(path).collect()} == {("a", "one"), ("b", "bee")}
+
+
+def test_orders_and_stops(spark):
+    rows = spark.createDataFrame([("f", k, k in (0, 2, 3)) for k in range(6)], "path string, page int, failed boolean")
+    assert [r["page"] for r in reports.until_failures(rows, "path", "page", "failed").orderBy("page").collect()] == [0, 1, 2, 3]
+    first, again = ([r["page"] for r in reports.shuffled(rows, seed, "page").collect()] for seed in (1, 1))
+    assert first == again and sorted(first) == list(range(6))
+    cards = spark.createDataFrame([(1, "v", 2), (1, "v", 1), (1, "n", 9)], "learner_id int, pos string, reps int")
+    assert reports.conjugation_mastery(cards, "learner_id").first()["percent"] == 50
