@@ -11,10 +11,11 @@ tree of its own.
 from __future__ import annotations
 
 import base64
-from collections.abc import Iterable, Iterator
+from collections.abc import Iterable, Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
@@ -26,8 +27,17 @@ SIDE_BY_SIDE = 64
 NONE = np.int32(2**31 - 1)
 NO_RANK = np.int32(2**24)
 POS_BITS = 32
-#: Pieces remembered by a worker; the memory is emptied when it is full.
-REMEMBERED = 1_000_000
+#: Chunks of text remembered by a worker; the memory is emptied when it is full.
+REMEMBERED = 600_000
+#: The pattern for which a cut before every single space is known to leave the pieces as they are.
+SPACE_CUT_PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
+_AFTER_SPACE_ASCII = [" " + c for c in " \t\n\x0b\x0c\r\x1c\x1d\x1e\x1f"]
+_AFTER_SPACE = [" " + chr(c) for c in (0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000)]
+
+
+def _amid_white(text: str) -> bool:
+    """Whether white space stands after a space, so that the space can be amid a run of it."""
+    return any(x in text for x in _AFTER_SPACE_ASCII) or not text.isascii() and any(x in text for x in _AFTER_SPACE)
 
 
 def read_ranks(path: str) -> dict[bytes, int]:
@@ -44,6 +54,8 @@ class BytePairCoder:
 
         # \s of the vocabulary's own engine is the White_Space property
         self.pieces = regex.compile(pattern.replace(r"[^\s", r"[^\p{White_Space}").replace(r"\s", r"\p{White_Space}").replace(r"\S", r"\P{White_Space}")).findall
+        # this pattern's pieces never go on over a space after another character, so a text can be cut there
+        self.cuts_at_spaces = pattern == SPACE_CUT_PATTERN
         self.ranks = ranks
         self.tokens = {i: t for t, i in ranks.items()}
         self.byte_id = np.array([ranks[bytes([b])] for b in range(256)], np.int32)
@@ -91,7 +103,7 @@ class BytePairCoder:
             taken = left[self.slot_keys[slot[left]] != keys[left]]
             slot[taken] = (slot[taken] + 1) & (len(self.slot_keys) - 1)
 
-    def merge_side_by_side(self, pieces: list[bytes]) -> list[bytes]:
+    def merge_side_by_side(self, pieces: Sequence[bytes]) -> list[bytes]:
         """The ids of each piece as int32 bytes; the trees of all pieces are one flat array."""
         n, width = len(pieces), 2
         size = np.fromiter(map(len, pieces), np.int64, n)
@@ -187,36 +199,72 @@ class BytePairCoder:
                 put(before[left], leaf(before[left]))
         return np.array([i for i, x in zip(ids, live, strict=True) if x], np.int32).tobytes()
 
-    def _learn(self, pieces: Iterable[str]) -> None:
-        """Encode the pieces that aren't remembered yet."""
-        by_width: dict[int, list[str]] = {}
-        for piece in pieces:
-            raw = piece.encode("utf-8")
-            whole = self.ranks.get(raw)
-            if whole is not None:
-                self.known[piece] = np.int32(whole).tobytes()
-            elif len(raw) > SIDE_BY_SIDE:
-                self.known[piece] = self.merge_alone(raw)
+    def _merged(self, pieces: list[str]) -> dict[str, bytes]:
+        """The ids of each piece."""
+        raws = [x.encode("utf-8") for x in pieces]
+        whole = list(map(self.ranks.get, raws))
+        found = {x: np.int32(i).tobytes() for x, i in zip(pieces, whole) if i is not None}
+        size = np.fromiter(map(len, raws), np.int64, len(raws))
+        size[[i is not None for i in whole]] = 0
+        order = np.argsort(size, kind="stable")
+        ends = np.searchsorted(size[order], [0, *(1 << k for k in range(1, SIDE_BY_SIDE.bit_length()))], "right")
+        for a, b in zip(ends, ends[1:]):  # pieces of up to 2, 4, 8, ... bytes
+            for k in range(a, b, 8192):
+                part = order[k : min(k + 8192, b)].tolist()
+                found.update(zip((pieces[i] for i in part), self.merge_side_by_side([raws[i] for i in part]), strict=True))
+        found.update((pieces[i], self.merge_alone(raws[i])) for i in order[ends[-1] :].tolist())
+        return found
+
+    def _chunks(self, text: str) -> list[str]:
+        """The text in chunks that are encoded separately: before each space, else by pieces.
+
+        A space amid white space would cut its run, so texts with one go by pieces.
+        """
+        if not self.cuts_at_spaces or _amid_white(text):
+            return self.pieces(text)
+        words = text.split(" ")
+        return [words[0], *(" " + w for w in words[1:])]
+
+    def _pieces_of(self, chunks: Iterable[str]) -> tuple[list[str], dict[str, list[str]]]:
+        """The chunks that are one piece, and the pieces of each other one.
+
+        Chunks that begin with a space and have no other white space at their ends are split in one go.
+        """
+        single, several, plain = [], {}, []
+        for x in chunks:
+            if self.cuts_at_spaces and x[:1] == " " and not (x[1:2].isspace() or x[-1:].isspace()):
+                plain.append(x)
             else:
-                by_width.setdefault(max(2, 1 << (len(raw) - 1).bit_length()), []).append(piece)
-        for group in by_width.values():
-            for k in range(0, len(group), 8192):
-                part = group[k : k + 8192]
-                self.known.update(zip(part, self.merge_side_by_side([x.encode("utf-8") for x in part]), strict=True))
+                several[x] = self.pieces(x)
+        following = iter(self.pieces("".join(plain)))
+        for x in plain:
+            piece = next(following)
+            left = len(x) - len(piece)
+            if not left:
+                single.append(x)
+                continue
+            several[x] = parts = [piece]
+            while left:
+                parts.append(next(following))
+                left -= len(parts[-1])
+        return single, several
 
     def encode_batch(self, texts: list[str]) -> list[bytes]:
         """The ids of each text as int32 bytes."""
         out, start, known = [], 0, self.known
         while start < len(texts):
             split, held, end = [], 0, start
-            while end < len(texts) and held < 4_000_000:  # characters that are in pieces at a time
-                split.append(self.pieces(texts[end]))
+            while end < len(texts) and held < 4_000_000:  # characters that are in chunks at a time
+                split.append(self._chunks(texts[end]))
                 held += len(texts[end])
                 end += 1
             if len(known) > REMEMBERED:
                 known.clear()
-            self._learn(set().union(*split).difference(known))
-            out += [b"".join(map(known.__getitem__, pieces)) for pieces in split]
+            single, several = self._pieces_of(set().union(*split).difference(known))
+            found = self._merged(list(set(single).union(*several.values())))
+            known.update(zip(single, map(found.__getitem__, single), strict=True))
+            known.update((x, b"".join(map(found.__getitem__, p))) for x, p in several.items())
+            out += [b"".join(map(known.__getitem__, chunks)) for chunks in split]
             start = end
         return out
 
@@ -258,17 +306,26 @@ def decode(encoded: DataFrame, *, ranks_path: str, ids_col: str = "ids") -> Data
     The bytes are those of the text, so casting them to string gives it back. A column ``decoded``
     is replaced.
     """
-    tokens = broadcast_value(encoded, {i: t for t, i in read_ranks(ranks_path).items()})
+    ranks = read_ranks(ranks_path)
+    table = [b""] * (max(ranks.values()) + 1)
+    for token, i in ranks.items():
+        table[i] = token
+    tokens = broadcast_value(encoded, table)
     kept = [x for x in encoded.schema if x.name != "decoded"]
     schema = T.StructType([*kept, T.StructField("decoded", T.BinaryType())])
 
     def over(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        get = tokens.value.__getitem__
-        for batch in batches:
-            at = batch.schema.get_field_index
-            lists = batch.column(at(ids_col))
-            values, ends = lists.values.to_pylist(), lists.offsets.to_pylist()
-            made = pa.array([b"".join(map(get, values[a:b])) for a, b in zip(ends, ends[1:])], pa.binary())
-            yield pa.RecordBatch.from_arrays([*(batch.column(at(x.name)) for x in kept), made], names=[x.name for x in schema])
+        known = pa.array(tokens.value, pa.large_binary())
+        for whole in batches:
+            for at in range(0, whole.num_rows, 1000):
+                batch = whole.slice(at, 1000)
+                lists = batch.column(batch.schema.get_field_index(ids_col))
+                # the bytes of all ids stand one after another; a row's bytes end where its last id's do
+                taken = known.take(lists.flatten())
+                sizes = np.concatenate([[0], np.cumsum(pc.fill_null(pc.list_value_length(lists), 0).to_numpy())])
+                ends = np.frombuffer(taken.buffers()[1], np.int64)[sizes] if len(taken) else sizes * 0
+                text = taken.buffers()[2].to_pybytes() if len(taken) else b""
+                made = pa.array([text[a:b] for a, b in zip(ends, ends[1:])], pa.binary())
+                yield pa.RecordBatch.from_arrays([*(batch.column(batch.schema.get_field_index(x.name)) for x in kept), made], names=schema.names)
 
     return encoded.mapInArrow(over, schema)

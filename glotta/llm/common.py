@@ -6,7 +6,9 @@ import tempfile
 import uuid
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -62,6 +64,19 @@ def broadcast_value(df: DataFrame, value):
     return df.sparkSession.sparkContext.broadcast(value)
 
 
+#: Texts of about so many bytes are worked on at a time; a longer text is one by itself.
+SLICE_BYTES = 8_000_000
+
+
+def _slices(batch: pa.RecordBatch, source: str) -> Iterator[pa.RecordBatch]:
+    """The batch in runs of rows of about SLICE_BYTES of text."""
+    sizes = pc.binary_length(batch.column(batch.schema.get_field_index(source))).to_numpy(zero_copy_only=False)
+    part = np.cumsum(sizes, dtype=np.int64) // SLICE_BYTES
+    starts = [0, *(np.nonzero(np.diff(part))[0] + 1).tolist(), batch.num_rows]
+    for a, b in zip(starts, starts[1:]):
+        yield batch.slice(a, b - a)
+
+
 def map_texts(
     df: DataFrame,
     fields: list[T.StructField],
@@ -79,7 +94,7 @@ def map_texts(
     schema = T.StructType([*kept, *fields])
 
     def over(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in (part for whole in batches for part in _slices(whole, source)):
             at = batch.schema.get_field_index
             made = each(batch.column(at(source)).to_pylist())
             yield pa.RecordBatch.from_arrays([*(batch.column(at(x.name)) for x in kept), *made], names=[x.name for x in schema])
