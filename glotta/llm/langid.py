@@ -129,13 +129,16 @@ def gram_counts(words: DataFrame) -> DataFrame:
 
     def over(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            langs, words, n = (np.array(batch.column(k).to_pylist()) for k in range(3))
-            for lang in np.unique(langs):
-                own = langs == lang
-                grams, owners = ngrams(words[own].tolist())
+            by_lang: dict[str, tuple[list[str], list[int]]] = {}
+            for lang, word, n in zip(*(batch.column(k).to_pylist() for k in range(3)), strict=True):
+                words, counts = by_lang.setdefault(lang, ([], []))
+                words.append(word)
+                counts.append(n)
+            for lang, (words, counts) in by_lang.items():
+                grams, owners = ngrams(words)
                 distinct, place = np.unique(grams, return_inverse=True)
-                sums = np.bincount(place, n[own][owners]).astype(np.int64)
-                yield pa.RecordBatch.from_arrays([pa.array(distinct.view(np.int64)), pa.array([str(lang)] * len(distinct)), pa.array(sums)], names=["gram", "lang", "n"])
+                sums = np.bincount(place, np.array(counts)[owners]).astype(np.int64)
+                yield pa.RecordBatch.from_arrays([pa.array(distinct.view(np.int64)), pa.array([lang] * len(distinct)), pa.array(sums)], names=["gram", "lang", "n"])
 
     return words.select("lang", "word", "n").mapInArrow(over, "gram bigint, lang string, n bigint").groupBy("gram", "lang").agg(F.sum("n").alias("n"))
 
