@@ -329,6 +329,7 @@ def oracle_sql() -> dict[str, str]:
         "rate_limit_daily": "WITH u AS (SELECT event_id, user_id, row_number() OVER (PARTITION BY user_id, ts::DATE ORDER BY ts, event_id) AS used FROM events) SELECT *, used <= 3 AS allowed FROM u",
         "tumbling_daily": "SELECT user_id, (ts::DATE)::VARCHAR AS day, count(*) AS n FROM events GROUP BY user_id, ts::DATE",
         "backup_merge": "WITH " + _half("mine", 0) + ", " + _half("theirs", 1) + ", both_states AS (SELECT *, 1 AS src FROM mine UNION ALL SELECT *, 0 FROM theirs), r AS (SELECT *, row_number() OVER (PARTITION BY learner_id, lemma ORDER BY due DESC, src DESC) AS k FROM both_states) SELECT learner_id, lemma, due::VARCHAR AS due, reps, lapses FROM r WHERE k = 1",
+        "backup_json": _CARDS + " SELECT learner_id, to_json(struct_pack(format := 'glotta-backup', version := 1, state := struct_pack(cards := list(struct_pack(lemma := lemma, due := due::VARCHAR, reps := reps) ORDER BY lemma)))) ::VARCHAR AS json FROM cards GROUP BY learner_id",
         "grade_answers": _with(_ANSWERS) + f" SELECT conv_id, turn, CASE WHEN coalesce({_NORMAL('answer')}, '') = '' THEN FALSE ELSE {_NORMAL('answer')} = {_NORMAL('expected')} END AS ok, CASE WHEN coalesce({_NORMAL('answer')}, '') = '' THEN 'empty' WHEN {_NORMAL('answer')} = {_NORMAL('expected')} THEN 'right' ELSE 'wrong' END AS msg FROM answers",
         "target_used": _with(_ANSWERS) + f", f AS (SELECT *, regexp_extract(expected, '[A-Za-zÀ-ÿ]{{4,}}') AS word FROM answers) SELECT conv_id, turn, contains({_NORMAL('answer')}, {_NORMAL('word')}) AND word <> '' AS used FROM f",
         "page_ranges": "WITH e AS (SELECT event_id, least(event_id % 17 + 1, event_id % 5 + 1) AS a, greatest(event_id % 17 + 1, event_id % 5 + 1) AS b, event_id % 31 AS c FROM events) SELECT event_id, array_to_string(list_filter(range(1, 21), lambda p: (p BETWEEN a AND b) OR p = c), ',') AS pages FROM e",
