@@ -28,7 +28,7 @@ NONE = np.int32(2**31 - 1)
 NO_RANK = np.int32(2**24)
 POS_BITS = 32
 #: Chunks of text remembered by a worker; the memory is emptied when it is full.
-REMEMBERED = 600_000
+REMEMBERED = 200_000
 #: The pattern for which a cut before every single space is known to leave the pieces as they are.
 SPACE_CUT_PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 _AFTER_SPACE_ASCII = [" " + c for c in " \t\n\x0b\x0c\r\x1c\x1d\x1e\x1f"]
@@ -46,6 +46,23 @@ def read_ranks(path: str) -> dict[bytes, int]:
         return {base64.b64decode(a): int(b) for a, b in (line.split() for line in lines if line.strip())}
 
 
+def tokens_of(ranks: dict[bytes, int]) -> pa.Array:
+    """The bytes of every id."""
+    table = [b""] * (max(ranks.values()) + 1)
+    for token, i in ranks.items():
+        table[i] = token
+    return pa.array(table, pa.large_binary())
+
+
+def decoded_lists(tokens: pa.Array, lists: pa.ListArray) -> pa.Array:
+    """The bytes of all ids stand one after another; a row's bytes end where its last id's do."""
+    taken = tokens.take(lists.flatten())
+    sizes = np.concatenate([[0], np.cumsum(pc.fill_null(pc.list_value_length(lists), 0).to_numpy())])
+    ends = np.frombuffer(taken.buffers()[1], np.int64)[sizes] if len(taken) else sizes * 0
+    text = memoryview(taken.buffers()[2]) if len(taken) else b""
+    return pa.array([bytes(text[a:b]) for a, b in zip(ends, ends[1:])], pa.binary())
+
+
 class BytePairCoder:
     """Encodes and decodes with given ranks; ``pattern`` splits text into pieces."""
 
@@ -57,7 +74,7 @@ class BytePairCoder:
         # this pattern's pieces never go on over a space after another character, so a text can be cut there
         self.cuts_at_spaces = pattern == SPACE_CUT_PATTERN
         self.ranks = ranks
-        self.tokens = {i: t for t, i in ranks.items()}
+        self.tokens = tokens_of(ranks)
         self.byte_id = np.array([ranks[bytes([b])] for b in range(256)], np.int32)
         keys, merged = [], []
         for token, rank in ranks.items():
@@ -67,7 +84,6 @@ class BytePairCoder:
                     keys.append(left << POS_BITS | right)
                     merged.append(rank)
         self._fill_slots(np.array(keys, np.int64), np.array(merged, np.int32))
-        self.pair_rank = dict(zip(keys, merged, strict=True))
         self.known: dict[str, bytes] = {}
 
     def _ranks_of(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
@@ -162,12 +178,19 @@ class BytePairCoder:
             width *= 2
         ids = self.byte_id[np.frombuffer(piece, np.uint8)].tolist()
         after, before, live = list(range(1, n + 1)), list(range(-1, n - 1)), bytearray(b"\x01" * n)
-        get = self.pair_rank.get
+        bits, top, keys, ranks = 64 - self.slot_bits, len(self.slot_keys) - 1, self.slot_keys, self.slot_ranks
 
         def leaf(p: int) -> int:
             q = after[p]
-            rank = get(ids[p] << POS_BITS | ids[q]) if q < n else None
-            return none if rank is None else rank << POS_BITS | p
+            if q >= n:
+                return none
+            key = ids[p] << POS_BITS | ids[q]
+            slot = (key * 0x9E3779B97F4A7C15 & (1 << 64) - 1) >> bits
+            while (there := keys[slot]) != key:
+                if there < 0:
+                    return none
+                slot = slot + 1 & top
+            return int(ranks[slot]) << POS_BITS | p
 
         tree = [none] * (2 * width)
         for p in range(n - 1):
@@ -254,7 +277,7 @@ class BytePairCoder:
         out, start, known = [], 0, self.known
         while start < len(texts):
             split, held, end = [], 0, start
-            while end < len(texts) and held < 4_000_000:  # characters that are in chunks at a time
+            while end < len(texts) and held < 1_000_000:  # characters that are in chunks at a time
                 split.append(self._chunks(texts[end]))
                 held += len(texts[end])
                 end += 1
@@ -268,10 +291,22 @@ class BytePairCoder:
             start = end
         return out
 
+    def encode_lists(self, texts: list[bytes]) -> pa.ListArray:
+        """The ids of each text of UTF-8 bytes."""
+        found = self.encode_batch([x.decode("utf-8", "replace") for x in texts])
+        ends = np.cumsum([0, *(len(x) // 4 for x in found)]).astype(np.int32)
+        return pa.ListArray.from_arrays(pa.array(ends), pa.array(np.frombuffer(b"".join(found), np.int32)))
+
     def decode(self, ids: list[int]) -> bytes:
-        return b"".join(map(self.tokens.__getitem__, ids))
+        return self.decode_lists(pa.array([ids], pa.list_(pa.int32())))[0].as_py()
+
+    def decode_lists(self, lists: pa.ListArray) -> pa.Array:
+        """The bytes of each list of ids; null or no ids give none."""
+        return decoded_lists(self.tokens, lists)
 
 
+_IDS = T.StructField("ids", T.ArrayType(T.IntegerType()))
+_DECODED = T.StructField("decoded", T.BinaryType())
 #: One coder for a worker: what it remembers serves all its tasks.
 _coders: dict[tuple[str, str], BytePairCoder] = {}
 
@@ -291,13 +326,22 @@ def encode(docs: DataFrame, *, ranks_path: str, pattern: str, text_col: str = "t
     """
     ranks = broadcast_value(docs, read_ranks(ranks_path))
 
+    def each(texts: list[bytes]) -> list[pa.Array]:
+        return [coder_of(ranks_path, pattern, ranks.value).encode_lists(texts)]
+
+    return map_texts(docs, [_IDS], each, text_col)
+
+
+def encode_and_decode(docs: DataFrame, *, ranks_path: str, pattern: str, text_col: str = "text") -> DataFrame:
+    """``encode``, then ``decode`` of the ids, in one pass of the same workers: ``docs`` with ids and decoded."""
+    ranks = broadcast_value(docs, read_ranks(ranks_path))
+
     def each(texts: list[bytes]) -> list[pa.Array]:
         coder = coder_of(ranks_path, pattern, ranks.value)
-        found = coder.encode_batch([x.decode("utf-8", "replace") for x in texts])
-        ends = np.cumsum([0, *(len(x) // 4 for x in found)]).astype(np.int32)
-        return [pa.ListArray.from_arrays(pa.array(ends), pa.array(np.frombuffer(b"".join(found), np.int32)))]
+        ids = coder.encode_lists(texts)
+        return [ids, coder.decode_lists(ids)]
 
-    return map_texts(docs, [T.StructField("ids", T.ArrayType(T.IntegerType()))], each, text_col)
+    return map_texts(docs, [_IDS, _DECODED], each, text_col)
 
 
 def decode(encoded: DataFrame, *, ranks_path: str, ids_col: str = "ids") -> DataFrame:
@@ -306,26 +350,17 @@ def decode(encoded: DataFrame, *, ranks_path: str, ids_col: str = "ids") -> Data
     The bytes are those of the text, so casting them to string gives it back. A column ``decoded``
     is replaced.
     """
-    ranks = read_ranks(ranks_path)
-    table = [b""] * (max(ranks.values()) + 1)
-    for token, i in ranks.items():
-        table[i] = token
-    tokens = broadcast_value(encoded, table)
+    ranks = broadcast_value(encoded, read_ranks(ranks_path))
     kept = [x for x in encoded.schema if x.name != "decoded"]
-    schema = T.StructType([*kept, T.StructField("decoded", T.BinaryType())])
+    schema = T.StructType([*kept, _DECODED])
 
     def over(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = pa.array(tokens.value, pa.large_binary())
+        tokens = tokens_of(ranks.value)
         for whole in batches:
-            for at in range(0, whole.num_rows, 1000):
-                batch = whole.slice(at, 1000)
-                lists = batch.column(batch.schema.get_field_index(ids_col))
-                # the bytes of all ids stand one after another; a row's bytes end where its last id's do
-                taken = known.take(lists.flatten())
-                sizes = np.concatenate([[0], np.cumsum(pc.fill_null(pc.list_value_length(lists), 0).to_numpy())])
-                ends = np.frombuffer(taken.buffers()[1], np.int64)[sizes] if len(taken) else sizes * 0
-                text = taken.buffers()[2].to_pybytes() if len(taken) else b""
-                made = pa.array([text[a:b] for a, b in zip(ends, ends[1:])], pa.binary())
-                yield pa.RecordBatch.from_arrays([*(batch.column(batch.schema.get_field_index(x.name)) for x in kept), made], names=schema.names)
+            for start in range(0, whole.num_rows, 1000):
+                batch = whole.slice(start, 1000)
+                at = batch.schema.get_field_index
+                made = decoded_lists(tokens, batch.column(at(ids_col)))
+                yield pa.RecordBatch.from_arrays([*(batch.column(at(x.name)) for x in kept), made], names=schema.names)
 
     return encoded.mapInArrow(over, schema)

@@ -38,8 +38,7 @@ def op1_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op2_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     ranks_path = public_tokenizers.path(RANKS)
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    encoded = bpe.encode(docs, ranks_path=ranks_path, pattern=public_tokenizers.PATTERN).select("doc_id", "ids")
-    return bpe.decode(encoded, ranks_path=ranks_path).select(
+    return bpe.encode_and_decode(docs, ranks_path=ranks_path, pattern=public_tokenizers.PATTERN).select(
         "doc_id",
         F.size("ids").cast("bigint").alias("n_tokens"),
         F.sha2(F.array_join(F.col("ids").cast("array<string>"), " "), 256).alias("ids_sha256"),

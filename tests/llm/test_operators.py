@@ -94,7 +94,10 @@ def test_bpe(docs, texts):
     encoding = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=bpe.read_ranks(RANKS), special_tokens={})
     encoded = bpe.encode(docs, ranks_path=RANKS, pattern=public_tokenizers.PATTERN)
     got = {r["doc_id"]: (list(r["ids"]), bytes(r["decoded"]), r["key"]) for r in bpe.decode(encoded, ranks_path=RANKS).collect()}
-    assert got == {i: (encoding.encode_ordinary(t or ""), (t or "").encode(), "k") for i, t in texts.items()}
+    want = {i: (encoding.encode_ordinary(t or ""), (t or "").encode(), "k") for i, t in texts.items()}
+    assert got == want
+    both = bpe.encode_and_decode(docs, ranks_path=RANKS, pattern=public_tokenizers.PATTERN).collect()
+    assert {r["doc_id"]: (list(r["ids"]), bytes(r["decoded"]), r["key"]) for r in both} == want
 
 
 def test_bpe_merges_alone_and_side_by_side_agree():
