@@ -163,10 +163,24 @@ def exact_duplicates(
     )
 
 
+def keep_rows(docs: DataFrame, verdicts: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """``docs`` without the rows that ``verdicts`` (doc_id, text_sha256, kept) doesn't keep, and all columns.
+
+    Rows without verdict stay. Of rows that repeat both id and text, null ids included, one stays.
+    """
+    digest = F.sha2(text_or_empty(text_col), 256)
+    marks = verdicts.groupBy("doc_id", "text_sha256").agg(F.first("kept").alias("kept"), F.count(F.lit(1)).alias("n"))
+    marks = materialise(marks.where("not kept or n > 1").select(F.col("doc_id").alias("_id"), F.col("text_sha256").alias("_digest"), "kept"), "marks")
+    same = F.col(id_col).eqNullSafe(F.col("_id")) & (digest == F.col("_digest"))
+    left = docs.join(marks, same, "left_anti")
+    again = marks.where("kept")
+    if again.isEmpty():
+        return left
+    again = docs.join(materialise(again, "marks-again"), same, "left_semi").withColumn("_digest", digest)
+    return left.unionByName(again.dropDuplicates([id_col, "_digest"]).drop("_digest"))
+
+
 def drop_exact_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
-    """``docs`` with the kept row of each group, and all its columns."""
+    """``docs`` with the kept row of each group, one of those that repeat its id, and all its columns."""
     verdicts = exact_duplicates(docs, id_col=id_col, text_col=text_col, **options)
-    # ids are unique in a corpus; where an id repeats with other texts, the digest tells its rows apart
-    digest = F.sha2(text_or_empty(text_col), 256)
-    gone = verdicts.where("not kept").select(F.col("doc_id").alias("_gone"), F.col("text_sha256").alias("_digest")).distinct()
-    return docs.join(gone, F.col(id_col).eqNullSafe(F.col("_gone")) & (digest == F.col("_digest")), "left_anti")
+    return keep_rows(docs, verdicts, id_col=id_col, text_col=text_col)
