@@ -1,6 +1,6 @@
 """Personal data: format-preserving pseudonyms by a keyed Feistel network. DataFrame functions only.
 
-Values are found by one pattern and validated (card numbers by their check digit, addresses by
+Values are found by patterns, pass after pass over what is left, and validated (card numbers by their check digit, addresses by
 their octets, dates by the calendar). A value becomes a row of digits, each with a radix of its
 own: a letter in lower or upper case 26, a decimal digit 10, a hexadecimal digit 16, an octet
 256, a date the number of its day. The row is cut into two halves; in each round every digit of
@@ -28,11 +28,15 @@ KINDS = {
     "email": r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]{1,64}+@(?:[A-Za-z0-9-]{1,63}+\.){1,8}[A-Za-z]{2,24}",
     "secret": r"(?<![0-9A-Za-z])(?=[a-fA-F]{0,127}+[0-9])(?:[0-9a-f]{32,128}+|[0-9A-F]{32,128}+)(?![0-9A-Za-z])",
     "ip": r"(?<![0-9.])(?:[0-9]{1,3}+\.){3}[0-9]{1,3}+(?![0-9]|\.[0-9])",
-    "date": r"(?<![0-9-])(?:19|20)[0-9]{2}-[0-9]{2}-[0-9]{2}(?![0-9-])|(?<![0-9./])[0-9]{2}(?<sep>[./])[0-9]{2}\k<sep>(?:19|20)[0-9]{2}(?![0-9])",
-    "phone": r"\+[0-9]{1,3}+[ .-]?+\([0-9]{2,4}\)[ .-]?+[0-9]{3}[ .-]?+[0-9]{4}(?![0-9])|\([0-9]{3}\)[ .-]?+[0-9]{3}-[0-9]{4}(?![0-9])|(?<![0-9+.-])[0-9]{3}[.-][0-9]{3}[.-][0-9]{4}(?![0-9])",
-    "card": r"(?<![0-9])(?<![0-9][ -])[0-9](?:[ -]?[0-9]){12,18}+(?![0-9])",
+    "date": r"(?<![0-9-])(?:19|20)[0-9]{2}-[0-9]{2}-[0-9]{2}(?![0-9-])|(?<![0-9/])(?:19|20)[0-9]{2}/[0-9]{1,2}/[0-9]{1,2}(?![0-9/])|(?<![0-9./])[0-9]{1,2}(?<sep>[./])[0-9]{1,2}\k<sep>(?:19|20)[0-9]{2}(?![0-9])",
+    "phone": r"\+[0-9]{1,3}+[ .-]?+\([0-9]{2,4}\)[ .-]?+[0-9]{3}[ .-]?+[0-9]{4}(?![0-9])|\+1[ .-]?+[0-9]{3}[ .-]?+[0-9]{3}[ .-]?+[0-9]{4}(?![0-9])|\([0-9]{3}\)[ .-]?+[0-9]{3}-[0-9]{4}(?![0-9])|(?<![0-9+.-])[0-9]{3}[.-][0-9]{3}[.-][0-9]{4}(?![0-9])|(?<![0-9A-Za-z+])\+[1-9](?:[ .-]?+\(?+[0-9]\)?+){7,14}+(?![0-9])",
+    "card": r"(?<![0-9])(?:[0-9]{13,19}+|[0-9]{4}(?<gap>[ -])[0-9]{4}\k<gap>[0-9]{4}\k<gap>[0-9]{4}|[0-9]{4}[ -][0-9]{6}[ -][0-9]{5})(?![0-9])",
 }
-_PATTERN = "|".join(f"(?:{p})" for p in KINDS.values())
+#: Passes over what the passes before left; a card written in its usual way goes before a phone number that would take part of it.
+_PASSES = [("email", "secret", "ip", "date"), ("card",), ("phone",)]
+#: Where a card may stand among other numbers: groups of digits, one sign apart.
+_RUN = r"(?<![0-9])[0-9](?:[ -]?[0-9]){12,}+"
+_CARD_SIZES = range(19, 12, -1)
 
 
 def _let(value: Column, use: Callable[[Column], Column]) -> Column:
@@ -137,28 +141,30 @@ def _ip(value: Column, key: str) -> Column:
     return _let(F.transform(F.split(value, r"\."), lambda x: x.cast("int")), moved)
 
 
-def _date_of_form(value: Column, key: str, sign: str, form: str) -> Column:
+#: A form with another separator must not be parsed with this one; where month and day could both stand first, the month does.
+_DATE_FORMS = [("-", "yyyy-MM-dd"), (".", "dd.MM.yyyy"), (".", "d.M.yyyy"), *(("/", x) for x in ("MM/dd/yyyy", "dd/MM/yyyy", "yyyy/MM/dd", "M/d/yyyy", "d/M/yyyy", "yyyy/M/d"))]
+
+
+def _date(value: Column, key: str) -> Column:
     a, b = _DATE_RADICES
     first = F.lit(_FIRST_DAY).cast("date")
 
-    def shown(digits: Column) -> Column:
-        return F.date_format(F.date_add(first, F.get(digits, F.lit(1)) * a + F.get(digits, F.lit(0))), form)
+    def read(sign: str, form: str) -> Column:
+        day = F.datediff(F.try_to_timestamp(F.when(F.instr(value, sign) > 0, value), F.lit(form)).cast("date"), first)
+        return _let(day, lambda x: F.when(x.isNotNull(), F.struct(x.alias("day"), F.lit(form).alias("form"))))
 
-    def moved(day: Column) -> Column:
-        new = feistel(F.array(F.pmod(day, F.lit(a)), (day / a).cast("int")), F.array(F.lit(a), F.lit(b)), key, "date")
-        return F.when(day.isNotNull(), _let(new, shown))
+    def shown(digits: Column, form: Column) -> Column:
+        return F.call_function("date_format", F.date_add(first, F.get(digits, F.lit(1)) * a + F.get(digits, F.lit(0))), form)
 
-    # a form with another separator must not be parsed with this one
-    return _let(F.datediff(F.try_to_timestamp(F.when(F.instr(value, sign) > 0, value), F.lit(form)).cast("date"), first), moved)
+    def moved(found: Column) -> Column:
+        new = feistel(F.array(F.pmod(found["day"], F.lit(a)), (found["day"] / a).cast("int")), F.array(F.lit(a), F.lit(b)), key, "date")
+        return F.when(found.isNotNull(), _let(new, lambda digits: shown(digits, found["form"])))
 
-
-def _date(value: Column, key: str) -> Column:
-    forms = (("-", "yyyy-MM-dd"), (".", "dd.MM.yyyy"), ("/", "MM/dd/yyyy"))
-    return F.coalesce(*(_date_of_form(value, key, sign, form) for sign, form in forms))
+    return _let(F.coalesce(*(read(*x) for x in _DATE_FORMS)), moved)
 
 
 def _phone(value: Column, key: str) -> Column:
-    country = F.regexp_extract(value, r"^\+[0-9]{1,3}", 0)
+    country = F.regexp_extract(value, r"^\+(?:[17]|[0-9]{1,3})", 0)
     return _let(country, lambda c: F.concat(c, _permuted(F.substring(value, F.length(c) + 1, F.length(value)), key, "phone", [_DIGITS])))
 
 
@@ -173,11 +179,100 @@ def _card(value: Column, key: str) -> Column:
 _NEW = {"email": _email, "secret": _secret, "ip": _ip, "date": _date, "phone": _phone, "card": _card}
 
 
-def _kind(value: Column) -> Column:
-    out = F.lit("card")
-    for kind in reversed(list(KINDS)[:-1]):
-        out = F.when(value.rlike(f"^(?:{KINDS[kind]})$"), F.lit(kind)).otherwise(out)
-    return out
+def _judged(value: Column, kinds: tuple[str, ...], key: str) -> Column:
+    """The pseudonym of a value of one of the kinds, null where it fails its validation."""
+
+    def kind_of(value: Column) -> Column:
+        out = F.lit(kinds[-1])
+        for kind in reversed(kinds[:-1]):
+            out = F.when(value.rlike(f"^(?:{KINDS[kind]})$"), F.lit(kind)).otherwise(out)
+        return out
+
+    def of_kind(kind: Column) -> Column:
+        new = F.lit(None).cast("string")
+        for name in kinds:
+            new = F.when(kind == name, _NEW[name](value, key)).otherwise(new)
+        return new
+
+    return _let(kind_of(value), of_kind)
+
+
+def _segment(text: Column, new: Column | None = None) -> Column:
+    return F.struct(text.alias("text"), (F.lit(None).cast("string") if new is None else new).alias("new"))
+
+
+def _cut(text: Column, pattern: str, judge: Callable[[Column], Column]) -> Column:
+    """The text as segments (text, new); what fails its validation stays in the text around it."""
+
+    def of(found: Column) -> Column:
+        bits = F.flatten(F.zip_with(found["pieces"], found["values"], lambda p, v: F.array(p, F.coalesce(v, F.lit("")))))
+        n = F.size(found["values"])
+        good = F.filter(F.transform(found["news"], lambda x, i: F.when(x.isNotNull(), i)), lambda i: i.isNotNull())
+
+        def joined(x: Column) -> Column:
+            def segments(before: Column, at: Column) -> Column:
+                left = _segment(F.array_join(F.slice(x["bits"], 2 * before + 3, 2 * (at - before) - 1), ""))
+                return F.when(at < n, F.array(left, _segment(F.get(found["values"], at), F.get(found["news"], at)))).otherwise(F.array(left))
+
+            return F.flatten(F.zip_with(F.concat(F.array(F.lit(-1)), x["good"]), F.concat(x["good"], F.array(n)), segments))
+
+        return _let(F.struct(bits.alias("bits"), good.alias("good")), joined)
+
+    def with_news(values: Column) -> Column:
+        return _let(F.struct(F.split(text, pattern, -1).alias("pieces"), values.alias("values"), F.transform(values, judge).alias("news")), of)
+
+    return F.when(text.rlike(pattern), _let(F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), with_news)).otherwise(F.array(_segment(text)))
+
+
+def _cards_among(run: Column, key: str) -> Column:
+    """A run of digit groups as segments: at each group the longest card of whole groups, from the left."""
+
+    def card_at(start: Column) -> Column:
+        def of(rest: Column) -> Column:
+            sizes = [F.regexp_extract(rest, f"^[0-9](?:[ -]?[0-9]){{{n - 1}}}(?![0-9])", 0) for n in _CARD_SIZES]
+            return F.get(F.filter(F.array(*sizes), lambda x: (x != "") & _luhn_ok(F.when(x != "", x))), F.lit(0))
+
+        # 19 digits and 18 signs, and one character more
+        return _let(F.substring(run, start, F.lit(38)), of)
+
+    def starts() -> Column:
+        groups = F.split(run, "[ -]")
+        ends = F.transform(groups, lambda g: F.length(g) + 1)
+
+        def add(state: Column, size: Column) -> Column:
+            def next_(card: Column) -> Column:
+                ok = card.isNotNull()
+                hit = F.struct(state["at"].alias("at"), card.alias("card"))
+                return F.struct(
+                    (state["at"] + size).alias("at"),
+                    F.when(ok, state["at"] + F.length(card)).otherwise(state["free"]).alias("free"),
+                    F.when(ok, F.concat(state["hits"], F.array(hit))).otherwise(state["hits"]).alias("hits"),
+                )
+
+            return _let(F.when(state["at"] >= state["free"], card_at(state["at"])), next_)
+
+        start = F.struct(F.lit(1).alias("at"), F.lit(1).alias("free"), F.array().cast("array<struct<at:int,card:string>>").alias("hits"))
+        return F.aggregate(ends, start, add, lambda state: state["hits"])
+
+    def segments(hits: Column) -> Column:
+        def between(i: Column, hit: Column) -> Column:
+            last = F.get(hits, i - 1)
+            begin = F.when(i > 0, last["at"] + F.length(last["card"])).otherwise(F.lit(1))
+            left = _segment(F.substring(run, begin, F.coalesce(hit["at"], F.length(run) + 1) - begin))
+            return F.when(hit.isNotNull(), F.array(left, _segment(hit["card"], _card(hit["card"], key)))).otherwise(F.array(left))
+
+        return F.flatten(F.transform(F.sequence(F.lit(0), F.size(hits)), lambda i: between(i, F.get(hits, i))))
+
+    return _let(starts(), segments)
+
+
+def _cut_runs(text: Column, key: str) -> Column:
+    def of(found: Column) -> Column:
+        runs = F.zip_with(found["pieces"], found["runs"], lambda p, r: F.concat(F.array(_segment(p)), F.when(r.isNotNull(), _cards_among(r, key)).otherwise(F.array(_segment(F.lit(""))))))
+        return F.flatten(runs)
+
+    found = F.struct(F.split(text, _RUN, -1).alias("pieces"), F.regexp_extract_all(text, F.lit(_RUN), F.lit(0)).alias("runs"))
+    return F.when(text.rlike(_RUN), _let(found, of)).otherwise(F.array(_segment(text)))
 
 
 def pseudonymise(docs: DataFrame, *, key: str, text_col: str = "text") -> DataFrame:
@@ -185,31 +280,27 @@ def pseudonymise(docs: DataFrame, *, key: str, text_col: str = "text") -> DataFr
 
     Kinds: e-mail addresses (the part before @), hexadecimal secrets of 32 to 128 digits (one decimal at least), IPv4
     addresses, dates from 1900 to 2099, phone numbers (after the country), card numbers of 13
-    to 19 digits (the check digit follows). What fails its validation is no value and stays. A
+    to 19 digits (the check digit follows), beside other numbers too. What fails its validation is no value and stays. A
     null text stays null with no values; an empty one stays empty. Repeated rows are rewritten
     alike. All columns stay, but for one named ``n_values``.
     """
     text = F.col(text_col).cast("string")
-    # every value has an @ or a digit; most texts have neither, and skip the pattern
-    values = F.when(text.contains("@") | text.rlike("[0-9]"), F.regexp_extract_all(text, F.lit(_PATTERN), F.lit(0)))
-
-    def judged(value: Column) -> Column:
-        def of_kind(kind: Column) -> Column:
-            new = F.lit(None).cast("string")
-            for name, make in _NEW.items():
-                new = F.when(kind == name, make(value, key)).otherwise(new)
-            return F.struct(value.alias("value"), kind.alias("kind"), new.alias("new"))
-
-        return _let(_kind(value), of_kind)
-
-    found = F.transform(F.coalesce(values, F.array().cast("array<string>")), judged)
-    pieces = F.split(text, _PATTERN, -1)
-    news = F.transform("_glotta_found", lambda x: F.coalesce(x["new"], x["value"]))
-    rewritten = F.array_join(F.zip_with(pieces, news, lambda a, b: F.concat(a, F.coalesce(b, F.lit("")))), "")
-    out = docs.withColumn("_glotta_found", found).withColumns(
+    out = docs.withColumn("_glotta_found", F.array(_segment(text)))
+
+    def over(cut: Callable[[Column], Column]) -> Column:
+        return F.flatten(F.transform("_glotta_found", lambda x: F.when(x["new"].isNotNull(), F.array(x)).otherwise(cut(x["text"]))))
+
+    for kinds in _PASSES:
+        pattern = "|".join(f"(?:{KINDS[x]})" for x in kinds)
+        out = out.withColumn("_glotta_found", over(lambda x: _cut(x, pattern, lambda value: _judged(value, kinds, key))))  # noqa: B023
+    out = out.withColumn("_glotta_found", over(lambda x: _cut_runs(x, key)))
+    # every value has an @ or a digit; most texts have neither, and skip the passes
+    has = text.contains("@") | text.rlike("[0-9]")
+    rewritten = F.array_join(F.transform("_glotta_found", lambda x: F.coalesce(x["new"], x["text"])), "")
+    out = out.withColumns(
         {
-            text_col: F.when(F.size("_glotta_found") == 0, text).otherwise(rewritten),
-            "n_values": F.size(F.filter("_glotta_found", lambda x: x["new"].isNotNull())),
+            text_col: F.when(has, rewritten).otherwise(text),
+            "n_values": F.when(has, F.size(F.filter("_glotta_found", lambda x: x["new"].isNotNull()))).otherwise(F.lit(0)),
         }
     )
     return out.drop("_glotta_found")
