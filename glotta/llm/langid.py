@@ -4,8 +4,8 @@ Training counts the words of each language, then the character n-grams of the di
 weighted. An n-gram is put under a language where its rate is at least ``least_rate`` of that
 language's n-grams and at least ``least_part`` of its highest rate in any language, so there
 are at most 1 / least_rate n-grams for each language: that bounds what the driver gets and
-broadcasts. The filter is an array of 64-bit words, one bit for each language; the AND of the
-words at an n-gram's hashes is the set of languages that contain it. A text's n-grams are
+broadcasts. The filter is an array of rows of 64-bit words, one bit for each language; the AND of the
+rows at an n-gram's hashes is the set of languages that contain it. A text's n-grams are
 counted for each language and corrected for the filter's false positives, whose rate for a
 language follows from the share of its bits that are set.
 """
@@ -58,14 +58,14 @@ def ngrams(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
 @dataclass
 class LanguageFilter:
     languages: list[str]
-    slots: np.ndarray  # 64-bit words, a bit for each language
+    slots: np.ndarray  # rows of ceil(languages / 64) 64-bit words, a bit for each language
 
     def false_rate(self) -> np.ndarray:
         """The chance that an n-gram in no filter seems to be in a language's."""
-        return self._bits(self.slots).mean(0) ** HASHES
+        return np.array([self._bit(self.slots, k).mean() for k in range(len(self.languages))]) ** HASHES
 
-    def _bits(self, masks: np.ndarray) -> np.ndarray:
-        return (masks[:, None] >> np.arange(len(self.languages), dtype=np.uint64)) & np.uint64(1)
+    def _bit(self, masks: np.ndarray, k: int) -> np.ndarray:
+        return (masks.reshape(len(masks), -1)[:, k // 64] >> np.uint64(k % 64)) & np.uint64(1)
 
     def places(self, grams: np.ndarray) -> np.ndarray:
         """HASHES slots of each n-gram, by double hashing."""
@@ -77,9 +77,9 @@ class LanguageFilter:
     def counts(self, words: list[str]) -> np.ndarray:
         """For each word the number of its n-grams, and of those in each language's filter."""
         grams, owners = ngrams(words)
-        hits = self._bits(np.bitwise_and.reduce(self.slots[self.places(grams)], axis=1))
+        masks = np.bitwise_and.reduce(self.slots[self.places(grams)], axis=1)
         columns = [np.bincount(owners, minlength=len(words))]
-        columns += [np.bincount(owners, hits[:, k], len(words)) for k in range(len(self.languages))]
+        columns += [np.bincount(owners, self._bit(masks, k), len(words)) for k in range(len(self.languages))]
         return np.column_stack(columns)
 
     def predict(self, texts: list[list[str]], false_rate: np.ndarray) -> list[tuple[str, float]]:
@@ -144,22 +144,23 @@ def gram_counts(words: DataFrame) -> DataFrame:
 
 
 def fit(docs: DataFrame, *, where: Column | None = None, lang_col: str = "lang", text_col: str = "text", least_rate: float = 2e-5, least_part: float = 0.05, slots: int = 1 << 20) -> LanguageFilter:
-    """Learn from the rows that fulfil ``where`` and have a language; at most 64 languages."""
+    """Learn from the rows that fulfil ``where`` and have a language."""
     rows = docs if where is None else docs.where(where)
     grams = materialise(gram_counts(word_counts(rows, lang_col, text_col)), "grams")
     totals = {r["lang"]: r["n"] for r in grams.groupBy("lang").agg(F.sum("n").alias("n")).collect()}
     languages = sorted(totals)
-    if len(languages) > 64:
-        raise ValueError("at most 64 languages fit a mask")
-    out = LanguageFilter(languages, np.zeros(slots, np.uint64))
+    out = LanguageFilter(languages, np.zeros((slots, max(1, -(-len(languages) // 64))), np.uint64))
     if languages:
         sums = grams.sparkSession.createDataFrame([(k, float(v)) for k, v in totals.items()], "lang string, total double")
         rated = grams.join(F.broadcast(sums), "lang").select("gram", "lang", (F.col("n") / F.col("total")).alias("rate"))
         peak = rated.groupBy("gram").agg(F.max("rate").alias("peak"), F.collect_list(F.struct("lang", "rate")).alias("all")).where(F.col("peak") >= least_rate)
         chosen = F.filter("all", lambda x: (x["rate"] >= least_rate) & (x["rate"] >= least_part * F.col("peak")))
-        bits = {x: 1 << k for k, x in enumerate(languages)}
+        places = {x: k for k, x in enumerate(languages)}
         rows = peak.select("gram", F.transform(chosen, lambda x: x["lang"]).alias("langs")).collect()
-        masks = np.array([sum(map(bits.__getitem__, r["langs"])) for r in rows], np.uint64)
+        masks = np.zeros((len(rows), out.slots.shape[1]), np.uint64)
+        for k, r in enumerate(rows):
+            for x in r["langs"]:
+                masks[k, places[x] // 64] |= np.uint64(1 << places[x] % 64)
         for at in out.places(np.array([r["gram"] for r in rows], np.int64).view(np.uint64)).T:
             np.bitwise_or.at(out.slots, at, masks)
     return out
@@ -179,7 +180,7 @@ def predict(docs: DataFrame, model: LanguageFilter, *, text_col: str = "text") -
         for text in texts:
             held.append(words_of(text))
             size += len(held[-1])
-            if size >= SLICE:
+            if size >= SLICE // shared.value[0].slots.shape[1]:
                 found += shared.value[0].predict(held, shared.value[1])
                 held, size = [], 0
         found += shared.value[0].predict(held, shared.value[1])
