@@ -23,9 +23,16 @@ def learner_report(cards: DataFrame, reviews: DataFrame, learner: str = "learner
     return by_card.join(by_review, learner, "left").withColumn("accuracy", _percent(F.col("correct"), F.col("reviews")))
 
 
-def weak_list(cards: DataFrame, keys: list[str], n: int = 30) -> DataFrame:
-    """The ``n`` cards with the most lapses."""
-    return cards.where("lapses > 0").orderBy(F.desc("lapses"), *keys).limit(n)
+def _first(rows: DataFrame, order: list[Column | str], n: int, by: str | None) -> DataFrame:
+    """The first ``n`` rows of each ``by``, or of all."""
+    if by is None:
+        return rows.orderBy(*order).limit(n)
+    return rows.withColumn("_k", F.row_number().over(W.partitionBy(by).orderBy(*order))).where(F.col("_k") <= n).drop("_k")
+
+
+def weak_list(cards: DataFrame, keys: list[str], n: int = 30, by: str | None = "learner_id") -> DataFrame:
+    """The ``n`` cards with the most lapses of each learner (``by``), or of all where ``by`` is None."""
+    return _first(cards.where("lapses > 0"), [F.desc("lapses"), *keys], n, by)
 
 
 def mastery(cards: DataFrame, by: str) -> DataFrame:
@@ -50,13 +57,13 @@ def map_stats(vocab: DataFrame) -> DataFrame:
     )
 
 
-def filter_vocabulary(vocab: DataFrame, *, level: str | None = None, pos: str | None = None, keyword: str = "", most: int = 300) -> DataFrame:
-    """The first rows of a vocabulary table by level, part of speech and a keyword in lemma or gloss."""
+def filter_vocabulary(vocab: DataFrame, *, level: str | None = None, pos: str | None = None, keyword: str = "", most: int = 300, by: str | None = "doc_id") -> DataFrame:
+    """The first ``most`` rows of each document's vocabulary table (``by``), or of all where ``by`` is None, by level, part of speech and a keyword in lemma or gloss."""
     word = F.lit(keyword.lower())
     kept = vocab.where(F.contains("lemma", word) | F.contains(F.lower("gloss"), word))
     kept = kept.where(F.col("level") == level) if level else kept
     kept = kept.where(F.col("pos") == pos) if pos else kept
-    return kept.orderBy(F.desc("n"), "doc_id", "first_pos").limit(most)
+    return _first(kept, [F.desc("n"), "doc_id", "first_pos"], most, by)
 
 
 def skill_scores(docs: DataFrame, hits: DataFrame, issues: DataFrame) -> DataFrame:

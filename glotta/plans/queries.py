@@ -116,7 +116,7 @@ def error_hits(spark, sf_dir):
 
 
 def vocab_filter(spark, sf_dir):
-    found = reports.filter_vocabulary(_vocab(spark, sf_dir, "fr"), level="B1", pos="n", keyword="Tion")
+    found = reports.filter_vocabulary(_vocab(spark, sf_dir, "fr"), level="B1", pos="n", keyword="Tion", by=None)  # over all, as its SQL is
     return found.select("doc_id", "lemma", "n")
 
 
@@ -175,7 +175,7 @@ def learner_report(spark, sf_dir):
 
 
 def weak_list(spark, sf_dir):
-    return reports.weak_list(_cards(spark, sf_dir), ["learner_id", "lemma"]).select("learner_id", "lemma", "lapses")
+    return reports.weak_list(_cards(spark, sf_dir), ["learner_id", "lemma"], by=None).select("learner_id", "lemma", "lapses")  # over all, as its SQL is
 
 
 def mastery(spark, sf_dir):
