@@ -32,6 +32,53 @@ def shared_dir(spark: SparkSession) -> str:
     return known
 
 
+#: Spark drops the shuffle files of a write as soon as it has ended.
+_DROP_SHUFFLES = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
+def _file_system(spark: SparkSession, path: str):
+    """The Hadoop file system of a path, and the path as its own class."""
+    own = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return own.getFileSystem(spark._jsc.hadoopConfiguration()), own
+
+
+def write_shared(df: DataFrame, path: str) -> None:
+    """Write ``df`` as Parquet to a new folder that is deleted when the driver ends, if not released before."""
+    spark = df.sparkSession
+    before = spark.conf.get(_DROP_SHUFFLES, None)
+    spark.conf.set(_DROP_SHUFFLES, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.unset(_DROP_SHUFFLES) if before is None else spark.conf.set(_DROP_SHUFFLES, before)
+    fs, own = _file_system(spark, path)
+    fs.deleteOnExit(own)
+
+
+def shared_path(spark: SparkSession, name: str) -> str:
+    """A new path in the shared folder; the session keeps note of it for ``release_since``."""
+    path = f"{shared_dir(spark)}/glotta-{name}-{uuid.uuid4().hex}"
+    _noted(spark).append(path)
+    return path
+
+
+def _noted(spark: SparkSession) -> list[str]:
+    context = spark.sparkContext
+    if not hasattr(context, "_glotta_paths"):
+        context._glotta_paths = []
+    return context._glotta_paths
+
+
+def release(spark: SparkSession, paths: list[str]) -> None:
+    """Delete written tables that nothing reads any more."""
+    for path in paths:
+        fs, own = _file_system(spark, path)
+        fs.delete(own, True)
+        fs.cancelDeleteOnExit(own)
+    left = set(paths)
+    _noted(spark)[:] = [x for x in _noted(spark) if x not in left]
+
+
 def materialise(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` as a Parquet table in the shared folder and read it back.
 
@@ -39,11 +86,27 @@ def materialise(df: DataFrame, name: str) -> DataFrame:
     table that several later steps read is computed once.
     """
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/glotta-{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    path = shared_path(spark, name)
+    write_shared(df, path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def last_table(df: DataFrame, name: str, known: list[str]) -> DataFrame:
+    """``df`` written and read back, after which all shared tables that aren't ``known`` are released.
+
+    For an operator's last table: what was written on the way is gone when the operator returns.
+    """
+    out = materialise(df, name)
+    own = _noted(df.sparkSession)
+    release(df.sparkSession, [x for x in own[:-1] if x not in set(known)])
+    return out
+
+
+def noted_paths(spark: SparkSession) -> list[str]:
+    """The shared tables that are there now."""
+    return list(_noted(spark))
+
+
 def text_or_empty(col: str = "text") -> Column:
     """The text as a string; null counts as empty."""
     return F.coalesce(F.col(col).cast("string"), F.lit(""))

@@ -1,30 +1,34 @@
-"""Language-model scoring by deleted interpolation of unigram and bigram estimates.
+"""Language-model scoring by deleted interpolation of trigram, bigram and unigram estimates.
 
-P(w | v) = k2 c(v, w) / c(v) + k1 c(w) / N + k0 / (V + 1), with weights k that depend on the
-bucket of the context's frequency c(v). The weights are learned by expectation-maximisation on
-held-out counts: every training token is taken out of the counts before it is estimated (the
-deleted estimate), so no token helps to predict itself.
+P(w | u, v) = a3 c(u, v, w) / c(u, v) + (1 - a3) P(w | v)
+P(w | v)    = a2 c(v, w) / c(v)       + (1 - a2) P(w)
+P(w)        = a1 c(w) / N             + (1 - a1) / (V + 1)
 
-Corpus counts are looked up in bulk, as nearly every bigram of a text is a key of its own:
+a3 and a2 depend on the bucket of the context's frequency, c(u, v) or c(v). The weights are
+learned by expectation-maximisation on held-out counts: every training token is taken out of the
+counts before it is estimated (the deleted estimate), so no token helps to predict itself.
+
+Corpus counts are looked up in bulk, as most n-grams of a text are keys of their own:
 
 1. Tasks cut their documents into chunks. A chunk has the distinct words and the token numbers
    of its documents, packed.
-2. Each chunk asks for its distinct words and bigrams: sorted 64-bit keys, split by key range,
-   with the number of times that its training documents have them.
-3. The owner of a key range adds the numbers of all chunks and answers each chunk in its order.
-   A key that is hot in the corpus comes once from each chunk.
-4. Chunks meet their answers; each token gets its counts. From these come the exact sums of the
-   EM (a histogram of bounded size) and the scores.
-
-Counts and learning cover all documents; ranges are as many as the corpus needs, so a task holds
-a bounded part at any size.
+2. Each chunk asks for its distinct words and bigrams (``llm.exchange``: packed keys, in rounds
+   whose size grows with the corpus).
+3. Each chunk asks for those of its trigrams whose two bigrams both occur in other chunks; of
+   the others its own count is the corpus count.
+4. Tokens with their counts are a table. Each step of the EM is one pass over it, whose sums are
+   exact and of fixed size; the first steps run on the first tokens of one chunk, to start near
+   the solution. Then all documents are scored.
+
+Counts and learning cover all documents, in 64-bit numbers; a task holds a few chunks' worth of
+keys at any size of the corpus. N-grams are compared by 64-bit hashes.
 """
 
 from __future__ import annotations
 
 import uuid
-import zlib
-from collections.abc import Iterable, Iterator
+from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -34,63 +38,69 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from glotta.llm.common import broadcast_value, materialise, text_bytes
+from glotta.llm.common import broadcast_value, last_table, materialise, noted_paths, text_bytes
+from glotta.llm.exchange import FAN, pack, pack_keys, totals, unpack, unpack_keys
 
-#: Tokens in a chunk, and keys in a range, about.
-CHUNK_TOKENS, RANGE_KEYS = 1_000_000, 1_000_000
-#: Contexts with a frequency of 0, 1, 2-3, 4-7, ... have a bucket each.
-BUCKETS = 24
-#: Steps of a power of ten in the histogram of estimates for the EM.
-STEPS = 8
-LOWEST = -12
+#: Tokens in a chunk, about; a longer document is a chunk by itself.
+CHUNK_TOKENS = 1_000_000
+#: Contexts with a frequency of 0, 1, ..., 8, 9-15, 16-31, ... have a bucket each.
+BUCKETS = 70
+#: Tokens that the first steps of the EM run on.
+START_TOKENS = 200_000
 _END = b" "  # no word contains a space
 
 
-def pack(x: np.ndarray) -> bytes:
-    """Integers, as deltas in byte planes, compressed."""
-    x = np.ascontiguousarray(x)
-    planes = x.view(np.uint8).reshape(len(x), x.itemsize).T
-    return zlib.compress(np.ascontiguousarray(planes).tobytes(), 1)
-
-
-def unpack(x: bytes, kind) -> np.ndarray:
-    raw = np.frombuffer(zlib.decompress(x), np.uint8)
-    size = np.dtype(kind).itemsize
-    return np.ascontiguousarray(raw.reshape(size, -1).T).reshape(-1).view(kind)
-
-
-def pack_keys(keys: np.ndarray) -> bytes:
-    """Sorted keys."""
-    return pack(np.diff(keys, prepend=np.uint64(0)))
-
-
-def unpack_keys(x: bytes) -> np.ndarray:
-    return np.cumsum(unpack(x, np.uint64), dtype=np.uint64)
-
-
 def _mix(x: np.ndarray) -> np.ndarray:
     x = (x ^ (x >> np.uint64(33))) * np.uint64(0xFF51AFD7ED558CCD)
     x = (x ^ (x >> np.uint64(33))) * np.uint64(0xC4CEB9FE1A85EC53)
     return x ^ (x >> np.uint64(33))
 
 
-class Tokens:
-    """The token stream of a chunk: numbers into its distinct words; 0 is the end of a document."""
+def _joined(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Keys of sequences of two parts; their lowest bit is zero."""
+    return _mix(a * np.uint64(3) + _mix(b)) & ~np.uint64(1)
 
-    def __init__(self, words: np.ndarray, stream: np.ndarray):
-        self.words, self.stream = words, stream
-        before = np.concatenate([[0], stream[:-1]])  # the end of the document before, which opens the next
-        self.pairs, self.pair_of = np.unique(before.astype(np.int64) << 32 | stream, return_inverse=True)
-        self.pair_keys = _mix(self.words[self.pairs >> 32] * np.uint64(3) + _mix(self.words[self.pairs & 0xFFFFFFFF]))
 
-    def asked(self) -> tuple[np.ndarray, np.ndarray]:
-        """All keys in order, and where each word and then each pair stands among them."""
-        keys = np.concatenate([self.words, self.pair_keys])
-        return np.unique(keys, return_inverse=True)
+class Grams:
+    """The words, bigrams and trigrams of a chunk, numbered; token 0 is the end of a document.
 
+    The first token of a document has an end before it, and no trigram.
+    """
 
-def _chunks(docs: DataFrame) -> DataFrame:
-    """(chunk, docs, words, stream): doc ids and training flags in the order of the stream."""
+    def __init__(self, words: bytes, stream: bytes):
+        self.words = unpack(words, np.uint64) | np.uint64(1)  # a lowest bit of one marks a word's key
+        self.stream = unpack(stream, np.uint32).astype(np.int64)
+        before = np.concatenate([[0], self.stream[:-1]])
+        self.first = before == 0
+        pairs, self.pair_of = np.unique(before << 32 | self.stream, return_inverse=True)
+        self.pairs = _joined(self.words[pairs >> 32], self.words[pairs & 0xFFFFFFFF])
+        self.ends = np.nonzero(self.stream == 0)[0]
+        self.sizes = np.diff(np.concatenate([[-1], self.ends]))
+
+    def teaches(self, learn: list[bool]) -> np.ndarray:
+        """For each token, whether its document teaches."""
+        return np.repeat(np.array(learn, bool), self.sizes)
+
+    def ask_words_and_pairs(self, learn: list[bool]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """The sorted keys of words and bigrams, how often the teaching documents have them, and their order."""
+        weight = self.teaches(learn).astype(float)
+        n = np.concatenate([np.bincount(self.stream, weight, len(self.words)), np.bincount(self.pair_of, weight, len(self.pairs))])
+        keys, order, place = np.unique(np.concatenate([self.words, self.pairs]), return_index=True, return_inverse=True)
+        return keys, n.astype(np.int64)[order], place
+
+    def triples(self, learn: list[bool], outside: np.ndarray):
+        """Numbers of the tokens that have a trigram, which trigram, own counts, keys, and which are to be asked for: those whose two bigrams other chunks have."""
+        teaches = self.teaches(learn)
+        at = np.nonzero(~self.first)[0]
+        size = max(1, len(self.pairs))
+        found, triple_of = np.unique(self.pair_of[at - 1] * size + self.pair_of[at], return_inverse=True)
+        own = np.bincount(triple_of, teaches[at], len(found)).astype(np.int64)
+        a, b = found // size, found % size
+        return at, triple_of, own, _joined(self.pairs[a], self.pairs[b]), outside[a] & outside[b]
+
+
+def _chunks(docs: DataFrame, chunk_tokens: int) -> DataFrame:
+    """(chunk, ids, learn, words, stream): doc ids and training flags in the order of the stream."""
 
     def over(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple[int | None, bool, list[bytes]]] = []
@@ -113,7 +123,7 @@ def _chunks(docs: DataFrame) -> DataFrame:
             for doc_id, learn, text in zip(*(batch.column(k).to_pylist() for k in range(3)), strict=True):
                 held.append((doc_id, learn, text.lower().split()))
                 size += len(held[-1][2]) + 1
-                if size >= CHUNK_TOKENS:
+                if size >= chunk_tokens:
                     yield chunk()
                     size = 0
         if held:
@@ -122,172 +132,207 @@ def _chunks(docs: DataFrame) -> DataFrame:
     return docs.mapInArrow(over, "chunk bigint, ids array<bigint>, learn array<boolean>, words binary, stream binary")
 
 
-def _tokens(words: bytes, stream: bytes) -> Tokens:
-    return Tokens(unpack(words, np.uint64), unpack(stream, np.uint32).astype(np.int64))
+def _rows(batches: Iterator[pa.RecordBatch]) -> Iterator[list]:
+    """One row after another, so that one chunk is held at a time."""
+    for batch in batches:
+        for k in range(batch.num_rows):
+            yield [column[k].as_py() for column in batch.columns]
+
+
+def _asked(chunks: DataFrame) -> DataFrame:
+    """(block, keys, n): the words and bigrams of each chunk."""
+
+    def over(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for chunk, learn, words, stream in _rows(batches):
+            keys, n, _ = Grams(words, stream).ask_words_and_pairs(learn)
+            yield pa.RecordBatch.from_arrays([pa.array([chunk]), pa.array([pack_keys(keys)], pa.binary()), pa.array([pack(n * 2)], pa.binary())], names=["block", "keys", "n"])
+
+    return chunks.select("chunk", "learn", "words", "stream").mapInArrow(over, "block bigint, keys binary, n binary")
 
 
-def _learned(tokens: Tokens, learn: list[bool]) -> np.ndarray:
-    """For each token, whether its document teaches."""
-    ends = np.nonzero(tokens.stream == 0)[0]
-    return np.repeat(np.array(learn, bool), np.diff(np.concatenate([[-1], ends])))
+def _all(parts: list[bytes] | None) -> np.ndarray:
+    return np.concatenate([np.empty(0, np.int64), *(unpack(x, np.int64) for x in parts or [])])
 
 
-def _requests(chunks: DataFrame, ranges: int) -> DataFrame:
-    """(range, chunk, keys, n, words): what each chunk asks of each range; words: how many keys are words."""
+def _with_pairs(chunks: DataFrame, answers: DataFrame) -> DataFrame:
+    """chunks with word_totals and pair_totals, and the trigrams that they ask for (keys, n)."""
+    schema = T.StructType([*chunks.schema, *(T.StructField(x, T.BinaryType()) for x in ("word_totals", "pair_totals", "keys", "n"))])
 
     def over(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for name, learn, words, stream in zip(*(batch.column(k).to_pylist() for k in (0, 2, 3, 4)), strict=True):
-                tokens = _tokens(words, stream)
-                keys, place = tokens.asked()
-                weight = _learned(tokens, learn).astype(float)
-                n = np.bincount(place[: len(tokens.words)], np.bincount(tokens.stream, weight, len(tokens.words)), len(keys))
-                n += np.bincount(place[len(tokens.words) :], np.bincount(tokens.pair_of, weight, len(tokens.pairs)), len(keys))
-                is_word = np.zeros(len(keys), np.uint8)
-                is_word[place[: len(tokens.words)]] = 1
-                cuts = np.searchsorted(keys, _borders(ranges))
-                parts = [(r, a, b) for r, (a, b) in enumerate(zip([0, *cuts], [*cuts, len(keys)])) if b > a]
-                n = n.astype(np.uint32)
-                columns = [
-                    pa.array([r for r, _, _ in parts], pa.int32()),
-                    pa.array([name] * len(parts), pa.int64()),
-                    pa.array([pack_keys(keys[a:b]) for _, a, b in parts], pa.binary()),
-                    pa.array([pack(n[a:b]) for _, a, b in parts], pa.binary()),
-                    pa.array([pack(is_word[a:b]) for _, a, b in parts], pa.binary()),
-                ]
-                yield pa.RecordBatch.from_arrays(columns, names=["range", "chunk", "keys", "n", "is_word"])
-
-    return chunks.mapInArrow(over, "range int, chunk bigint, keys binary, n binary, is_word binary")
-
-
-def _borders(ranges: int) -> np.ndarray:
-    return np.array([(k << 64) // ranges for k in range(1, ranges)], np.uint64)
-
-
-def _answer(group: pa.Table) -> pa.Table:
-    """The corpus counts of a range's keys, for each chunk in the order of its keys."""
-    keys = [unpack_keys(x) for x in group["keys"].to_pylist()]
-    n = [unpack(x, np.uint32) for x in group["n"].to_pylist()]
-    every, place = np.unique(np.concatenate(keys), return_inverse=True)
-    total = np.bincount(place, np.concatenate(n), len(every)).astype(np.uint32)
-    is_word = np.zeros(len(every), bool)
-    is_word[place] = np.concatenate([unpack(x, np.uint8) for x in group["is_word"].to_pylist()])
-    ends = np.cumsum([len(x) for x in keys])
-    words = total[is_word]
-    own = [0] * (len(keys) - 1)
-    return pa.table({
-        "chunk": group["chunk"], "range": group["range"],
-        "n": pa.array([pack(total[place[a:b]]) for a, b in zip([0, *ends[:-1]], ends)], pa.binary()),
-        "tokens": pa.array([int(words.sum()), *own], pa.int64()), "words": pa.array([int((words > 0).sum()), *own], pa.int64()),
-    })
-
-
-def _counted(ids: Iterable, learn: list[bool], words: bytes, stream: bytes, answers: list[bytes]):
-    """Token by token: c(w), c(v), c(v, w), and whether the document teaches."""
-    tokens = _tokens(words, stream)
-    _, place = tokens.asked()
-    n = np.concatenate([unpack(x, np.uint32) for x in answers])[place].astype(np.int64)
-    word = n[: len(tokens.words)]
-    pair = n[len(tokens.words) :]
-    before = tokens.pairs >> 32
-    return tokens, word[tokens.stream], word[before][tokens.pair_of], pair[tokens.pair_of], _learned(tokens, learn)
+        for chunk, ids, learn, words, stream, parts in _rows(batches):
+            grams = Grams(words, stream)
+            _, _, place = grams.ask_words_and_pairs(learn)
+            n = _all(parts)[place]
+            word, pair = n[: len(grams.words)], n[len(grams.words) :]
+            _, _, own, keys, ask = grams.triples(learn, (pair & 1).astype(bool))
+            order = np.argsort(keys[ask], kind="stable")
+            keys, first = np.unique(keys[ask][order], return_index=True)
+            values = [chunk, ids, learn, words, stream, pack(word), pack(pair), pack_keys(keys), pack(own[ask][order][first] * 2)]
+            yield pa.RecordBatch.from_arrays([pa.array([v], t) for v, t in zip(values, _ARROW + [pa.binary()] * 4, strict=True)], names=schema.names)
+
+    return chunks.join(answers.withColumnRenamed("block", "chunk"), "chunk", "left").mapInArrow(over, schema)
+
+
+_ARROW = [pa.int64(), pa.list_(pa.int64()), pa.list_(pa.bool_()), pa.binary(), pa.binary()]
+_COUNTED = "chunk bigint, ids array<bigint>, learn array<boolean>, sizes binary, word binary, pair binary, triple binary"
+
+
+def _counted(known: DataFrame, answers: DataFrame) -> DataFrame:
+    """Documents' sizes and, token by token, the corpus counts c(w), c(v, w) and c(u, v, w) of each chunk."""
+
+    def over(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for chunk, ids, learn, words, stream, word, pair, asked, parts in _rows(batches):
+            grams = Grams(words, stream)
+            word, pair = unpack(word, np.int64), unpack(pair, np.int64)
+            at, triple_of, own, keys, ask = grams.triples(learn, (pair & 1).astype(bool))
+            own[ask] = _all(parts)[np.searchsorted(unpack_keys(asked), keys[ask])] >> 1
+            word, pair = word >> 1, pair >> 1
+            triple = pair[grams.pair_of]  # a first token's trigram is its bigram
+            triple[at] = own[triple_of]
+            values = [chunk, ids, learn, pack(grams.sizes), pack(word[grams.stream]), pack(pair[grams.pair_of]), pack(triple)]
+            yield pa.RecordBatch.from_arrays([pa.array([v], t) for v, t in zip(values, _ARROW[:3] + [pa.binary()] * 4, strict=True)], names=["chunk", "ids", "learn", "sizes", "word", "pair", "triple"])
+
+    rows = known.drop("n").join(answers.withColumnRenamed("block", "chunk"), "chunk", "left")
+    return rows.mapInArrow(over, _COUNTED)
 
 
 def bucket_of(context: np.ndarray) -> np.ndarray:
-    """0 for an unseen context, else one more than the whole part of its frequency's logarithm to base 2."""
-    return np.minimum(np.frexp(context.astype(float))[1], BUCKETS - 1)
-
-
-def _bins(p: np.ndarray) -> np.ndarray:
-    """0 for zero; else the step of the logarithm."""
-    with np.errstate(divide="ignore"):
-        at = np.floor((np.log10(p) - LOWEST) * STEPS) + 1
-    return np.where(p > 0, np.clip(at, 1, 1 - LOWEST * STEPS), 0).astype(np.int64)
-
-
-def learn_weights(cells: np.ndarray, base: float, rounds: int = 60) -> np.ndarray:
-    """Weights (pair, word, base) of each bucket by EM; cells: bucket, tokens, mean pair and word estimates."""
-    weights = np.full((BUCKETS, 3), 1 / 3)
-    for b in range(BUCKETS):
-        rows = cells[cells[:, 0] == b]
-        if not len(rows):
-            weights[b] = 0, 0.5, 0.5
-            continue
-        parts = np.column_stack([rows[:, 2], rows[:, 3], np.full(len(rows), base)])
-        now = np.full(3, 1 / 3)
-        for _ in range(rounds):
-            share = parts * now
-            share /= share.sum(1, keepdims=True)
-            now = (share * rows[:, 1:2]).sum(0) / rows[:, 1].sum()
-        # a weight of zero would make an unseen word impossible
-        weights[b] = (now + 1e-6) / (now + 1e-6).sum()
+    """Frequencies up to 8 have a bucket each, larger ones one for each power of two."""
+    return np.where(context <= 8, context, np.frexp(context.astype(float))[1] + 5)
+
+
+@dataclass
+class Counts:
+    """Token by token: counts of word, bigram and trigram and of the contexts of the last two."""
+
+    word: np.ndarray
+    pair: np.ndarray
+    triple: np.ndarray
+    context: np.ndarray
+    wide_context: np.ndarray
+
+    @classmethod
+    def read(cls, sizes: np.ndarray, word: bytes, pair: bytes, triple: bytes) -> Counts:
+        word, pair, triple = (unpack(x, np.int64) for x in (word, pair, triple))
+        first = np.concatenate([[0], np.cumsum(sizes)[:-1]])
+        # an end has as many successors as a document has beginnings
+        context = np.concatenate([[0], word[:-1]])
+        context[first] = word[-1]
+        wide = np.concatenate([[0], pair[:-1]])
+        wide[first] = word[-1]
+        return cls(word, pair, triple, context, wide)
+
+    def without_own(self, teaches: np.ndarray, most: int | None = None) -> Counts:
+        """The teaching tokens, each taken out of its counts."""
+        return Counts(*(x[teaches][:most] - 1 for x in (self.word, self.pair, self.triple, self.context, self.wide_context)))
+
+
+@dataclass
+class Weights:
+    """Weights of the estimates: by bucket for trigrams and bigrams, one for words."""
+
+    three: np.ndarray
+    two: np.ndarray
+    one: float
+
+    def parts(self, c: Counts, total: float, base: float) -> tuple[np.ndarray, ...]:
+        """The mixture's four parts, which add up to the probability, and the buckets of the contexts."""
+        b3, b2 = bucket_of(c.wide_context), bucket_of(c.context)
+        a3, a2 = self.three[b3], self.two[b2]
+        p3 = a3 * (c.triple / np.maximum(c.wide_context, 1))
+        p2 = (1 - a3) * a2 * (c.pair / np.maximum(c.context, 1))
+        rest = (1 - a3) * (1 - a2)
+        return p3, p2, rest * self.one * (c.word / max(total, 1.0)), rest * ((1 - self.one) * base), b3, b2
+
+    def sums(self, c: Counts, total: float, base: float) -> np.ndarray:
+        """The E step: expected uses and tries of each weight, in one row."""
+        p3, p2, p1, p0, b3, b2 = self.parts(c, total, base)
+        p = p3 + p2 + p1 + p0
+        s3, s2, s1 = p3 / p, p2 / p, p1 / p
+        left = 1 - s3
+        return np.concatenate([
+            np.bincount(b3, s3, BUCKETS), np.bincount(b3, minlength=BUCKETS), np.bincount(b2, s2, BUCKETS), np.bincount(b2, left, BUCKETS), [s1.sum(), (left - s2).sum()]
+        ])
+
+    @classmethod
+    def of(cls, sums: np.ndarray) -> Weights:
+        """The M step, with one use and one miss more of each weight, so that none is zero or one; an unseen context has weight zero."""
+        use3, try3, use2, try2 = sums[: 4 * BUCKETS].reshape(4, BUCKETS)
+        three, two = (use3 + 1) / (try3 + 2), (use2 + 1) / (try2 + 2)
+        three[0] = two[0] = 0
+        return cls(three, two, float((sums[-2] + 1) / (sums[-1] + 2)))
+
+    @classmethod
+    def even(cls) -> Weights:
+        return cls.of(np.zeros(4 * BUCKETS + 2))
+
+    def moved(self, other: Weights) -> float:
+        return float(max(np.abs(self.three - other.three).max(), np.abs(self.two - other.two).max(), abs(self.one - other.one)))
+
+
+def learn_weights(counted: DataFrame, total: int, base: float, *, start_rounds: int = 60, rounds: int = 12, tolerance: float = 2e-3) -> Weights:
+    """Weights by EM on the deleted counts: steps on the first tokens of one chunk, then steps over all until no weight moves by more than ``tolerance``."""
+    deleted = max(1.0, total - 1.0)
+    weights = Weights.even()
+    start = counted.where(F.exists("learn", lambda x: x)).orderBy("chunk").select("learn", "sizes", "word", "pair", "triple").limit(1).collect()
+    for learn, sizes, *packed in start:
+        sizes = unpack(bytes(sizes), np.int64)
+        near = Counts.read(sizes, *map(bytes, packed)).without_own(np.repeat(np.array(learn, bool), sizes), START_TOKENS)
+        for _ in range(start_rounds):
+            weights = Weights.of(weights.sums(near, deleted, base))
+    for _ in range(rounds if start else 0):
+        shared = broadcast_value(counted, weights)
+
+        def step(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
+            sums = np.zeros(4 * BUCKETS + 2)
+            for learn, sizes, *packed in _rows(batches):
+                sizes = unpack(sizes, np.int64)
+                teaching = Counts.read(sizes, *packed).without_own(np.repeat(np.array(learn, bool), sizes))
+                sums += shared.value.sums(teaching, deleted, base)
+            yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(sums))), pa.array(sums)], names=["k", "x"])
+
+        found = counted.select("learn", "sizes", "word", "pair", "triple").mapInArrow(step, "k bigint, x double").groupBy("k").agg(F.sum("x").alias("x")).orderBy("k").collect()
+        before, weights = weights, Weights.of(np.array([r["x"] for r in found]))
+        if weights.moved(before) <= tolerance:
+            break
     return weights
 
 
-def score_documents(docs: DataFrame, *, learn: Column, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def score_documents(docs: DataFrame, *, learn: Column, id_col: str = "doc_id", text_col: str = "text", chunk_tokens: int = CHUNK_TOKENS, fan: int = FAN) -> DataFrame:
     """One row per document: doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score.
 
     Tokens are what stands between ASCII white space, with A-Z in lower case, and one end for
     each document; null texts are empty, so they have the end alone. Rows where ``learn`` is
     true teach; a null there is false. base_score adds one to every count; score is the model's
-    log10 probability of the text. A document's first token has the end as its context. Repeated
-    rows teach and are scored again each; ids may be null or repeat. If nothing is learned, every
-    token is unseen. An empty table gives an empty result.
+    log10 probability of the text. Repeated rows teach and are scored again each; ids may be
+    null or repeat. A very long text is a chunk by itself, as its task must hold it. If nothing
+    is learned, every token is unseen. An empty table gives an empty result; other columns of
+    ``docs`` are ignored, whatever their names.
     """
+    spark = docs.sparkSession
+    before = noted_paths(spark)
     named = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.coalesce(learn, F.lit(False)).alias("learn"), text_bytes(text_col).alias("text"))
-    chunks = materialise(_chunks(named), "chunks")
-    keys = chunks.agg(F.coalesce(F.sum(F.octet_length("words") / 8.0 + F.octet_length("stream") / 2.0), F.lit(0.0))).first()[0]
-    ranges = max(1, round(2 * keys / RANGE_KEYS))
-    schema = "chunk bigint, range int, n binary, tokens bigint, words bigint"
-    answers = materialise(_requests(chunks, ranges).groupBy("range").applyInArrow(_answer, schema), "answers")
-    total, distinct = answers.agg(F.coalesce(F.sum("tokens"), F.lit(0)), F.coalesce(F.sum("words"), F.lit(0))).first()
-    lists = answers.groupBy("chunk").agg(F.array_sort(F.collect_list(F.struct("range", "n"))).alias("answers"))
-    joined = chunks.join(lists, "chunk").select("ids", "learn", "words", "stream", F.col("answers.n").alias("n"))
+    chunks = materialise(_chunks(named, chunk_tokens), "chunks")
+    n_chunks = chunks.count()
+    answers, marks = totals(_asked(chunks), n_chunks, fan=fan)
+    total, distinct = marks.agg(F.coalesce(F.sum("tokens"), F.lit(0)), F.coalesce(F.sum("distinct"), F.lit(0))).first()
+    known = last_table(_with_pairs(chunks, answers), "known", before)
+    answers, _ = totals(known.select(F.col("chunk").alias("block"), "keys", "n"), n_chunks, fan=fan)
+    counted = last_table(_counted(known, answers), "counted", before)
     base = 1.0 / (distinct + 1)
-
-    def rows(batches: Iterator[pa.RecordBatch]):
-        for batch in batches:
-            for k in range(batch.num_rows):
-                ids, *rest = (batch.column(c)[k].as_py() for c in range(5))
-                yield ids, _counted(ids, *rest)
-
-    def estimates(word, context, pair):
-        return pair / np.maximum(context, 1), word / max(total, 1)
-
-    def cells(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        size = 2 - LOWEST * STEPS
-        n, pairs, words = (np.zeros(BUCKETS * size * size) for _ in range(3))
-        for _, (_, word, context, pair, teaches) in rows(batches):
-            # each training token is taken out of the counts
-            word, context, pair = (x[teaches] - 1 for x in (word, context, pair))
-            p2, p1 = estimates(word, context, pair)
-            at = (bucket_of(context) * size + _bins(p2)) * size + _bins(p1)
-            n += np.bincount(at, minlength=len(n))
-            pairs += np.bincount(at, p2, len(n))
-            words += np.bincount(at, p1, len(n))
-        at = np.nonzero(n)[0]
-        yield pa.RecordBatch.from_arrays([pa.array(at // (size * size)), pa.array(at), pa.array(n[at]), pa.array(pairs[at]), pa.array(words[at])], names=["bucket", "at", "n", "p2", "p1"])
-
-    found = joined.mapInArrow(cells, "bucket bigint, at bigint, n double, p2 double, p1 double").groupBy("bucket", "at").agg(*(F.sum(x).alias(x) for x in ("n", "p2", "p1"))).toPandas()
-    table = found[["bucket", "n", "p2", "p1"]].to_numpy(float).reshape(-1, 4)
-    table[:, 2:] /= table[:, 1:2]
-    weights = broadcast_value(docs, learn_weights(table, base))
+    weights = broadcast_value(docs, learn_weights(counted, total, base))
     log_base = float(np.log10(total + distinct + 1))
 
     def scores(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        k = weights.value
-        for ids, (tokens, word, context, pair, teaches) in rows(batches):
-            p2, p1 = estimates(word, context, pair)
-            w = k[bucket_of(context)]
-            # an unseen context has no pair estimate: its share goes to the others
-            w = np.where((context > 0)[:, None], w, w * [0, 1, 1] / np.maximum(w[:, 1:].sum(1, keepdims=True), 1e-300))
-            own = np.log10(w[:, 0] * p2 + w[:, 1] * p1 + w[:, 2] * base)
-            flat = np.log10(word + 1.0) - log_base
-            ends = np.nonzero(tokens.stream == 0)[0]
-            starts = np.concatenate([[0], ends[:-1] + 1])
+        for ids, learn, sizes, *packed in _rows(batches):
+            sizes = unpack(sizes, np.int64)
+            counts = Counts.read(sizes, *packed)
+            own = np.log10(sum(weights.value.parts(counts, float(total), base)[:4]))
+            flat = np.log10(counts.word + 1.0) - log_base
+            starts = np.concatenate([[0], np.cumsum(sizes)[:-1]])
             add = lambda x: np.add.reduceat(x, starts)
-            columns = [pa.array(ids, pa.int64()), pa.array(~teaches[starts]), pa.array(ends - starts + 1), pa.array(add((word > 0).astype(np.int64))), pa.array(np.full(len(ids), total, np.int64)), pa.array(add(flat)), pa.array(add(own))]
+            columns = [pa.array(ids, pa.int64()), pa.array([not x for x in learn], pa.bool_()), pa.array(sizes), pa.array(add((counts.word > 0).astype(np.int64))), pa.array(np.full(len(ids), total, np.int64)), pa.array(add(flat)), pa.array(add(own))]
             yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"])
 
     schema = T.StructType([T.StructField("doc_id", T.LongType()), T.StructField("held_out", T.BooleanType())] + [T.StructField(x, T.LongType()) for x in ("n_tokens", "n_known", "train_tokens")] + [T.StructField(x, T.DoubleType()) for x in ("base_score", "score")])
-    return joined.mapInArrow(scores, schema)
+    return last_table(counted.drop("chunk").mapInArrow(scores, schema), "ngram-scores", before)

@@ -298,26 +298,6 @@ def test_language_filter_has_no_misses():
     assert model.counts(["bonjour"])[0].tolist() == [len(langid.ngrams(["bonjour"])[0]), 0, len(langid.ngrams(["bonjour"])[0])]
 
 
-def test_language_model(docs, texts):
-    tokens = {i: [*re.findall(r"[^\x20\x09-\x0D]+", low(t or "")), " "] for i, t in texts.items()}
-    learn = {i: zlib.crc32(str(i).encode()) % 7 != 2 for i in tokens}
-    counts, pairs = Counter(), Counter()
-    for i, t in tokens.items():
-        if learn[i]:
-            counts.update(t)
-            pairs.update(zip([" ", *t], t))
-    total, distinct = sum(counts.values()), len(counts)
-    rows = {r["doc_id"]: r for r in ngrams.score_documents(docs, learn=queries.id_crc("doc_id", 7) != 2).collect()}
-    assert rows.keys() == tokens.keys()
-    for i, t in tokens.items():
-        r = rows[i]
-        base = sum(math.log10((counts[w] + 1) / (total + distinct + 1)) for w in t)
-        assert (r["held_out"], r["n_tokens"], r["n_known"], r["train_tokens"]) == (not learn[i], len(t), sum(counts[w] > 0 for w in t), total)
-        assert math.isclose(r["base_score"], base, rel_tol=1e-9) and r["score"] < 0
-    held = [r for i, r in rows.items() if not learn[i]]
-    assert sum(r["score"] for r in held) > sum(r["base_score"] for r in held)
-
-
 def test_language_model_prefers_seen_pairs(spark):
     """After a word, the words that followed it in training gain most over their place at a start."""
     train = [(k, t) for k, t in enumerate(["a b a b a c", "b a", "a b c", "c"])]
