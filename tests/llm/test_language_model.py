@@ -88,7 +88,7 @@ def blocks_of(spark, blocks):
 def test_exchange_sums_numbers_beyond_32_bits(spark, fan):
     """Every block gets the sums of its keys, through as many rounds as it takes; sums pass 2**32."""
     rng = np.random.default_rng(2)
-    common = [int(x) for x in rng.integers(0, 2**63, 20, dtype=np.int64) * 2 + 1]
+    common = [2 * int(x) + 1 for x in rng.integers(0, 2**63, 20, dtype=np.int64)]
     blocks = [{**{x: 2**31 + k for x in common}, **{int(x): k for x in rng.integers(0, 2**63, 30, dtype=np.int64)}} for k in range(9)]
     want = Counter()
     for b in blocks:
