@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
@@ -42,13 +42,13 @@ def _file_system(spark: SparkSession, path: str):
     return own.getFileSystem(spark._jsc.hadoopConfiguration()), own
 
 
-def write_shared(df: DataFrame, path: str) -> None:
-    """Write ``df`` as Parquet to a new folder that is deleted when the driver ends, if not released before."""
+def write_shared(df: DataFrame, path: str, mode: str = "error") -> None:
+    """Write ``df`` as Parquet to a folder that is deleted when the driver ends, if not released before."""
     spark = df.sparkSession
     before = spark.conf.get(_DROP_SHUFFLES, None)
     spark.conf.set(_DROP_SHUFFLES, "true")
     try:
-        df.write.parquet(path)
+        df.write.mode(mode).parquet(path)
     finally:
         spark.conf.unset(_DROP_SHUFFLES) if before is None else spark.conf.set(_DROP_SHUFFLES, before)
     fs, own = _file_system(spark, path)
@@ -91,15 +91,28 @@ def materialise(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def materialise_parts(parts: Sequence[DataFrame], name: str) -> DataFrame:
+    """The union of ``parts`` as one table, each written after the other, so that the shuffles of one are on disk at a time."""
+    spark = parts[0].sparkSession
+    path = shared_path(spark, name)
+    for part in parts:
+        write_shared(part, path, "append")
+    return spark.read.schema(parts[0].schema).parquet(path)
+
+
 def last_table(df: DataFrame, name: str, known: list[str]) -> DataFrame:
     """``df`` written and read back, after which all shared tables that aren't ``known`` are released.
 
     For an operator's last table: what was written on the way is gone when the operator returns.
     """
-    out = materialise(df, name)
-    own = _noted(df.sparkSession)
-    release(df.sparkSession, [x for x in own[:-1] if x not in set(known)])
-    return out
+    return only_table(materialise(df, name), known)
+
+
+def only_table(table: DataFrame, known: list[str]) -> DataFrame:
+    """``table``, the one written last, after a release of all shared tables that aren't ``known``."""
+    own = _noted(table.sparkSession)
+    release(table.sparkSession, [x for x in own[:-1] if x not in set(known)])
+    return table
 
 
 def noted_paths(spark: SparkSession) -> list[str]:

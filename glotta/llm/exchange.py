@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 from glotta.llm.common import materialise
 
 #: Pieces of a block, and blocks in a group; a power of two.
-FAN = 256
+FAN = 512
 
 
 def pack(x: np.ndarray) -> bytes:

@@ -27,7 +27,7 @@ keys at any size of the corpus. N-grams are compared by 64-bit hashes.
 from __future__ import annotations
 
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -38,13 +38,15 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from glotta.llm.common import broadcast_value, last_table, materialise, noted_paths, text_bytes
-from glotta.llm.exchange import FAN, pack, pack_keys, totals, unpack, unpack_keys
+from glotta.llm.common import broadcast_value, last_table, materialise, materialise_parts, noted_paths, only_table, text_bytes
+from glotta.llm.exchange import FAN, pack, pack_keys, totals, unpack
 
 #: Tokens in a chunk, about; a longer document is a chunk by itself.
-CHUNK_TOKENS = 1_000_000
+CHUNK_TOKENS = 500_000
 #: Contexts with a frequency of 0, 1, ..., 8, 9-15, 16-31, ... have a bucket each.
 BUCKETS = 70
+#: Chunks meet their answers in so many turns, which bounds the shuffle files on disk.
+TURNS = 3
 #: Tokens that the first steps of the EM run on.
 START_TOKENS = 200_000
 _END = b" "  # no word contains a space
@@ -154,9 +156,9 @@ def _all(parts: list[bytes] | None) -> np.ndarray:
     return np.concatenate([np.empty(0, np.int64), *(unpack(x, np.int64) for x in parts or [])])
 
 
-def _with_pairs(chunks: DataFrame, answers: DataFrame) -> DataFrame:
-    """chunks with word_totals and pair_totals, and the trigrams that they ask for (keys, n)."""
-    schema = T.StructType([*chunks.schema, *(T.StructField(x, T.BinaryType()) for x in ("word_totals", "pair_totals", "keys", "n"))])
+def _known(chunks: DataFrame, answers: DataFrame) -> DataFrame:
+    """Chunks as tokens: sizes of their documents, counts of each token's word and bigram, and its trigram's
+    own count and place among the trigrams that the chunk asks for (0: none); and what it asks for (keys, n)."""
 
     def over(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for chunk, ids, learn, words, stream, parts in _rows(batches):
@@ -164,16 +166,22 @@ def _with_pairs(chunks: DataFrame, answers: DataFrame) -> DataFrame:
             _, _, place = grams.ask_words_and_pairs(learn)
             n = _all(parts)[place]
             word, pair = n[: len(grams.words)], n[len(grams.words) :]
-            _, _, own, keys, ask = grams.triples(learn, (pair & 1).astype(bool))
-            order = np.argsort(keys[ask], kind="stable")
-            keys, first = np.unique(keys[ask][order], return_index=True)
-            values = [chunk, ids, learn, words, stream, pack(word), pack(pair), pack_keys(keys), pack(own[ask][order][first] * 2)]
-            yield pa.RecordBatch.from_arrays([pa.array([v], t) for v, t in zip(values, _ARROW + [pa.binary()] * 4, strict=True)], names=schema.names)
+            at, triple_of, own, keys, ask = grams.triples(learn, (pair & 1).astype(bool))
+            asked, first, order = np.unique(keys[ask], return_index=True, return_inverse=True)
+            places = np.zeros(len(keys), np.int32)
+            places[ask] = order + 1
+            pair = (pair >> 1)[grams.pair_of]
+            triple, place = pair.copy(), np.zeros(len(pair), np.int32)  # a first token's trigram is its bigram
+            triple[at], place[at] = own[triple_of], places[triple_of]
+            values = [chunk, ids, learn, pack(grams.sizes), pack((word >> 1)[grams.stream]), pack(pair), pack(triple), pack(place), pack_keys(asked), pack(own[ask][first] * 2)]
+            yield pa.RecordBatch.from_arrays([pa.array([v], t) for v, t in zip(values, _ARROW + [pa.binary()] * 3, strict=True)], names=[*_COLUMNS, "place", "keys", "n"])
 
-    return chunks.join(answers.withColumnRenamed("block", "chunk"), "chunk", "left").mapInArrow(over, schema)
+    fields = ", ".join(f"{x} binary" for x in ("place", "keys", "n"))
+    return chunks.join(answers.withColumnRenamed("block", "chunk"), "chunk", "left").mapInArrow(over, f"{_COUNTED}, {fields}")
 
 
-_ARROW = [pa.int64(), pa.list_(pa.int64()), pa.list_(pa.bool_()), pa.binary(), pa.binary()]
+_COLUMNS = ["chunk", "ids", "learn", "sizes", "word", "pair", "triple"]
+_ARROW = [pa.int64(), pa.list_(pa.int64()), pa.list_(pa.bool_()), *[pa.binary()] * 4]
 _COUNTED = "chunk bigint, ids array<bigint>, learn array<boolean>, sizes binary, word binary, pair binary, triple binary"
 
 
@@ -181,21 +189,22 @@ def _counted(known: DataFrame, answers: DataFrame) -> DataFrame:
     """Documents' sizes and, token by token, the corpus counts c(w), c(v, w) and c(u, v, w) of each chunk."""
 
     def over(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for chunk, ids, learn, words, stream, word, pair, asked, parts in _rows(batches):
-            grams = Grams(words, stream)
-            word, pair = unpack(word, np.int64), unpack(pair, np.int64)
-            at, triple_of, own, keys, ask = grams.triples(learn, (pair & 1).astype(bool))
-            own[ask] = _all(parts)[np.searchsorted(unpack_keys(asked), keys[ask])] >> 1
-            word, pair = word >> 1, pair >> 1
-            triple = pair[grams.pair_of]  # a first token's trigram is its bigram
-            triple[at] = own[triple_of]
-            values = [chunk, ids, learn, pack(grams.sizes), pack(word[grams.stream]), pack(pair[grams.pair_of]), pack(triple)]
-            yield pa.RecordBatch.from_arrays([pa.array([v], t) for v, t in zip(values, _ARROW[:3] + [pa.binary()] * 4, strict=True)], names=["chunk", "ids", "learn", "sizes", "word", "pair", "triple"])
-
-    rows = known.drop("n").join(answers.withColumnRenamed("block", "chunk"), "chunk", "left")
+        for *kept, triple, place, parts in _rows(batches):
+            place = unpack(place, np.int32)
+            counts = np.concatenate([np.zeros(1, np.int64), _all(parts) >> 1])[place]
+            triple = np.where(place > 0, counts, unpack(triple, np.int64))
+            yield pa.RecordBatch.from_arrays([pa.array([v], t) for v, t in zip([*kept, pack(triple)], _ARROW, strict=True)], names=_COLUMNS)
+
+    rows = known.drop("keys", "n").join(answers.withColumnRenamed("block", "chunk"), "chunk", "left")
     return rows.mapInArrow(over, _COUNTED)
 
 
+def _in_turns(rows: DataFrame, answers: DataFrame, met: Callable[[DataFrame, DataFrame], DataFrame], name: str) -> DataFrame:
+    """``met`` of rows (chunk) and their answers (block), a part of the chunks at a time, as one table."""
+    part = lambda df, key, k: df.where(F.pmod(F.xxhash64(key), F.lit(TURNS)) == k)
+    return materialise_parts([met(part(rows, "chunk", k), part(answers, "block", k)) for k in range(TURNS)], name)
+
+
 def bucket_of(context: np.ndarray) -> np.ndarray:
     """Frequencies up to 8 have a bucket each, larger ones one for each power of two."""
     return np.where(context <= 8, context, np.frexp(context.astype(float))[1] + 5)
@@ -316,9 +325,9 @@ def score_documents(docs: DataFrame, *, learn: Column, id_col: str = "doc_id", t
     n_chunks = chunks.count()
     answers, marks = totals(_asked(chunks), n_chunks, fan=fan)
     total, distinct = marks.agg(F.coalesce(F.sum("tokens"), F.lit(0)), F.coalesce(F.sum("distinct"), F.lit(0))).first()
-    known = last_table(_with_pairs(chunks, answers), "known", before)
+    known = only_table(_in_turns(chunks, answers, _known, "known"), before)
     answers, _ = totals(known.select(F.col("chunk").alias("block"), "keys", "n"), n_chunks, fan=fan)
-    counted = last_table(_counted(known, answers), "counted", before)
+    counted = only_table(_in_turns(known, answers, _counted, "counted"), before)
     base = 1.0 / (distinct + 1)
     weights = broadcast_value(docs, learn_weights(counted, total, base))
     log_base = float(np.log10(total + distinct + 1))
