@@ -42,7 +42,7 @@ from glotta.llm.common import broadcast_value, last_table, materialise, material
 from glotta.llm.exchange import FAN, pack, pack_keys, totals, unpack
 
 #: Tokens in a chunk, about; a longer document is a chunk by itself.
-CHUNK_TOKENS = 500_000
+CHUNK_TOKENS = 400_000
 #: Contexts with a frequency of 0, 1, ..., 8, 9-15, 16-31, ... have a bucket each.
 BUCKETS = 70
 #: Chunks meet their answers in so many turns, which bounds the shuffle files on disk.
@@ -122,7 +122,7 @@ def _chunks(docs: DataFrame, chunk_tokens: int) -> DataFrame:
 
         size = 0
         for batch in batches:
-            for doc_id, learn, text in zip(*(batch.column(k).to_pylist() for k in range(3)), strict=True):
+            for doc_id, learn, text in _rows([batch]):
                 held.append((doc_id, learn, text.lower().split()))
                 size += len(held[-1][2]) + 1
                 if size >= chunk_tokens:
@@ -283,7 +283,9 @@ def learn_weights(counted: DataFrame, total: int, base: float, *, start_rounds:
     """Weights by EM on the deleted counts: steps on the first tokens of one chunk, then steps over all until no weight moves by more than ``tolerance``."""
     deleted = max(1.0, total - 1.0)
     weights = Weights.even()
-    start = counted.where(F.exists("learn", lambda x: x)).orderBy("chunk").select("learn", "sizes", "word", "pair", "triple").limit(1).collect()
+    taught = counted.where(F.exists("learn", lambda x: x))
+    least = taught.agg(F.min("chunk")).first()[0]
+    start = taught.where(F.col("chunk") == F.lit(least)).select("learn", "sizes", "word", "pair", "triple").collect()  # one chunk
     for learn, sizes, *packed in start:
         sizes = unpack(bytes(sizes), np.int64)
         near = Counts.read(sizes, *map(bytes, packed)).without_own(np.repeat(np.array(learn, bool), sizes), START_TOKENS)
