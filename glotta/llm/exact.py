@@ -2,17 +2,20 @@
 
 Native: DataFrame functions only.
 
-1. Every text gets a 64-bit key. One aggregation by (key, text) lets the task that owns a key
-   compare the bytes of all texts that share it: equal texts fall together (already on the map
+1. Every text gets a 64-bit key. The directory addresses keys by their leading bits: the
+   distinct keys of each slot are counted, and a bucket that holds more than ``capacity`` keys
+   is split, which doubles the directory where needed, until each bucket fits or the directory
+   has its full depth. It has MOST_SLOTS slots at most, whatever the corpus, so it is broadcast;
+   capacity grows where fewer keys a bucket would need more slots.
+2. Every text is routed through the directory to its bucket. The task that owns a bucket's key
+   compares the bytes of all texts that share it: equal texts fall together (already on the map
    side, so a group of copies that holds a third of all rows arrives as one row per task), and
    different texts with one key become separate links of the key's chain.
-2. The directory addresses keys by their leading bits. A bucket that holds more than
-   ``capacity`` keys is split, which doubles the directory where needed, until each bucket
-   fits or the directory has its full depth.
 3. Owner tasks each take a range of buckets, number the chains, and write the entries, sorted,
    to the shared folder.
-4. Each document finds its entry by key and digest. Entries of groups over ``hot_share`` of all
-   rows are few (1 / hot_share at most); their keys are salted so that no task gets a group.
+4. Each document is routed to its bucket again and follows the chain of its key there to the
+   link with its digest, which says what stays. Entries of groups over ``hot_share`` of all rows
+   are few (1 / hot_share at most); their keys are salted so that no task gets a group.
 """
 
 from __future__ import annotations
@@ -25,16 +28,19 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from glotta.llm.common import materialise, text_or_empty
+from glotta.llm.common import last_table, materialise, noted_paths, text_or_empty
 
 KEY_BITS = 64
 #: The directory can be this many bits deeper than an even spread of keys would need.
-SPARE_DEPTH = 6
+SPARE_DEPTH = 3
+#: Slots of a directory, at most; two 64-bit numbers each, so 16 MB.
+MOST_DEPTH = 20
+MOST_SLOTS = 1 << MOST_DEPTH
 
 
 @dataclass(frozen=True)
 class ExtendibleIndex:
-    """entries: bucket, local_depth, key, chain, text_sha256, keep_id, group_size.
+    """entries: bucket, key, chain, digest, keep_id, group_size, sorted, in files of bucket ranges.
     directory: slot, bucket, local_depth; 2**global_depth slots."""
 
     entries: DataFrame
@@ -89,34 +95,69 @@ def build_index(
     capacity: int = 4096,
 ) -> ExtendibleIndex:
     """Index every distinct text of ``docs`` and write it to the shared folder."""
-    found = (
-        _keyed(docs, id_col, text_col, normalise)
-        .groupBy("key", "_text")
-        .agg(F.max("doc_id").alias("keep_id"), F.count(F.lit(1)).alias("group_size"))
-        .select("key", F.unhex(F.sha2("_text", 256)).alias("digest"), "keep_id", "group_size")
-    )
-    chains = materialise(found, "exact-chains")
-    n_keys, n_rows = chains.agg(F.count(F.lit(1)), F.coalesce(F.sum("group_size"), F.lit(0))).first()
-    depth = min(40, max(0, math.ceil(math.log2(max(1, n_keys / capacity)))) + SPARE_DEPTH)
+    rows = _keyed(docs, id_col, text_col, normalise)
+    keys = materialise(rows.groupBy("key").agg(F.count(F.lit(1)).alias("n")), "exact-keys")
+    n_keys, n_rows = keys.agg(F.count(F.lit(1)), F.coalesce(F.sum("n"), F.lit(0))).first()
+    capacity = max(capacity, math.ceil(n_keys * (1 << SPARE_DEPTH) / MOST_SLOTS))
+    depth = min(MOST_DEPTH, max(0, math.ceil(math.log2(max(1, n_keys / capacity)))) + SPARE_DEPTH)
     # a pointer for every slot that a bucket covers
     first = F.expr(f"shiftleft(prefix, {depth} - level)")
-    directory = split_buckets(chains, depth, capacity).select(
+    directory = split_buckets(keys, depth, capacity).select(
         F.explode(F.sequence(first, F.expr(f"shiftleft(prefix + 1, {depth} - level) - 1"))).alias("slot"),
         first.alias("bucket"),
         F.col("level").alias("local_depth"),
     )
+    directory = materialise(directory, "exact-directory")
+    links = (
+        _routed(rows, directory, depth)
+        .groupBy("bucket", "key", "_text")
+        .agg(F.max("doc_id").alias("keep_id"), F.count(F.lit(1)).alias("group_size"))
+        .select("bucket", "key", F.unhex(F.sha2("_text", 256)).alias("digest"), "keep_id", "group_size")
+    )
     chain = F.row_number().over(W.partitionBy("bucket", "key").orderBy("digest"))
     entries = (
-        chains.withColumn("slot", _slot(depth))
-        .join(directory, "slot")
+        materialise(links, "exact-links")
         .repartitionByRange("bucket")
         .withColumn("chain", chain)
         .sortWithinPartitions("bucket", "key", "chain")
-        .select("bucket", "local_depth", "key", "chain", "digest", "keep_id", "group_size")
+        .select("bucket", "key", "chain", "digest", "keep_id", "group_size")
     )
     return ExtendibleIndex(materialise(entries, "exact-index"), directory, depth, n_rows)
 
 
+def _routed(rows: DataFrame, directory: DataFrame, depth: int) -> DataFrame:
+    """``rows`` (key) with the bucket that the directory, a table of MOST_SLOTS rows at most, has in their slot."""
+    pointers = directory.select(F.col("slot").alias("_slot"), "bucket")
+    return rows.withColumn("_slot", _slot(depth)).join(F.broadcast(pointers), "_slot").drop("_slot")
+
+
+def probe(
+    docs: DataFrame,
+    index: ExtendibleIndex,
+    *,
+    id_col: str = "doc_id",
+    text_col: str = "text",
+    normalise: Callable[[Column], Column] | None = None,
+    hot_share: float = 1e-4,
+) -> DataFrame:
+    """(doc_id, keep_id, group_size, kept, text_sha256) of the documents whose text the index has."""
+    per_salt = max(1, math.ceil(hot_share * index.n_rows))
+    entries = index.entries.select("bucket", "key", "digest", "keep_id", "group_size")
+    # at most 1 / hot_share groups have more rows than per_salt: a bounded broadcast
+    hot = entries.where(F.col("group_size") > per_salt).groupBy("key").agg(F.ceil(F.max("group_size") / per_salt).cast("int").alias("salts"))
+    salted = lambda rows: rows.join(F.broadcast(hot), "key", "left")
+    sought = salted(_keyed(docs, id_col, text_col, normalise).select("doc_id", "key", F.unhex(F.sha2("_text", 256)).alias("digest")))
+    sought = _routed(sought, index.directory, index.global_depth).withColumn("salt", F.coalesce(F.pmod(F.hash("doc_id"), F.col("salts")), F.lit(0)))
+    links = salted(entries).withColumn("salt", F.explode(F.sequence(F.lit(0), F.coalesce(F.col("salts"), F.lit(1)) - 1))).drop("salts")
+    return sought.join(links, ["bucket", "key", "digest", "salt"]).select(
+        F.col("doc_id"),
+        F.col("keep_id"),
+        F.col("group_size"),
+        F.col("doc_id").eqNullSafe(F.col("keep_id")).alias("kept"),
+        F.lower(F.hex("digest")).alias("text_sha256"),
+    )
+
+
 def exact_duplicates(
     docs: DataFrame,
     *,
@@ -131,36 +172,13 @@ def exact_duplicates(
     Null texts count as empty. Of equal texts the row with the largest doc_id stays; a null id
     is below all others and stays only if no row of its group has an id. Rows that repeat both
     id and text are one document said twice and share their verdict. An empty table gives an
-    empty result; other columns of ``docs`` are ignored, whatever their names.
+    empty result; other columns of ``docs`` are ignored, whatever their names. A text of any
+    length is one value, which the task that owns it must hold.
     """
+    known = noted_paths(docs.sparkSession)
     index = build_index(docs, id_col=id_col, text_col=text_col, normalise=normalise, capacity=capacity)
-    per_salt = max(1, math.ceil(hot_share * index.n_rows))
-    entries = index.entries.select("key", "digest", "keep_id", "group_size").withColumn(
-        "salts", F.ceil(F.col("group_size") / per_salt).cast("int")
-    )
-    # at most 1 / hot_share groups have more rows than per_salt: a bounded broadcast
-    hot = entries.where(F.col("group_size") > per_salt).select("key", F.col("salts").alias("hot_salts"))
-    hot = hot.groupBy("key").agg(F.max("hot_salts").alias("hot_salts"))
-    rows = (
-        _keyed(docs, id_col, text_col, normalise)
-        .select("doc_id", "key", F.unhex(F.sha2("_text", 256)).alias("digest"))
-        .join(F.broadcast(hot), "key", "left")
-        .withColumn("salt", F.coalesce(F.pmod(F.hash("doc_id"), F.col("hot_salts")), F.lit(0)))
-    )
-    salted = entries.join(F.broadcast(hot), "key", "left").select(
-        "key",
-        "digest",
-        "keep_id",
-        "group_size",
-        F.explode(F.sequence(F.lit(0), F.coalesce(F.col("hot_salts"), F.lit(1)) - 1)).alias("salt"),
-    )
-    return rows.join(salted, ["key", "digest", "salt"]).select(
-        F.col("doc_id"),
-        F.col("keep_id"),
-        F.col("group_size"),
-        F.col("doc_id").eqNullSafe(F.col("keep_id")).alias("kept"),
-        F.lower(F.hex("digest")).alias("text_sha256"),
-    )
+    found = probe(docs, index, id_col=id_col, text_col=text_col, normalise=normalise, hot_share=hot_share)
+    return last_table(found, "exact-verdicts", known)
 
 
 def keep_rows(docs: DataFrame, verdicts: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

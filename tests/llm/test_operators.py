@@ -218,6 +218,27 @@ def test_exact(spark, docs, texts, options):
     assert {r["doc_id"] for r in kept.collect()} == {max(x for x in ids if x is not None) for t, ids in groups.items() if any(x is not None for x in ids)}
 
 
+def test_exact_reads_its_directory(docs):
+    """A document that the directory sends to another bucket isn't found there."""
+    index = exact.build_index(docs, capacity=4)
+    assert exact.probe(docs, index).count() == docs.count() and index.directory.select("bucket").distinct().count() > 4
+    shifted = index.directory.select("slot", (F.col("bucket") + 1).alias("bucket"), "local_depth")
+    assert exact.probe(docs, exact.ExtendibleIndex(index.entries, shifted, index.global_depth, index.n_rows)).count() == 0
+    fitting = index.entries.groupBy("bucket").agg(F.countDistinct("key").alias("n")).agg(F.max("n")).first()[0]
+    assert fitting <= 4
+
+
+def test_exact_chains_texts_that_share_a_key(spark, docs, texts, monkeypatch):
+    """With one key for all texts, bytes alone tell them apart."""
+    whole = exact._keyed
+    monkeypatch.setattr(exact, "_keyed", lambda *a: whole(*a).withColumn("key", F.lit(7).cast("bigint")))
+    groups = defaultdict(list)
+    for i, t in texts.items():
+        groups[t or ""].append(i)
+    got = {r["doc_id"]: (r["keep_id"], r["group_size"]) for r in exact.exact_duplicates(docs).collect()}
+    assert got == {i: (max(ids), len(ids)) for ids in groups.values() for i in ids}
+
+
 def test_split_buckets(spark):
     keys = spark.createDataFrame([(k << 60,) for k in [0] * 5 + [1] + [2, 2] + [7]], "key bigint")
     found = {(r["level"], r["prefix"]): r["n"] for r in exact.split_buckets(keys, 4, 3).collect()}
