@@ -245,12 +245,12 @@ def test_split_buckets(spark):
     assert sum(found.values()) == 9 and found[4, 0] == 5 and all(n <= 3 for (level, _), n in found.items() if level < 4)
 
 
-def spans_of(texts, passage):
+def spans_of(texts, passage, within=False):
     words = {i: (t or "").encode().split() for i, t in texts.items()}
     where = defaultdict(set)
     for i, w in words.items():
         for s in range(len(w) - passage + 1):
-            where[tuple(w[s : s + passage])].add(i)
+            where[tuple(w[s : s + passage])].add((i, s) if within else i)
     out = set()
     for i, w in words.items():
         now = []
@@ -264,10 +264,31 @@ def spans_of(texts, passage):
     return out
 
 
-@pytest.mark.parametrize("passage,seed", [(50, 20), (8, 3)])
-def test_repeats(docs, texts, passage, seed):
-    got = repeats.repeated_spans(docs, passage=passage, seed=seed).collect()
-    assert {tuple(r) for r in got} == spans_of(texts, passage) and len(got) == len({tuple(r) for r in got})
+@pytest.mark.parametrize("passage,seed,within", [(50, 20, False), (8, 3, False), (8, 3, True)])
+def test_repeats(docs, texts, passage, seed, within):
+    got = repeats.repeated_spans(docs, passage=passage, seed=seed, within_documents=within).collect()
+    assert {tuple(r) for r in got} == spans_of(texts, passage, within) and len(got) == len({tuple(r) for r in got})
+
+
+def test_repeats_do_not_trust_one_hash(docs, texts, monkeypatch):
+    """All seeds and first digests collide: the second digest still tells runs and windows apart."""
+    whole = repeats.runs
+
+    def colliding(*a):
+        seeds, one, two, first, count, windows, windows2 = whole(*a)
+        return seeds * np.uint64(0), one * np.uint64(0), two, first, count, windows * np.uint64(0), windows2
+
+    monkeypatch.setattr(repeats, "runs", colliding)
+    got = repeats.repeated_spans(docs, passage=50, seed=20).collect()
+    assert {tuple(r) for r in got} == spans_of(texts, 50)
+
+
+def test_repeats_by_document(docs, texts):
+    want = defaultdict(list)
+    for i, a, b in sorted(spans_of(texts, 50)):
+        want[i].append((a, b))
+    got = {r["doc_id"]: (r["n_spans"], r["n_repeated"], r["longest"], [tuple(x) for x in r["spans"]]) for r in repeats.repeats_by_document(docs).collect()}
+    assert got == {i: (len(x), sum(b - a for a, b in x), max(b - a for a, b in x), x) for i, x in want.items()}
 
 
 def test_urls(spark):
