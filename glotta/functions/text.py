@@ -62,12 +62,24 @@ def raw_tokens(text: Column) -> Column:
 
 def elision(raw: Column) -> Column:
     """The elided word before a token (``l'``), or empty."""
-    return F.regexp_extract(F.translate(F.lower(raw), "’", "'"), ELIDED, 0)
+    low = F.translate(F.lower(raw), "’", "'")
+    return F.when(low.contains("'"), F.regexp_extract(low, ELIDED, 0)).otherwise("")
 
 
 def word_of(raw: Column) -> Column:
     """The token in lower case, without an elided word before it."""
-    return F.regexp_replace(F.translate(F.lower(raw), "’", "'"), ELIDED, "")
+    return word_of_low(F.lower(raw))
+
+
+def word_of_low(low: Column) -> Column:
+    """``word_of`` of a token in lower case; only a token with an apostrophe meets a pattern."""
+    low = F.translate(low, "’", "'")
+    return F.when(low.contains("'"), F.regexp_replace(low, ELIDED, "")).otherwise(low)
+
+
+def words(text: Column) -> Column:
+    """The words of all tokens, in their order."""
+    return F.transform(raw_tokens(F.lower(text)), word_of_low)
 
 
 def sentences(text: Column) -> Column:
@@ -112,13 +124,21 @@ def is_number_word(word: Column, numerals: list[str]) -> Column:
 
 
 def html_to_text(html: Column) -> Column:
-    """The readable text of a web page: no scripts or styles, block ends as line breaks, entities resolved."""
-    out = F.regexp_replace(html, r"(?is)<script\b[^>]*>.*?</script>|<style\b[^>]*>.*?</style>", " ")
-    out = F.regexp_replace(out, r"(?i)<br\s*/?>", "\n")
-    out = F.regexp_replace(out, r"(?i)</(p|div|h[1-6]|li|tr|section|blockquote)>", "\n")
-    out = unescape(F.regexp_replace(out, "(?s)<[^>]+>", " "))
-    out = F.regexp_replace(out, r"[ \t]+", " ")
-    return trimmed(F.regexp_replace(out, r" *\n[ \n]*", "\n"))
+    """The readable text of a page: no scripts, styles and tags, some block ends as line breaks, entities resolved, blanks collapsed."""
+    out = F.regexp_replace(html, r"(?is)<script.*?</script>", "")
+    out = F.regexp_replace(out, r"(?is)<style.*?</style>", "")
+    out = F.regexp_replace(out, rf"(?i)<br{WS}*/?>", "\n")
+    out = F.regexp_replace(out, r"(?i)</(p|div|h[1-6]|li)>", "\n")
+    out = unescape(F.regexp_replace(out, "<[^>]+>", ""))
+    return trimmed(F.regexp_replace(out, r"[ \t]+", " "))
+
+
+def escape_html(text: Column) -> Column:
+    """The text with the five characters that mark-up gives a meaning as entities, the ampersand first."""
+    out = text
+    for c, name in [("&", "&amp;"), ("<", "&lt;"), (">", "&gt;"), ('"', "&quot;"), ("'", "&#39;")]:
+        out = F.replace(out, F.lit(c), F.lit(name))
+    return out
 
 
 # Named entities, the ampersand last.
@@ -145,34 +165,54 @@ def unescape(text: Column) -> Column:
     return out
 
 
-def french_clean(text: Column) -> Column:
-    """Scanned or extracted French text with its usual faults mended."""
+# Repairs in order. Line ends, quotes, dashes, ligatures, soft hyphens.
+CHARACTER_REPAIRS = [("\r\n?", "\n"), ("[‘’ʼ′`´]", "'"), ("[“”„]", '"'), ("[‐‑‒–—]", "-")]
+LIGATURES = [("ﬁ", "fi"), ("ﬂ", "fl"), ("ﬀ", "ff"), ("ﬃ", "ffi"), ("ﬄ", "ffl"), (chr(0xAD), "")]
+# Words cut at a line end, marks and sentences on the next line.
+LINE_REPAIRS = [(r"([A-Za-zÀ-ÿ])-[ \t]*\n+[ \t]*(?=[a-zà-ÿ])", "$1"), (r"([A-Za-zÀ-ÿ0-9»”’)])\n+([.,;:!?»”)])", "$1$2"), (r"([,;])\n+(?=[a-zà-ÿ])", "$1 ")]
+# Stray lines; then blanks.
+STRAY_LINES = [(r"\n[|~*#_•·]{1,3}\n", "\n")]
+BLANK_REPAIRS = [(r"[ \t]+\n", "\n"), (r"\n{3,}", "\n\n"), (r"[ \t]{2,}", " ")]
+
+
+def _repaired(text: Column, repairs: list[tuple[str, str]]) -> Column:
     out = F.coalesce(text, F.lit(""))
-    for pattern, new in FRENCH_REPAIRS:
+    for pattern, new in repairs:
         out = F.regexp_replace(out, pattern, new)
     return trimmed(out)
 
 
-# Repairs in order. Quotes, ligatures, hyphenation, stray lines, spacing.
-FRENCH_REPAIRS = [
-    ("[’‘`´]", "'"), ("ﬀ", "ff"), ("ﬁ", "fi"), ("ﬂ", "fl"), ("ﬃ", "ffi"), ("ﬄ", "ffl"), (chr(0xAD), ""),
-    (r"([a-zà-ÿ])-\n([a-zà-ÿ])", "$1$2"), (r"(?m)^[|_~^]+\n", ""), (r"\n+([.,;:!?])", "$1"), (r"[ \t]{2,}", " "), (r"\n{3,}", "\n\n"),
-]
+def french_clean(text: Column) -> Column:
+    """Recognised French text with the faults mended that are safe to mend; null gives an empty text."""
+    return _repaired(text, CHARACTER_REPAIRS + LIGATURES + LINE_REPAIRS + STRAY_LINES + BLANK_REPAIRS)
+
+
+def page_clean(text: Column) -> Column:
+    """The text of a page layout with its cut words, lines and blanks mended; quotes and dashes stay."""
+    return _repaired(text, LIGATURES + LINE_REPAIRS + BLANK_REPAIRS)
 
 
-# Short words that show French.
-FRENCH_HINTS = "le la les de des du un une et est en que qui dans pour pas sur au avec ce je il elle nous vous à".split()
+# Words that show French, and the letters with accents that do.
+FRENCH_HINT = r"\b(le|la|les|de|des|un|une|et|est|dans|pour|avec|sur|que|qui|nous|vous|ils|elle|au|aux|du|ce|cette|mais|ou|où|ne|pas|plus|très|être|avoir|faire)\b"
+FRENCH_ACCENTS = "[éèêëàâîïôûùçœæÉÈÊËÀÂÎÏÔÛÙÇŒÆ]"
 
 
 def text_quality(text: Column) -> Column:
-    """empty, low or ok, by the number of words, of frequent French words and of accents."""
-    words = F.regexp_extract_all(F.lower(F.coalesce(text, F.lit(""))), F.lit("[a-zà-ÿ]{2,}"), F.lit(0))
-    hints = F.size(F.filter(words, lambda w: w.isin(FRENCH_HINTS)))
-    accents = F.size(F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit("[àâäéèêëîïôöùûüçœÀÂÄÉÈÊËÎÏÔÖÙÛÜÇŒ]"), F.lit(0)))
-    few = (hints < 0.06 * F.size(words)) & (accents < 3)
+    """empty, low or ok, by the number of words, of words with a frequent French word between ASCII boundaries, and of accents."""
+    text = F.coalesce(text, F.lit(""))
+    words = F.regexp_extract_all(text, F.lit("[A-Za-zÀ-ÿ]{2,}"), F.lit(0))
+    hints = F.size(F.filter(words, lambda w: w.rlike(ascii_rule(FRENCH_HINT))))
+    accents = F.length(text) - F.length(F.regexp_replace(text, FRENCH_ACCENTS, ""))
+    few = (hints / F.size(words) < 0.06) & (accents < 3)
     return F.when(F.size(words) == 0, "empty").when((F.size(words) < 8) | few, "low").otherwise("ok")
 
 
+def material_domain(text: Column, least: int = 8, most: int = 70) -> Column:
+    """The first line of more than eight characters, cut to seventy; empty where there is none."""
+    lines = F.filter(F.transform(F.split(F.coalesce(text, F.lit("")), "\n"), trimmed), lambda x: F.length(x) > least)
+    return F.coalesce(F.substring(F.get(lines, F.lit(0)), 1, most), F.lit(""))
+
+
 def cloze(sentence: Column, lemma: Column) -> Column:
     """The sentence with the first word that begins with the lemma blanked, or null where there is none."""
     pattern = F.concat(F.lit(f"(?iu){BOUNDARY}"), quoted(lemma), F.lit("[0-9A-Za-z_]*"))
@@ -204,9 +244,10 @@ def page_range(spec: Column, total: Column) -> Column:
 
 
 def gloss_lines(reply: Column, n: Column, most: int = 24) -> Column:
-    """The first ``n`` glosses of a model's reply: one a line, without numbering, bullets and quotes; markup is refused."""
-    lines = F.transform(F.split(reply, r"\r?\n"), trimmed)
-    bare = F.transform(lines, lambda x: F.regexp_replace(F.regexp_replace(x, r"^(?:[0-9]+[.)、]\s*|[-*•]\s*)", ""), "^[\"'“”«» ]+|[\"'“”«» ]+$", ""))
-    named = F.transform(bare, lambda x: F.regexp_replace(x, r"^[^:：一-鿿]{1,30}[:：]\s*", ""))
+    """The first ``n`` glosses of a model's reply: one a line, without numbering, bullets, quotes and a word before a colon; markup is refused."""
+    lines = F.transform(F.split(reply, "\n"), trimmed)
+    bare = F.transform(lines, lambda x: F.regexp_replace(x, rf"^{WS}*(?:[0-9]+{WS}*[.、)]|[-•*]){WS}*", ""))
+    bare = F.transform(bare, lambda x: trimmed(F.regexp_replace(x, rf"^{WS}*[*\"'`]+|[*\"'`]+{WS}*$", "")))
+    named = F.transform(bare, lambda x: F.when(F.split(x, "[：:]")[0].rlike("[一-龥]"), x).otherwise(F.regexp_replace(x, rf"^[^：:]*[：:]{WS}*", "")))
     good = F.filter(named, lambda x: (x != "") & ~x.rlike("[<>{}]"))
     return F.slice(F.transform(good, lambda x: F.substring(x, 1, most)), F.lit(1), n)

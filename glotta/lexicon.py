@@ -9,6 +9,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass, field
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
@@ -140,6 +141,23 @@ def verb_rows(lines: str) -> list[tuple[str, list[str], list[str], str, str, str
     return [(*row, k) for k, row in enumerate(found.values())]
 
 
+#: Word tables of up to so many rows are broadcast; larger ones are joined as any table.
+MOST_DIM_ROWS = 200_000
+_TEXT, _LIST = pa.string(), pa.list_(pa.string())
+
+
+def _local(spark: SparkSession, rows: list[tuple], columns: dict[str, pa.DataType]) -> DataFrame:
+    """A table in the plan itself, whose size Spark knows."""
+    values = list(zip(*rows, strict=True)) if rows else [()] * len(columns)
+    return spark.createDataFrame(pa.table([pa.array(list(v), t) for v, t in zip(values, columns.values(), strict=True)], names=list(columns)))
+
+
+def small(df: DataFrame, most: int = MOST_DIM_ROWS) -> DataFrame:
+    """A word table worked out once and marked for broadcast, if it has at most ``most`` rows; else as it was."""
+    held = df.limit(most + 1).toArrow()
+    return F.broadcast(df.sparkSession.createDataFrame(held)) if held.num_rows <= most else df
+
+
 @dataclass(frozen=True)
 class Language:
     """The tables of a language, as rows; ``frames`` makes DataFrames of them."""
@@ -150,7 +168,7 @@ class Language:
 
     def lexicon_frame(self, spark: SparkSession) -> DataFrame:
         """The lexicon, with irregular verbs as verbs (level A1 where they weren't in it)."""
-        own = spark.createDataFrame(self.lexicon, "lemma string, pos string, level string, gender string, gloss string, ord int")
+        own = _local(spark, self.lexicon, dict.fromkeys(("lemma", "pos", "level", "gender", "gloss"), _TEXT) | {"ord": pa.int32()})
         verbs = self.verbs_frame(spark).select(F.col("inf").alias("lemma"), F.col("ord").alias("verb_ord"))
         return own.join(verbs, "lemma", "full").select(
             "lemma",
@@ -162,10 +180,10 @@ class Language:
         )
 
     def verbs_frame(self, spark: SparkSession) -> DataFrame:
-        return spark.createDataFrame(self.verbs, "inf string, pres array<string>, subj array<string>, fut string, pp string, aux string, ord int")
+        return _local(spark, self.verbs, {"inf": _TEXT, "pres": _LIST, "subj": _LIST, "fut": _TEXT, "pp": _TEXT, "aux": _TEXT, "ord": pa.int32()})
 
     def words_frame(self, spark: SparkSession, words: list[str]) -> DataFrame:
-        return spark.createDataFrame([(w,) for w in dict.fromkeys(words)], "word string")
+        return _local(spark, [(w,) for w in dict.fromkeys(words)], {"word": _TEXT})
 
 
 def read_lexicon(lines: DataFrame) -> DataFrame:

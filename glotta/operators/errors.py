@@ -8,8 +8,7 @@ from pyspark.sql import Window as W
 
 from glotta.functions import text as X
 from glotta.functions.french import auxiliary
-from glotta.lexicon import ENGLISH
-from glotta.operators.vocabulary import tokens
+from glotta.lexicon import ENGLISH, small
 
 # Words that the detectors look for; the oral negation; level of each error.
 DETERMINERS = "le la les ma mon ta ton sa son notre votre leur ce cette cet ces".split()
@@ -26,24 +25,23 @@ def accent_index(lexicon: DataFrame, stop_words: DataFrame) -> DataFrame:
     return bare.join(known, "w", "left_anti").groupBy("w").agg(F.min_by("lemma", "ord").alias("meant"))
 
 
+def neighbours(docs: DataFrame) -> DataFrame:
+    """(doc_id, pos, raw, w, before, raw_before, after, raw_after): each token with those beside it, without a shuffle."""
+    lists = docs.select("doc_id", X.raw_tokens(F.col("text")).alias("raws")).where(F.size("raws") > 0)
+    lists = lists.select("doc_id", "raws", F.transform("raws", X.word_of).alias("ws"))
+    none = F.array(F.lit(None).cast("string"))
+    moved = lambda x, name: (F.concat(none, F.slice(x, F.lit(1), F.size(x) - 1)).alias(f"{name}before"), F.concat(F.slice(x, F.lit(2), F.size(x)), none).alias(f"{name}after"))
+    zipped = F.arrays_zip(F.col("raws").alias("raw"), F.col("ws").alias("w"), *moved("ws", ""), *moved("raws", "raw_"))
+    return lists.select("doc_id", F.posexplode(zipped).alias("pos", "x")).select("doc_id", "pos", "x.*")
+
+
 def error_issues(docs: DataFrame, lexicon: DataFrame, forms: DataFrame, stop_words: DataFrame, english: list[str] = ENGLISH) -> DataFrame:
     """(doc_id, ord, error, snippet): every issue, in the order of the text."""
-    by_doc = W.partitionBy("doc_id").orderBy("pos")
-    toks = tokens(docs)
-    near = toks.select(
-        "doc_id",
-        "pos",
-        "raw",
-        "w",
-        F.lag("w").over(by_doc).alias("before"),
-        F.lag("raw").over(by_doc).alias("raw_before"),
-        F.lead("w").over(by_doc).alias("after"),
-        F.lead("raw").over(by_doc).alias("raw_after"),
-    )
+    near = neighbours(docs)
     genders = lexicon.select(F.col("lemma").alias("w"), "gender")
     verb = forms.select(F.col("form").alias("w"), F.col("inf").alias("verb"))
     verb_after = forms.select(F.col("form").alias("after"), F.lit(True).alias("verb_follows"))
-    marked = near.join(accent_index(lexicon, stop_words), "w", "left").join(genders, "w", "left").join(verb, "w", "left").join(verb_after, "after", "left")
+    marked = near.join(small(accent_index(lexicon, stop_words)), "w", "left").join(genders, "w", "left").join(verb, "w", "left").join(verb_after, "after", "left")
     w, before, after = F.col("w"), F.col("before"), F.col("after")
     masculine = before.isin("le", "un")
     pair = F.concat_ws(" ", "raw_before", "raw")

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+import re
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from glotta.functions import text as X
@@ -27,22 +29,40 @@ RULES = [
 ]
 
 
+_SUFFIX_RULE = re.compile(r"\\b\\w\+\(([a-z|]+)\)\\b")
+_FIRST_WORDS = re.compile(r"\\b\(?([a-z |]+)\)?\\s\+|\\b\(([a-z |]+)\)")
+
+
+def _hits(pattern: str) -> Column:
+    """All matches of a rule in the column text, whose ASCII words are the column words.
+
+    A rule on the ends of words looks at the words alone. One that begins with given ASCII words
+    looks at texts that have one of them.
+    """
+    ends = _SUFFIX_RULE.fullmatch(pattern)
+    if ends:
+        return F.filter("words", lambda w: w.rlike(f"(?i).(?:{ends[1]})$"))
+    every = F.regexp_extract_all("text", F.lit(X.ascii_rule(pattern)), F.lit(0))
+    first = _FIRST_WORDS.match(pattern)
+    if not first:
+        return every
+    named = sorted({x.split(" ")[0] for x in (first[1] or first[2]).split("|")})
+    return F.when(F.arrays_overlap("low", F.array(*map(F.lit, named))), every).otherwise(F.array().cast("array<string>"))
+
+
 def grammar_hits(docs: DataFrame, rules: list[tuple[str, str, str]] = RULES) -> DataFrame:
     """(doc_id, rule, rule_ord, level, n, samples) of the rules that occur in a document.
 
     samples are the first three distinct matches, trimmed. One pass over the text, no shuffle.
     """
+    texts = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).withColumn("words", F.regexp_extract_all("text", F.lit("[0-9A-Za-z_]+"), F.lit(0)))
+    texts = texts.withColumn("low", F.array_distinct(F.transform("words", F.lower)))
     found = [
-        F.struct(
-            F.lit(rule).alias("rule"),
-            F.lit(k).alias("rule_ord"),
-            F.lit(level).alias("level"),
-            F.regexp_extract_all(F.coalesce("text", F.lit("")), F.lit(X.ascii_rule(pattern)), F.lit(0)).alias("hits"),
-        )
+        F.struct(F.lit(rule).alias("rule"), F.lit(k).alias("rule_ord"), F.lit(level).alias("level"), _hits(pattern).alias("hits"))
         for k, (rule, level, pattern) in enumerate(rules)
     ]
     return (
-        docs.select("doc_id", F.explode(F.array(*found)).alias("x"))
+        texts.select("doc_id", F.explode(F.array(*found)).alias("x"))
         .where(F.size("x.hits") > 0)
         .select(
             "doc_id",

@@ -1,7 +1,7 @@
 """Tokens, sentences, lemmas and the vocabulary of a corpus.
 
-The word tables (lexicon, forms, stop words) are dimension tables that Spark broadcasts while they
-are small; each occurrence is looked up by an equi join. Counting shuffles once by document and
+The word tables (lexicon, forms, stop words) are dimension tables; ``lexicon.small`` marks them for
+broadcast while they have a bounded number of rows. Counting shuffles once by document and
 surface word, so all later steps work on distinct words of a document.
 """
 
@@ -13,7 +13,7 @@ from pyspark.sql import Window as W
 
 from glotta.functions import text as X
 from glotta.functions.french import guessed_level, guessed_pos
-from glotta.lexicon import NUMERALS
+from glotta.lexicon import NUMERALS, small
 
 # Endings that are taken off to find a lemma, in order.
 SUFFIXES = ["ées", "ée", "és", "s", "x", "inement"]
@@ -26,6 +26,13 @@ def tokens(docs: DataFrame) -> DataFrame:
     )
 
 
+def token_counts(docs: DataFrame) -> DataFrame:
+    """(doc_id, n_tokens, n_distinct) of the texts that have tokens; the words of a document stay one array, so nothing is shuffled."""
+    found = docs.select("doc_id", X.words(F.col("text")).alias("words")).where(F.size("words") > 0)
+    size = lambda x: F.size(x).cast("bigint")
+    return found.select("doc_id", size("words").alias("n_tokens"), size(F.array_distinct("words")).alias("n_distinct"))
+
+
 def sentences(docs: DataFrame) -> DataFrame:
     """(doc_id, sent_no, sentence)."""
     return docs.select("doc_id", F.posexplode(X.sentences(F.col("text"))).alias("sent_no", "sentence"))
@@ -67,7 +74,7 @@ def lemmatised(words: DataFrame, lexicon: DataFrame, forms: DataFrame) -> DataFr
     A lexicon word comes first, then the word without apostrophes, then without an ending, then
     the verb of an inflected form; else the word is its own lemma.
     """
-    by_surface = surface_lemmas(lexicon).select("w", F.col("lemma").alias("by_surface"), "way")
+    by_surface = small(surface_lemmas(lexicon)).select("w", F.col("lemma").alias("by_surface"), "way")
     by_letters = lexicon.select(F.col("lemma").alias("letters"), F.col("lemma").alias("by_letters"))
     by_form = forms.select(F.col("form").alias("w"), F.col("inf").alias("by_form"))
     found = (
@@ -141,6 +148,6 @@ def with_example(vocab: DataFrame, docs: DataFrame) -> DataFrame:
 def coverage(vocab: DataFrame, lexicon: DataFrame, levels: dict[str, int], target: int) -> DataFrame:
     """(n_core, n_known, percent): the part of the lexicon up to a level that the vocabulary has; unknown levels count as 3."""
     level = F.coalesce(F.element_at(F.create_map(*(F.lit(x) for kv in levels.items() for x in kv)), F.col("level")), F.lit(3))
-    core = lexicon.where(level <= target).select("lemma")
-    known = core.join(vocab.select("lemma").distinct(), "lemma", "left_semi").agg(F.count(F.lit(1)).alias("n_known"))
-    return core.agg(F.count(F.lit(1)).alias("n_core")).join(known).withColumn("percent", F.floor(100.0 * F.col("n_known") / F.greatest(F.col("n_core"), F.lit(1)) + 0.5))
+    core = lexicon.where(level <= target).select("lemma").join(vocab.select("lemma", F.lit(1).alias("known")).distinct(), "lemma", "left")
+    counted = core.agg(F.count(F.lit(1)).alias("n_core"), F.count("known").alias("n_known"))
+    return counted.withColumn("percent", F.floor(100.0 * F.col("n_known") / F.greatest(F.col("n_core"), F.lit(1)) + 0.5))

@@ -6,7 +6,7 @@ from glotta.lexicon import ENGLISH, ETRE_VERBS, GRAVE_VERBS, LEVELS, NUMERALS
 from glotta.operators.errors import DETERMINERS, ERROR_LEVELS, ETRE_FORMS, ORAL_NEGATION
 from glotta.operators.grammar import RULES
 from glotta.operators.vocabulary import SUFFIXES
-from glotta.functions.text import ENTITIES, FRENCH_HINTS, FRENCH_REPAIRS, TOKEN
+from glotta.functions.text import TOKEN
 from glotta.plans.queries import AS_OF, EXAM, LANGUAGE
 
 WS = r"[\t\n\x0B\f\r \x{00A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}\x{FEFF}]"
@@ -266,22 +266,31 @@ issues AS (
 """
 
 
-def _repaired() -> str:
-    out = "coalesce(text, '')"
-    for pattern, new in FRENCH_REPAIRS:
-        out = f"regexp_replace({out}, {_q(pattern)}, {_q(new.replace('$', chr(92)))}, 'g')"
+def _replaced(out: str, pairs: list[tuple[str, str]]) -> str:
+    for pattern, new in pairs:
+        out = f"regexp_replace({out}, {_q(pattern)}, {new if new.startswith('chr') else _q(new)}, 'g')"
+    return out
+
+
+def _cleaned() -> str:
+    # RE2 has no look-ahead: the letter that follows is taken and put back
+    out = _replaced("coalesce(text, '')", [
+        ("\\r\\n?", "chr(10)"), ("[\\x{2018}\\x{2019}\\x{2BC}\\x{2032}`\\x{B4}]", "'"), ("[\\x{201C}\\x{201D}\\x{201E}]", '"'), ("[\\x{2010}-\\x{2014}]", "-"),
+        ("\\x{FB01}", "fi"), ("\\x{FB02}", "fl"), ("\\x{FB00}", "ff"), ("\\x{FB03}", "ffi"), ("\\x{FB04}", "ffl"), ("\\x{AD}", ""),
+        ("([A-Za-zÀ-ÿ])-[ \\t]*\\n+[ \\t]*([a-zà-ÿ])", "\\1\\2"), ("([A-Za-zÀ-ÿ0-9»)\\x{201D}\\x{2019}])\\n+([.,;:!?»)\\x{201D}])", "\\1\\2"),
+        ("([,;])\\n+([a-zà-ÿ])", "\\1 \\2"), ("\\n[|~*#_•·]{1,3}\\n", "chr(10)"), ("[ \\t]+\\n", "chr(10)"), ("\\n{3,}", "chr(10) || chr(10)"), ("[ \\t]{2,}", " "),
+    ])
     return _TRIM(out)
 
 
+_FRENCH = r"\b(le|la|les|de|des|un|une|et|est|dans|pour|avec|sur|que|qui|nous|vous|ils|elle|au|aux|du|ce|cette|mais|ou|où|ne|pas|plus|très|être|avoir|faire)\b"
+
+
 def _html() -> str:
-    out = "regexp_replace(html, '(?is)<script\\b[^>]*>.*?</script>|<style\\b[^>]*>.*?</style>', ' ', 'g')"
-    out = f"regexp_replace({out}, '(?i)<br\\s*/?>', chr(10), 'g')"
-    out = f"regexp_replace({out}, '(?i)</(p|div|h[1-6]|li|tr|section|blockquote)>', chr(10), 'g')"
-    out = f"regexp_replace({out}, '(?s)<[^>]+>', ' ', 'g')"
-    for name, c in ENTITIES:
+    out = _replaced("html", [("(?is)<script.*?</script>", ""), ("(?is)<style.*?</style>", ""), (f"(?i)<br{WS}*/?>", "chr(10)"), ("(?i)</(p|div|h[1-6]|li)>", "chr(10)"), ("<[^>]+>", "")])
+    for name, c in (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&apos;", "'"), ("&nbsp;", " "), ("&amp;", "&")):
         out = f"replace({out}, {_q(name)}, {_q(c)})"
-    out = f"regexp_replace(regexp_replace({out}, '[ \\t]+', ' ', 'g'), ' *\\n[ \\n]*', chr(10), 'g')"
-    return _TRIM(out)
+    return _TRIM(_replaced(out, [("[ \\t]+", " ")]))
 
 
 _NORMAL = lambda x: f"""regexp_replace(regexp_replace(lower(strip_accents({x})), '[’''ʼ`·.,!?;:"()]', '', 'g'), '{WS}+', '', 'g')"""
@@ -313,8 +322,8 @@ def oracle_sql() -> dict[str, str]:
         "vocab_filter": fr + " SELECT doc_id, lemma, n FROM vocab WHERE level = 'B1' AND pos = 'n' AND (contains(lemma, 'tion') OR contains(lower(gloss), 'tion')) ORDER BY n DESC, doc_id, first_pos LIMIT 300",
         "skill_scores": errors + "," + _GRAMMAR + ", r AS (SELECT doc_id, count(*) AS n_rules FROM rules WHERE len(hits) > 0 GROUP BY doc_id), i AS (SELECT doc_id, count(*) AS n_errors FROM issues GROUP BY doc_id) SELECT d.doc_id, coalesce(n_rules, 0) AS n_rules, least(1.0::DOUBLE, coalesce(n_rules, 0) / 8.0::DOUBLE) AS grammar, coalesce(n_errors, 0) AS n_errors, greatest(0, 100 - 6 * coalesce(n_errors, 0)) AS correctness FROM documents d LEFT JOIN r ON r.doc_id = d.doc_id LEFT JOIN i ON i.doc_id = d.doc_id",
         "file_sizes": "WITH s AS (SELECT doc_id, strlen(coalesce(text, '')) * 100 AS n FROM documents) SELECT doc_id, CASE WHEN n < 1024 THEN n || ' B' WHEN n < 1048576 THEN round(n / 1024.0::DOUBLE, 1)::DECIMAL(20, 1)::VARCHAR || ' KB' ELSE round(n / 1048576.0::DOUBLE, 1)::DECIMAL(20, 1)::VARCHAR || ' MB' END AS size FROM s",
-        "french_clean": f"SELECT doc_id, {_repaired()} AS text FROM documents",
-        "text_quality": f"WITH w AS (SELECT doc_id, regexp_extract_all(lower(coalesce(text, '')), '[a-zà-ÿ]{{2,}}') AS words, len(regexp_extract_all(coalesce(text, ''), '[àâäéèêëîïôöùûüçœÀÂÄÉÈÊËÎÏÔÖÙÛÜÇŒ]')) AS accents FROM documents), h AS (SELECT doc_id, len(words) AS n, accents, len(list_filter(words, lambda x: list_contains({_q(FRENCH_HINTS)}, x))) AS hints FROM w) SELECT doc_id, CASE WHEN n = 0 THEN 'empty' WHEN n < 8 OR (hints < 0.06::DOUBLE * n AND accents < 3) THEN 'low' ELSE 'ok' END AS quality FROM h",
+        "french_clean": f"SELECT doc_id, {_cleaned()} AS text FROM documents",
+        "text_quality": f"WITH w AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[A-Za-zÀ-ÿ]{{2,}}') AS words, len(regexp_extract_all(coalesce(text, ''), '[éèêëàâîïôûùçœæÉÈÊËÀÂÎÏÔÛÙÇŒÆ]')) AS accents FROM documents), h AS (SELECT doc_id, len(words) AS n, accents, len(list_filter(words, lambda x: regexp_matches(x, {_q(_FRENCH)}, 'i'))) AS hints FROM w) SELECT doc_id, CASE WHEN n = 0 THEN 'empty' WHEN n < 8 OR (hints::DOUBLE / n < 0.06::DOUBLE AND accents < 3) THEN 'low' ELSE 'ok' END AS quality FROM h",
         "html_text": f"SELECT page_id, {_html()} AS text FROM pages",
         "accent_free": "SELECT doc_id, strip_accents(text) AS text FROM documents",
         "conjugation_table": _with(LEXICON, VERBS, CONJUGATION) + " SELECT inf, tense, person::BIGINT AS person, form FROM conj",

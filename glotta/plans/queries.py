@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from glotta.functions import text as X
-from glotta.lexicon import LEVELS, Language
+from glotta.lexicon import LEVELS, Language, small
 from glotta.operators import backup, conjugation, errors, grammar, quiz, reports, scheduling, vocabulary
 from glotta.sources.sinks import anki_rows as anki
 
@@ -29,9 +29,18 @@ def _docs(spark: SparkSession, sf_dir: str, lang: str | None = None) -> DataFram
     return (docs.where(F.col("lang") == lang) if lang else docs).select("doc_id", "text")
 
 
+_KNOWN: dict[str, tuple[DataFrame, DataFrame, DataFrame]] = {}
+
+
 def _dims(spark: SparkSession) -> tuple[DataFrame, DataFrame, DataFrame]:
-    lexicon, verbs = LANGUAGE.lexicon_frame(spark), LANGUAGE.verbs_frame(spark)
-    return lexicon, conjugation.verb_forms(lexicon, verbs), LANGUAGE.words_frame(spark, LANGUAGE.stop_words)
+    """Lexicon, verb forms and stop words, worked out once for each application."""
+    key = spark.sparkContext.applicationId
+    if key not in _KNOWN:
+        _KNOWN.clear()
+        lexicon = small(LANGUAGE.lexicon_frame(spark))
+        forms = small(conjugation.verb_forms(lexicon, LANGUAGE.verbs_frame(spark)))
+        _KNOWN[key] = lexicon, forms, small(LANGUAGE.words_frame(spark, LANGUAGE.stop_words))
+    return _KNOWN[key]
 
 
 def _vocab(spark: SparkSession, sf_dir: str, lang: str | None = None) -> DataFrame:
@@ -49,8 +58,7 @@ def _cards(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def token_counts(spark, sf_dir):
-    words = vocabulary.surface_words(_docs(spark, sf_dir))
-    return words.groupBy("doc_id").agg(F.sum("n").alias("n_tokens"), F.count(F.lit(1)).alias("n_distinct"))
+    return vocabulary.token_counts(_docs(spark, sf_dir))
 
 
 def elisions(spark, sf_dir):
