@@ -27,7 +27,7 @@ def accent_index(lexicon: DataFrame, stop_words: DataFrame) -> DataFrame:
 
 def neighbours(docs: DataFrame) -> DataFrame:
     """(doc_id, pos, raw, w, before, raw_before, after, raw_after): each token with those beside it, without a shuffle."""
-    lists = docs.select("doc_id", X.raw_tokens(F.col("text")).alias("raws")).where(F.size("raws") > 0)
+    lists = docs.select("doc_id", X.raw_tokens(F.col("text")).alias("raws"))
     lists = lists.select("doc_id", "raws", F.transform("raws", X.word_of).alias("ws"))
     none = F.array(F.lit(None).cast("string"))
     moved = lambda x, name: (F.concat(none, F.slice(x, F.lit(1), F.size(x) - 1)).alias(f"{name}before"), F.concat(F.slice(x, F.lit(2), F.size(x)), none).alias(f"{name}after"))

@@ -28,7 +28,8 @@ def tokens(docs: DataFrame) -> DataFrame:
 
 def token_counts(docs: DataFrame) -> DataFrame:
     """(doc_id, n_tokens, n_distinct) of the texts that have tokens; the words of a document stay one array, so nothing is shuffled."""
-    found = docs.select("doc_id", X.words(F.col("text")).alias("words")).where(F.size("words") > 0)
+    lettered = F.col("text").rlike("[A-Za-zÀ-ÿŒœÆæ]")  # a filter on the words would work them out twice
+    found = docs.where(lettered).select("doc_id", X.words(F.col("text")).alias("words"))
     size = lambda x: F.size(x).cast("bigint")
     return found.select("doc_id", size("words").alias("n_tokens"), size(F.array_distinct("words")).alias("n_distinct"))
 

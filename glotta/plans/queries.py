@@ -15,13 +15,17 @@ from glotta.functions import text as X
 from glotta.lexicon import LEVELS, Language, small
 from glotta.operators import backup, conjugation, errors, grammar, quiz, reports, scheduling, vocabulary
 from glotta.sources.sinks import anki_rows as anki
+from glotta.sources.tables import read_table
 
 AS_OF, EXAM = "2024-02-01", "2024-06-01"
 LANGUAGE = Language()
 
 
+_KEYS = {"documents": "doc_id", "pages": "page_id"}
+
+
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return read_table(spark, sf_dir, name, _KEYS.get(name))
 
 
 def _docs(spark: SparkSession, sf_dir: str, lang: str | None = None) -> DataFrame:
