@@ -7,7 +7,7 @@ from glotta.operators.errors import DETERMINERS, ERROR_LEVELS, ETRE_FORMS, ORAL_
 from glotta.operators.grammar import RULES
 from glotta.operators.vocabulary import SUFFIXES
 from glotta.functions.text import TOKEN
-from glotta.plans.queries import AS_OF, EXAM, LANGUAGE
+from glotta.plans.queries import AS_OF, ELIDED_TEXTS, EXAM, LANGUAGE
 
 WS = r"[\t\n\x0B\f\r \x{00A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}\x{FEFF}]"
 ELIDED = "^(?:l|d|j|m|t|s|n|c|qu|jusqu|puisqu|quoiqu|lorsqu|presqu)''"
@@ -319,9 +319,20 @@ def oracle_sql() -> dict[str, str]:
         "grammar_hits": _with(_GRAMMAR) + " SELECT doc_id, rule, level, len(hits)::BIGINT AS n FROM rules WHERE len(hits) > 0",
         "grammar_samples": _with(_GRAMMAR) + f" SELECT doc_id, rule, array_to_string({_distinct_first('hits', 3)}, '|') AS samples FROM rules WHERE len(hits) > 0",
         "error_hits": errors + f", numbered AS (SELECT *, row_number() OVER (PARTITION BY doc_id, error ORDER BY ord) AS k FROM issues) SELECT doc_id, error, {level} AS level, count(*) AS n, string_agg(snippet, '|' ORDER BY ord) FILTER (WHERE k <= 4) AS samples FROM numbered GROUP BY doc_id, error",
-        "vocab_filter": fr + " SELECT doc_id, lemma, n FROM vocab WHERE level = 'B1' AND pos = 'n' AND (contains(lemma, 'tion') OR contains(lower(gloss), 'tion')) ORDER BY n DESC, doc_id, first_pos LIMIT 300",
+        "vocab_filter": fr + ", f AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY n DESC, first_pos) AS k FROM vocab WHERE level = 'B1' AND pos = 'n' AND (contains(lemma, 'tion') OR contains(lower(gloss), 'tion'))) SELECT doc_id, lemma, n FROM f WHERE k <= 300",
+        "elided_words": _with(_tokens().replace("FROM documents WHERE TRUE", "FROM documents")).replace("WITH", "WITH documents(doc_id, text) AS (VALUES " + ", ".join(f"({k}::BIGINT, {_q(t)})" for k, t in enumerate(ELIDED_TEXTS)) + "),\n", 1) + " SELECT doc_id, pos::BIGINT AS pos, raw, w, prefix FROM toks",
+        "quiz_distractors": fr + ", c AS (SELECT doc_id, lemma, row_number() OVER (PARTITION BY doc_id ORDER BY md5('1|' || lemma), lemma) AS place, count(*) OVER (PARTITION BY doc_id) AS m FROM vocab), a AS (SELECT doc_id, lemma, k, (place + k - 1) % m + 1 AS want FROM c, (VALUES (1), (2), (3)) t(k) WHERE k <= m - 1), d AS (SELECT a.doc_id, a.lemma, string_agg(c.lemma, ';' ORDER BY a.k) AS distractors FROM a JOIN c ON c.doc_id = a.doc_id AND c.place = a.want GROUP BY a.doc_id, a.lemma) SELECT c.doc_id, c.lemma, coalesce(d.distractors, '') AS distractors FROM c LEFT JOIN d USING (doc_id, lemma)",
+        "quiz_questions": fr + "," + SENTENCES + "," + _EXAMPLE + """, one AS (SELECT inf, arg_min(struct_pack(tense := tense, person := person, form := form), md5('1|' || inf || '|' || tense || '|' || person)) AS x FROM conj WHERE form <> '—' GROUP BY inf),
+            q AS (SELECT v.doc_id, v.lemma, v.gloss, v.pos, e.example, one.x, regexp_extract(e.example, '(?i)\\b' || regexp_escape(v.lemma) || '[0-9A-Za-z_]*') AS hit
+                  FROM vocab v LEFT JOIN examples e ON e.doc_id = v.doc_id AND e.lemma = v.lemma LEFT JOIN one ON one.inf = v.lemma WHERE v.rank <= 10)
+            SELECT doc_id, lemma, 'recognise' AS mode, lemma AS prompt, gloss AS answer FROM q WHERE gloss <> ''
+            UNION ALL SELECT doc_id, lemma, 'listen', coalesce(example, lemma), lemma FROM q
+            UNION ALL SELECT doc_id, lemma, 'use', regexp_replace(example, '(?i)\\b' || regexp_escape(lemma) || '[0-9A-Za-z_]*', '______'), lemma FROM q WHERE hit <> ''
+            UNION ALL SELECT doc_id, lemma, 'conj', lemma || ' ' || x.tense || ' ' || (x.person + 1), x.form FROM q WHERE pos = 'v' AND x IS NOT NULL
+            UNION ALL SELECT doc_id, lemma, 'produce', gloss, lemma FROM q WHERE gloss <> ''
+            UNION ALL SELECT doc_id, lemma, 'read', example, gloss FROM q WHERE gloss <> '' AND example IS NOT NULL""",
         "skill_scores": errors + "," + _GRAMMAR + ", r AS (SELECT doc_id, count(*) AS n_rules FROM rules WHERE len(hits) > 0 GROUP BY doc_id), i AS (SELECT doc_id, count(*) AS n_errors FROM issues GROUP BY doc_id) SELECT d.doc_id, coalesce(n_rules, 0) AS n_rules, least(1.0::DOUBLE, coalesce(n_rules, 0) / 8.0::DOUBLE) AS grammar, coalesce(n_errors, 0) AS n_errors, greatest(0, 100 - 6 * coalesce(n_errors, 0)) AS correctness FROM documents d LEFT JOIN r ON r.doc_id = d.doc_id LEFT JOIN i ON i.doc_id = d.doc_id",
-        "file_sizes": "WITH s AS (SELECT doc_id, strlen(coalesce(text, '')) * 100 AS n FROM documents) SELECT doc_id, CASE WHEN n < 1024 THEN n || ' B' WHEN n < 1048576 THEN round(n / 1024.0::DOUBLE, 1)::DECIMAL(20, 1)::VARCHAR || ' KB' ELSE round(n / 1048576.0::DOUBLE, 1)::DECIMAL(20, 1)::VARCHAR || ' MB' END AS size FROM s",
+        "file_sizes": "WITH s AS (SELECT doc_id, strlen(coalesce(text, '')) AS n FROM documents) SELECT doc_id, CASE WHEN n < 1024 THEN n || ' B' WHEN n < 1048576 THEN round(n / 1024.0::DOUBLE, 1)::DECIMAL(20, 1)::VARCHAR || ' KB' ELSE round(n / 1048576.0::DOUBLE, 1)::DECIMAL(20, 1)::VARCHAR || ' MB' END AS size FROM s",
         "french_clean": f"SELECT doc_id, {_cleaned()} AS text FROM documents",
         "text_quality": f"WITH w AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[A-Za-zÀ-ÿ]{{2,}}') AS words, len(regexp_extract_all(coalesce(text, ''), '[éèêëàâîïôûùçœæÉÈÊËÀÂÎÏÔÛÙÇŒÆ]')) AS accents FROM documents), h AS (SELECT doc_id, len(words) AS n, accents, len(list_filter(words, lambda x: regexp_matches(x, {_q(_FRENCH)}, 'i'))) AS hints FROM w) SELECT doc_id, CASE WHEN n = 0 THEN 'empty' WHEN n < 8 OR (hints::DOUBLE / n < 0.06::DOUBLE AND accents < 3) THEN 'low' ELSE 'ok' END AS quality FROM h",
         "html_text": f"SELECT page_id, {_html()} AS text FROM pages",
@@ -333,7 +344,7 @@ def oracle_sql() -> dict[str, str]:
         "due_forecast": _CARDS + f", days AS (SELECT ({as_of} + i::INT) AS day FROM range(14) r(i)) SELECT day::DATE::VARCHAR AS day, count(lemma) AS n FROM days LEFT JOIN cards ON due = day GROUP BY day",
         "study_plan": _CARDS + f" SELECT count(*) AS n_cards, count(*) FILTER (WHERE due <= {as_of}) AS n_due, count(*) FILTER (WHERE reps > 0) AS n_learned, {days} AS days, ceil(count(*)::DOUBLE / {days})::BIGINT AS per_day FROM cards",
         "learner_report": _CARDS + ", c AS (SELECT learner_id, count(*) AS total, count(*) FILTER (WHERE reps > 0 AND last_q > 0) AS known, count(*) FILTER (WHERE lapses > 0) AS weak FROM cards GROUP BY learner_id), r AS (SELECT learner_id, count(*) AS reviews, count(*) FILTER (WHERE q > 0) AS correct FROM reviews GROUP BY learner_id) SELECT learner_id, total, known, weak, reviews, correct, floor(100.0::DOUBLE * correct / reviews + 0.5)::BIGINT AS accuracy FROM c JOIN r USING (learner_id)",
-        "weak_list": _CARDS + " SELECT learner_id, lemma, lapses FROM cards WHERE lapses > 0 ORDER BY lapses DESC, learner_id, lemma LIMIT 30",
+        "weak_list": _CARDS + " SELECT learner_id, lemma, lapses FROM (SELECT *, row_number() OVER (PARTITION BY learner_id ORDER BY lapses DESC, lemma) AS k FROM cards WHERE lapses > 0) WHERE k <= 30",
         "mastery": _CARDS + ", m AS (SELECT lemma, count(*) AS n_cards, count(*) FILTER (WHERE reps > 0 AND last_q > 0) AS n_mastered FROM cards GROUP BY lemma) SELECT *, floor(100.0::DOUBLE * n_mastered / n_cards + 0.5)::BIGINT AS percent FROM m",
         "rate_limit_daily": "WITH u AS (SELECT event_id, user_id, row_number() OVER (PARTITION BY user_id, ts::DATE ORDER BY ts, event_id) AS used FROM events) SELECT *, used <= 3 AS allowed FROM u",
         "tumbling_daily": "SELECT user_id, (ts::DATE)::VARCHAR AS day, count(*) AS n FROM events GROUP BY user_id, ts::DATE",

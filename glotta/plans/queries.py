@@ -19,6 +19,7 @@ from glotta.sources.tables import read_table
 
 AS_OF, EXAM = "2024-02-01", "2024-06-01"
 LANGUAGE = Language()
+ELIDED_TEXTS = ["L’été d'hiver, qu'il pleuve : jusqu’à l'aube c'est-à-dire aujourd'hui.", "Lorsqu'elle s'en va, n'oublie pas l'œuvre d'Émile.", "presqu'île quelqu'un entr'ouvert"]
 
 
 _KEYS = {"documents": "doc_id", "pages": "page_id"}
@@ -128,7 +129,7 @@ def error_hits(spark, sf_dir):
 
 
 def vocab_filter(spark, sf_dir):
-    found = reports.filter_vocabulary(_vocab(spark, sf_dir, "fr"), level="B1", pos="n", keyword="Tion", by=None)  # over all, as its SQL is
+    found = reports.filter_vocabulary(_vocab(spark, sf_dir, "fr"), level="B1", pos="n", keyword="Tion")
     return found.select("doc_id", "lemma", "n")
 
 
@@ -138,7 +139,7 @@ def skill_scores(spark, sf_dir):
 
 
 def file_sizes(spark, sf_dir):
-    return _docs(spark, sf_dir).select("doc_id", reports.format_size(F.octet_length(F.coalesce("text", F.lit(""))) * 100).alias("size"))
+    return _docs(spark, sf_dir).select("doc_id", reports.format_size(F.octet_length(F.coalesce("text", F.lit("")))).alias("size"))
 
 
 def french_clean(spark, sf_dir):
@@ -187,7 +188,7 @@ def learner_report(spark, sf_dir):
 
 
 def weak_list(spark, sf_dir):
-    return reports.weak_list(_cards(spark, sf_dir), ["learner_id", "lemma"], by=None).select("learner_id", "lemma", "lapses")  # over all, as its SQL is
+    return reports.weak_list(_cards(spark, sf_dir), ["learner_id", "lemma"]).select("learner_id", "lemma", "lapses")
 
 
 def mastery(spark, sf_dir):
@@ -251,7 +252,15 @@ def quiz_distractors(spark, sf_dir):
 
 def quiz_questions(spark, sf_dir):
     docs = _docs(spark, sf_dir, "fr")
-    return quiz.questions(vocabulary.with_example(vocabulary.vocabulary(docs, *_dims(spark)), docs))
+    lexicon, *_ = _dims(spark)
+    top = vocabulary.ranked(vocabulary.vocabulary(docs, *_dims(spark))).where("rank <= 10")
+    return quiz.questions(vocabulary.with_example(top, docs), conjugation.conjugations(lexicon, LANGUAGE.verbs_frame(spark)))
+
+
+def elided_words(spark, sf_dir):
+    """Tokens of written-out French, as the corpus has no elisions."""
+    rows = spark.createDataFrame(list(enumerate(ELIDED_TEXTS)), "doc_id bigint, text string")
+    return vocabulary.tokens(rows).select("doc_id", F.col("pos").cast("bigint").alias("pos"), "raw", "w", "prefix")
 
 
 def gen_passage(spark, sf_dir):
@@ -263,7 +272,7 @@ ALL: list[Callable[[SparkSession, str], DataFrame]] = [
     vocab_filter, skill_scores, file_sizes, deck_additions, lexicon_coverage, grammar_hits, grammar_samples, error_hits, french_clean, text_quality, html_text, accent_free,
     conjugation_table, verb_form_index, srs_state, due_today, due_forecast, study_plan, learner_report, weak_list, mastery,
     rate_limit_daily, tumbling_daily, backup_merge, grade_answers, target_used, page_ranges, anki_rows, backup_json,
-    quiz_distractors, quiz_questions, gen_passage,
+    quiz_distractors, quiz_questions, gen_passage, elided_words,
 ]
 
 
