@@ -97,7 +97,7 @@ def test_answers(spark):
 
 @pytest.mark.parametrize("text,clean", [
     ("c’est l’été", "c'est l'été"), ("diﬃcile ﬁn", "difficile fin"), ("architec-\nture moderne", "architecture moderne"),
-    ("Il fait beau\n. Vraiment", "Il fait beau. Vraiment"), ("Un texte\n|\nautre", "Un texte\nautre"), ("a   b\n\n\n\nc", "a b\n\nc"), ("", ""), (None, ""),
+    ("Il fait beau\n. Vraiment", "Il fait beau. Vraiment"), ("Un texte\n|\nautre", "Un texte\nautre"), ("«a» ‘b’ “c” – d", "«a» 'b' \"c\" - d"), ("mot,\nsuite\r\nfin", "mot, suite\nfin"), ("GRAND-\n\n mot", "GRANDmot"), ("a   b\n\n\n\nc", "a b\n\nc"), ("", ""), (None, ""),
 ])
 def test_french_clean(spark, text, clean):
     assert one(spark, X.french_clean(F.col("t")), t=text) == clean
@@ -160,12 +160,35 @@ def test_errors(spark, dims):
 def test_questions_and_passages(spark, dims):
     docs = frame(spark, SAMPLE)
     vocab = vocabulary.vocabulary(docs, *dims)
-    modes = {r["mode"] for r in quiz.questions(vocabulary.with_example(vocab, docs)).collect()}
-    assert modes == {"recognise", "listen", "use", "conj", "produce", "read"}
+    language = Language()
+    tables = conjugation.conjugations(dims[0], language.verbs_frame(spark))
+    asked = quiz.questions(vocabulary.with_example(vocab, docs), tables).collect()
+    assert {r["mode"] for r in asked} == {"recognise", "listen", "use", "conj", "produce", "read"}
+    forms = {(r["inf"], r["tense"], r["person"] + 1): r["form"] for r in tables.collect()}
+    for r in asked:
+        if r["mode"] == "conj":
+            inf, tense, person = r["prompt"].rsplit(" ", 2)
+            assert inf == r["lemma"] and r["answer"] == forms[inf, tense, int(person)]
     passage = quiz.passages(vocab, "B1").first()["passage"]
     assert "{" not in passage and passage.count(".") == 3
     others = quiz.distractors(vocab.select("doc_id", "lemma"), "doc_id", "lemma").collect()
     assert all(len(set(r["distractors"])) == 3 and r["lemma"] not in r["distractors"] for r in others)
+    few = spark.createDataFrame([(1, f"w{k}", "g" if k in (3, 8) else "") for k in range(10)], "doc_id bigint, lemma string, gloss string")
+    sizes = {r["lemma"]: len(r["distractors"]) for r in quiz.distractors(few, "doc_id", "gloss").collect()}
+    assert sizes == {f"w{k}": 1 if k in (3, 8) else 2 for k in range(10)}
+
+
+def test_card_pools(spark):
+    cards = [(1, "a", "2024-01-01", False, "v", "s"), (1, "b", "2025-01-01", False, "n", ""), (2, "c", "2025-01-01", None, "v", None), (2, "d", "2023-01-01", True, "n", "s")]
+    cards = spark.createDataFrame(cards, "learner_id bigint, lemma string, due string, suspended boolean, pos string, sent string").withColumn("due", F.col("due").cast("date"))
+    drawn = lambda mode: {r["lemma"] for r in quiz.card_pool(cards, "2024-06-01", mode).collect()}
+    assert drawn("recognise") == {"a", "c"} and drawn("use") == {"a"} and drawn("conj") == {"a", "c"}
+
+
+def test_domain_and_escape(spark):
+    assert one(spark, X.material_domain(F.col("t")), t="court\n  " + "x" * 80) == "x" * 70 and one(spark, X.material_domain(F.col("t")), t="court") == ""
+    assert one(spark, X.escape_html(F.col("t")), t="<a href=\"x\">l'&</a>") == "&lt;a href=&quot;x&quot;&gt;l&#39;&amp;&lt;/a&gt;"
+    assert one(spark, X.page_clean(F.col("t")), t="ﬁn ‘x’ – archi-\n tecture,\nsuite") == "fin ‘x’ – architecture, suite"
 
 
 def test_glosses(spark, dims):
