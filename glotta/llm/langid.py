@@ -23,7 +23,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from glotta.llm.common import broadcast_value, map_texts, materialise, text_bytes
+from glotta.llm.common import broadcast_value, map_texts, materialise, noted_paths, release, text_bytes
 
 WORDS = re.compile(r"[^\W\d_]+")
 #: Sizes of the n-grams, in bytes; an n-gram and its size fit a 64-bit number.
@@ -146,6 +146,7 @@ def gram_counts(words: DataFrame) -> DataFrame:
 def fit(docs: DataFrame, *, where: Column | None = None, lang_col: str = "lang", text_col: str = "text", least_rate: float = 2e-5, least_part: float = 0.05, slots: int = 1 << 20) -> LanguageFilter:
     """Learn from the rows that fulfil ``where`` and have a language."""
     rows = docs if where is None else docs.where(where)
+    known = noted_paths(docs.sparkSession)
     grams = materialise(gram_counts(word_counts(rows, lang_col, text_col)), "grams")
     totals = {r["lang"]: r["n"] for r in grams.groupBy("lang").agg(F.sum("n").alias("n")).collect()}
     languages = sorted(totals)
@@ -163,6 +164,7 @@ def fit(docs: DataFrame, *, where: Column | None = None, lang_col: str = "lang",
                 masks[k, places[x] // 64] |= np.uint64(1 << places[x] % 64)
         for at in out.places(np.array([r["gram"] for r in rows], np.int64).view(np.uint64)).T:
             np.bitwise_or.at(out.slots, at, masks)
+    release(docs.sparkSession, [x for x in noted_paths(docs.sparkSession) if x not in known])
     return out
 
 
@@ -170,8 +172,9 @@ def predict(docs: DataFrame, model: LanguageFilter, *, text_col: str = "text") -
     """``docs`` with lang_pred and score (0 to 1) of every whole text.
 
     Null texts and texts without a letter are ``und`` with score 0, as are all texts where
-    nothing was learned. Of tied languages the first by name is taken. Other columns stay, but
-    for those named as a new one.
+    nothing was learned. Of tied languages the first by name is taken. Repeated rows get the same
+    answer; an empty table gives an empty result; a text of any length is read whole, a slice of
+    tokens at a time. Other columns stay, but for those named as a new one.
     """
     shared = broadcast_value(docs, (model, model.false_rate() if model.languages else None))
 

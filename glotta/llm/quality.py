@@ -208,7 +208,11 @@ def fit(docs: DataFrame, labels: DataFrame, *, label_col: str = "quality", held_
 
 
 def score(docs: DataFrame, model: AdditiveModel, *, name: str = "score", text_col: str = "text") -> DataFrame:
-    """``docs`` with the probability of label 1 of every whole text; null counts as empty. All columns stay."""
+    """``docs`` with the probability of label 1 of every whole text, of any length; null counts as empty.
+
+    All columns stay, but for one named ``name``, which is replaced. Repeated rows get the same
+    score; an empty table gives an empty result; without labels every score is one half.
+    """
     shared = broadcast_value(docs, model)
 
     def each(texts: list[bytes]) -> list[pa.Array]:

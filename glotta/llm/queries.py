@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import secrets
 from collections.abc import Callable
 
 import public_tokenizers
@@ -19,7 +20,16 @@ URL_RULES = [
     urls.Rule("com", "/fr/", "allow"),
     urls.Rule("com", "/de/", "block"),
 ]
-PII_KEY = "pseudonyms-1"
+#: The session setting with the key of the pseudonyms; without one, an application draws its own.
+PII_KEY = "spark.glotta.pii.key"
+
+
+def pii_key(spark: SparkSession) -> str:
+    """The configured key. A drawn one links values within an application and nowhere else."""
+    context = spark.sparkContext
+    found = spark.conf.get(PII_KEY, None) or context.getConf().get(PII_KEY) or getattr(context, "_glotta_pii_key", None)
+    context._glotta_pii_key = found or secrets.token_hex(16)
+    return context._glotta_pii_key
 
 
 def op1_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -48,7 +58,7 @@ def op2_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op3_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    return pii.pseudonymise(docs, key=PII_KEY).select("doc_id", "text", "n_values")
+    return pii.pseudonymise(docs, key=pii_key(spark)).select("doc_id", "text", "n_values")
 
 
 def op4_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from glotta.llm.common import map_texts, materialise
+from glotta.llm.common import last_table, map_texts, materialise, noted_paths
 from glotta.llm.graph import connected_components
 
 BITS, GROUP_BITS, SEED = 64, 16, 42
@@ -257,8 +257,10 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     is the smallest doc_id that is reached over links, the own included. Null texts count as
     empty; texts without words have the fingerprint zero and link like any other. A row without
     id gets its fingerprint and a null component, and links nothing. A repeated id is the same
-    document said again: its rows are linked. An empty table gives an empty result.
+    document said again: its rows are linked. An empty table gives an empty result; other
+    columns of ``docs`` are ignored, whatever their names; texts of any length are read whole.
     """
+    known = noted_paths(docs.sparkSession)
     named = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).alias("text"))
     prints = materialise(with_fingerprint(named, shingle=shingle).select("doc_id", "fp"), "simhash")
     nodes = materialise(prints.where("doc_id is not null").groupBy("fp").agg(F.min("doc_id").alias("node")), "simhash-nodes")
@@ -267,12 +269,13 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     same = prints.join(repeats, "doc_id", "left_semi").join(nodes, "fp").select(F.col("doc_id").alias("a"), F.col("node").alias("b"))
     parts = connected_components(found.unionByName(same))
     placed = nodes.join(parts, "node", "left").select("fp", F.coalesce("component", "node").alias("component_id"))
-    return prints.join(placed, "fp", "left").select(
+    rows = prints.join(placed, "fp", "left").select(
         "doc_id",
         "fp",
         F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"),
         F.when(F.col("doc_id").isNotNull(), F.col("component_id")).alias("component_id"),
     )
+    return last_table(rows, "simhash-groups", known)
 
 
 def keep_one(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:

@@ -38,3 +38,12 @@ def test_neighbours(spark):
             assert out[900][0] in new
     assert out[901][0] == "1 2 3 " * 30 or out[901][1] > 0
     assert out[902] == (f"{CARD}1234567890", 0)
+
+
+def test_secrets_and_addresses_of_any_length(spark):
+    long = {k: "0123456789abcdef" * k for k in (9, 200)}
+    rows = [(k, f"key {v} end") for k, v in long.items()] + [(1, "to " + "a1." * 50 + "x@" + "b" * 80 + ".example.org now")]
+    out = {r["doc_id"]: r for r in pii.pseudonymise(spark.createDataFrame(rows, "doc_id bigint, text string"), key="k").collect()}
+    for k, v in long.items():
+        assert out[k]["n_values"] == 1 and v not in out[k]["text"] and len(out[k]["text"]) == len(v) + 8
+    assert out[1]["n_values"] == 1 and "a1.a1." not in out[1]["text"]
