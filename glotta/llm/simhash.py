@@ -9,8 +9,8 @@
    each other in some partition i. For each layout a dynamic programme allocates the thresholds
    to the least estimated cost (candidates plus probes); the cheapest layout is taken. The
    choice changes cost only, never the links that are found.
-4. Fingerprints meet under their partition values, and probes under values that differ in up to
-   e_i bits. Each bucket's candidates are verified with a population count; what leaves a task
+4. Every fingerprint is put under its partition value and those that differ in up to half of e_i
+   bits, rounded up, so that any two within e_i bits meet. Each bucket's candidates are verified with a population count; what leaves a task
    is a spanning forest of the verified links, never all pairs. A bucket above ``block`` rows is
    dealt to several tasks as blocks of its chunks.
 5. Connected components over the forests give the groups.
@@ -131,11 +131,26 @@ def pair_counts(nodes: DataFrame, groups: list[list[int]], most: int) -> np.ndar
             short |= ((values >> np.uint64(bit)) & np.uint64(1)).astype(np.int64) << at
         count = np.zeros(1 << GROUP_BITS)
         count[short] = own["n"]
-        for d in range(most + 1):
-            out[k, d] = sum((count * count[np.arange(1 << GROUP_BITS) ^ sum(1 << b for b in flip)]).sum() for flip in combinations(range(GROUP_BITS), d))
+        apart = np.maximum(_hadamard(_hadamard(count) ** 2) / (1 << GROUP_BITS), 0)  # pairs by the exclusive or of their values
+        out[k] = np.bincount(np.bitwise_count(np.arange(1 << GROUP_BITS)), apart, most + 1)[: most + 1]
     return out
 
 
+def _hadamard(x: np.ndarray) -> np.ndarray:
+    """The Walsh-Hadamard transform of a vector whose length is a power of two."""
+    width = 1
+    while width < len(x):
+        a, b = x.reshape(-1, 2, width).swapaxes(0, 1)
+        x = np.stack([a + b, a - b], 1).reshape(-1)
+        width *= 2
+    return x
+
+
+def radius(threshold: int) -> int:
+    """The bits that both sides of a pair within ``threshold`` bits change at most to have a value in common."""
+    return (threshold + 1) // 2
+
+
 def allocate(widths: list[int], candidates: list[list[float]], n: float, total: int) -> tuple[float, list[int]]:
     """The thresholds (-1 or more, summing to ``total``) of least cost; candidates[i][e]: pairs within e bits."""
     best: dict[int, tuple[float, list[int]]] = {0: (0.0, [])}
@@ -143,10 +158,11 @@ def allocate(widths: list[int], candidates: list[list[float]], n: float, total:
         after: dict[int, tuple[float, list[int]]] = {}
         for used, (cost, chosen) in best.items():
             for e in range(-1, len(counts)):
-                variants = sum(comb(width, d) for d in range(e + 1))
+                variants = sum(comb(width, d) for d in range(radius(e) + 1))
                 if variants > MOST_VARIANTS:
                     break
-                own = cost + (PROBE_COST * n * variants + counts[e] if e >= 0 else 0)
+                met = counts[min(2 * radius(e), len(counts) - 1)]
+                own = cost + (PROBE_COST * n * variants + met if e >= 0 else 0)
                 if used + e not in after or own < after[used + e][0]:
                     after[used + e] = own, [*chosen, e]
         best = after
@@ -174,10 +190,10 @@ def plan_partitions(nodes: DataFrame, distance: int = 3) -> list[Partition]:
 
 
 @lru_cache
-def flips(mask: int, threshold: int) -> tuple[int, ...]:
-    """All changes of up to ``threshold`` bits of the mask."""
+def flips(mask: int, most: int) -> tuple[int, ...]:
+    """All changes of up to ``most`` bits of the mask."""
     bits = [b for b in range(BITS) if mask >> b & 1]
-    return tuple(_signed(sum(1 << b for b in x)) for d in range(threshold + 1) for x in combinations(bits, d))
+    return tuple(_signed(sum(1 << b for b in x)) for d in range(most + 1) for x in combinations(bits, d))
 
 
 def _forest(fp: np.ndarray, node: np.ndarray, group: np.ndarray, distance: int) -> tuple[np.ndarray, np.ndarray]:
@@ -209,7 +225,7 @@ def links(nodes: DataFrame, partitions: list[Partition], distance: int = 3, bloc
     parts = [
         nodes.select(
             F.lit(k).alias("part"),
-            F.explode(F.array(*(F.col("fp").bitwiseAND(F.lit(_signed(p.mask))).bitwiseXOR(F.lit(x)) for x in flips(p.mask, p.threshold)))).alias("key"),
+            F.explode(F.array(*(F.col("fp").bitwiseAND(F.lit(_signed(p.mask))).bitwiseXOR(F.lit(x)) for x in flips(p.mask, radius(p.threshold))))).alias("key"),
             "fp",
             "node",
         )
