@@ -144,7 +144,7 @@ def broadcast_value(df: DataFrame, value):
 SLICE_BYTES = 8_000_000
 
 
-def _slices(batch: pa.RecordBatch, source: str) -> Iterator[pa.RecordBatch]:
+def slices(batch: pa.RecordBatch, source: str) -> Iterator[pa.RecordBatch]:
     """The batch in runs of rows of about SLICE_BYTES of text."""
     sizes = pc.binary_length(batch.column(batch.schema.get_field_index(source))).to_numpy(zero_copy_only=False)
     part = np.cumsum(sizes, dtype=np.int64) // SLICE_BYTES
@@ -170,7 +170,7 @@ def map_texts(
     schema = T.StructType([*kept, *fields])
 
     def over(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in (part for whole in batches for part in _slices(whole, source)):
+        for batch in (part for whole in batches for part in slices(whole, source)):
             at = batch.schema.get_field_index
             made = each(batch.column(at(source)).to_pylist())
             yield pa.RecordBatch.from_arrays([*(batch.column(at(x.name)) for x in kept), *made], names=[x.name for x in schema])

@@ -9,7 +9,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from glotta.llm import bpe, decontaminate, exact, langid, ngrams, pii, quality, repeats, simhash, urls
+from glotta.llm import bpe, decontaminate, divergence, exact, langid, ngrams, pii, quality, repeats, simhash, urls
 from glotta.llm.common import id_crc, table
 
 RANKS = "byte_bpe_50k.tiktoken"
@@ -96,13 +96,58 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op11_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divergence.source_divergence(table(spark, sf_dir, "documents").select("text", "lang", "source"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    own = [op1_decontamination, op2_byte_bpe, op3_pii, op4_simhash, op5_exact_dedup, op6_suffix_array, op7_url_filter, op8_language, op9_language_model, op10_quality]
+    own = [op1_decontamination, op2_byte_bpe, op3_pii, op4_simhash, op5_exact_dedup, op6_suffix_array, op7_url_filter, op8_language, op9_language_model, op10_quality, op11_source_divergence]
     return {f.__name__: f for f in own}
 
 
+#: A-Z as a-z and no other letter, in DuckDB.
+_LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+
+
 def oracle_sql() -> dict[str, str]:
     return {
+        "op11_source_divergence": rf"""
+            WITH docs AS (
+                SELECT row_number() OVER () AS k, coalesce(lang, '') AS lang, coalesce(source, '') AS source, {_LOWER} AS t FROM documents
+            ), groups AS (
+                SELECT DISTINCT lang, source FROM docs
+            ), found AS (
+                SELECT k, lang, source, unnest(regexp_extract_all(t, '[^\x00-\x40\x5B-\x60\x7B-\x7F]+')) AS term FROM docs
+            ), kept AS (
+                SELECT lang, term, count(*) OVER (PARTITION BY lang) AS terms
+                FROM (SELECT lang, term FROM found GROUP BY lang, term HAVING count(DISTINCT k) >= 10)
+            ), counted AS (
+                SELECT lang, source, term, count(*) AS n FROM found JOIN kept USING (lang, term) GROUP BY lang, source, term
+            ), every AS (
+                SELECT lang, source, term, terms, coalesce(n, 0)::HUGEINT AS n
+                FROM groups JOIN kept USING (lang) LEFT JOIN counted USING (lang, source, term)
+            ), shares AS (
+                SELECT *, 1 + (1000000000 * (n + 2)) // (sum(n) OVER (PARTITION BY lang, source) + 2 * terms) AS p FROM every
+            ), of_lang AS (
+                SELECT lang, term, 1 + (1000000000 * (n + 2)) // (sum(n) OVER (PARTITION BY lang) + 2 * terms) AS q
+                FROM (SELECT lang, term, any_value(terms) AS terms, sum(n) AS n FROM every GROUP BY lang, term)
+            ), met AS (
+                SELECT a.lang, a.source, b.source AS item, sum((a.p - b.p) * (a.p - b.p) // (a.p + b.p)) AS value
+                FROM shares a JOIN shares b ON a.lang = b.lang AND a.term = b.term AND a.source <> b.source
+                GROUP BY a.lang, a.source, b.source
+            ), pairs AS (
+                SELECT a.lang, a.source, 'pair' AS part, b.source AS item, coalesce(m.value, 0) AS value
+                FROM groups a JOIN groups b ON a.lang = b.lang AND a.source <> b.source
+                LEFT JOIN met m ON m.lang = a.lang AND m.source = a.source AND m.item = b.source
+            ), terms AS (
+                SELECT lang, source, 'term' AS part, term AS item, (p - q) * (p - q) // (p + q) AS value
+                FROM shares JOIN of_lang USING (lang, term) WHERE n > 0 AND p > q
+            ), ranked AS (
+                SELECT *, row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item) AS rank
+                FROM (SELECT * FROM pairs UNION ALL SELECT * FROM terms)
+            )
+            SELECT lang, source, part, item, value::BIGINT AS value, rank::INTEGER AS rank FROM ranked WHERE part = 'pair' OR rank <= 10
+        """,
         "op5_exact_dedup": """
             SELECT doc_id, keep_id, group_size, doc_id = keep_id AS kept, text_sha256
             FROM (
