@@ -9,7 +9,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from glotta.llm import bpe, decontaminate, divergence, exact, langid, ngrams, pii, quality, repeats, simhash, urls
+from glotta.llm import bpe, decontaminate, divergence, exact, langid, ngrams, pii, quality, repeats, resample, simhash, urls
 from glotta.llm.common import id_crc, table
 
 RANKS = "byte_bpe_50k.tiktoken"
@@ -100,8 +100,13 @@ def op11_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
     return divergence.source_divergence(table(spark, sf_dir, "documents").select("text", "lang", "source"))
 
 
+def op13_resample(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return resample.resample(docs, table(spark, sf_dir, "benchmark").select("text")).select("doc_id", "n_features", "weight", "score", "rank")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    own = [op1_decontamination, op2_byte_bpe, op3_pii, op4_simhash, op5_exact_dedup, op6_suffix_array, op7_url_filter, op8_language, op9_language_model, op10_quality, op11_source_divergence]
+    own = [op1_decontamination, op2_byte_bpe, op3_pii, op4_simhash, op5_exact_dedup, op6_suffix_array, op7_url_filter, op8_language, op9_language_model, op10_quality, op11_source_divergence, op13_resample]
     return {f.__name__: f for f in own}
 
 
@@ -111,6 +116,44 @@ _LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghi
 
 def oracle_sql() -> dict[str, str]:
     return {
+        "op13_resample": rf"""
+            WITH steps AS (
+                SELECT list(list_reduce(list_prepend(i, range(8)), lambda c, k: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END) ORDER BY i) AS step
+                FROM range(256) t(i)
+            ), texts AS (
+                SELECT true AS target, row_number() OVER () AS k, NULL AS doc_id, {_LOWER} AS t FROM benchmark
+                UNION ALL SELECT false, row_number() OVER (), doc_id, {_LOWER} FROM documents
+            ), worded AS (
+                SELECT target, k, doc_id, regexp_extract_all(t, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM texts
+            ), found AS (
+                SELECT target, k, unnest(w || list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1])) AS feature FROM worded
+            ), hexed AS (
+                SELECT feature, hex(encode(feature)) AS h FROM (SELECT DISTINCT feature FROM found)
+            ), hashed AS (
+                SELECT feature, xor(4294967295, list_reduce(
+                    list_prepend(4294967295, list_transform(range(1, len(h), 2), lambda j: ('0x' || substr(h, j, 2))::BIGINT)),
+                    lambda c, b: xor(c >> 8, step[1 + (xor(c, b) & 255)]))) % 10000 AS bucket
+                FROM hexed, steps
+            ), counted AS (
+                SELECT bucket, count(*) FILTER (NOT target) AS s, count(*) FILTER (target) AS t FROM found JOIN hashed USING (feature) GROUP BY bucket
+            ), gained AS (
+                SELECT bucket, floor(1000 * ln((t + 1)::DOUBLE * ((sum(s) OVER ()) + 10000)::DOUBLE / ((s + 1)::DOUBLE * ((sum(t) OVER ()) + 10000)::DOUBLE)))::BIGINT AS gain
+                FROM counted
+            ), summed AS (
+                SELECT k, count(*) AS n, sum(gain) AS gain FROM found JOIN hashed USING (feature) JOIN gained USING (bucket) WHERE NOT target GROUP BY k
+            ), weighed AS (
+                SELECT k, doc_id, len(w) AS n_words, coalesce(n, 0) AS n_features, coalesce(floor(gain::DOUBLE / n), 0)::BIGINT AS weight,
+                       ('0x' || substr(sha256('7:' || doc_id), 1, 8))::BIGINT AS h
+                FROM worded LEFT JOIN summed USING (k) WHERE NOT target
+            ), scored AS (
+                SELECT *, weight + floor(-1000 * ln(-ln((h + 0.5::DOUBLE) / 4294967296)))::BIGINT AS score FROM weighed
+            ), placed AS (
+                SELECT *, row_number() OVER (PARTITION BY n_words >= 20 ORDER BY score DESC, doc_id) AS place,
+                       count(*) FILTER (n_words >= 20) OVER () * 25 // 100 AS most
+                FROM scored
+            )
+            SELECT doc_id, n_features, weight, score, CASE WHEN n_words >= 20 AND place <= most THEN place END AS rank FROM placed
+        """,
         "op11_source_divergence": rf"""
             WITH docs AS (
                 SELECT row_number() OVER () AS k, coalesce(lang, '') AS lang, coalesce(source, '') AS source, {_LOWER} AS t FROM documents
