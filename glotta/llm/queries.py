@@ -9,7 +9,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from glotta.llm import bpe, decontaminate, divergence, exact, langid, ngrams, pii, quality, repeats, resample, simhash, urls
+from glotta.llm import bpe, decontaminate, divergence, exact, langid, neighbours, ngrams, pii, quality, repeats, resample, simhash, urls
 from glotta.llm.common import id_crc, table
 
 RANKS = "byte_bpe_50k.tiktoken"
@@ -100,13 +100,17 @@ def op11_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
     return divergence.source_divergence(table(spark, sf_dir, "documents").select("text", "lang", "source"))
 
 
+def op12_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neighbours.nearest_neighbours(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 100 == 0)
+
+
 def op13_resample(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return resample.resample(docs, table(spark, sf_dir, "benchmark").select("text")).select("doc_id", "n_features", "weight", "score", "rank")
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    own = [op1_decontamination, op2_byte_bpe, op3_pii, op4_simhash, op5_exact_dedup, op6_suffix_array, op7_url_filter, op8_language, op9_language_model, op10_quality, op11_source_divergence, op13_resample]
+    own = [op1_decontamination, op2_byte_bpe, op3_pii, op4_simhash, op5_exact_dedup, op6_suffix_array, op7_url_filter, op8_language, op9_language_model, op10_quality, op11_source_divergence, op12_neighbours, op13_resample]
     return {f.__name__: f for f in own}
 
 
