@@ -163,20 +163,25 @@ def matrix(column: pa.Array) -> np.ndarray:
     return flat.reshape(len(column), -1)
 
 
-def nearest_rows(queries: np.ndarray, rows: np.ndarray, ids: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(query, row, distance) of each query's ``k`` nearest rows, ties by ids: products find who can be among them, differences decide."""
+def nearest_rows(queries: np.ndarray, rows: np.ndarray, ids: np.ndarray, k: int, most: np.ndarray | float = np.inf) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(query, row, distance) of each query's ``k`` nearest rows at a distance of at most ``most``, ties by ids.
+
+    Products find who can be among them, differences decide.
+    """
+    most = np.broadcast_to(most, len(queries))
     with np.errstate(over="ignore", invalid="ignore"):
         far = _squares(queries, rows)
         if not np.isfinite(far).all():
             far = np.stack([((rows - q) ** 2).sum(1) for q in queries])
         k = min(k, len(rows))
         slack = 1e-12 * ((queries**2).sum(1) + (rows**2).sum(1).max(initial=0))
-        last = np.partition(far, k - 1, axis=1)[:, k - 1] + slack
+        last = np.minimum(np.partition(far, k - 1, axis=1)[:, k - 1], most * most) + slack
         out = []
         for i, q in enumerate(queries):
             own = np.nonzero(far[i] <= last[i])[0]
             exact = np.sqrt(((rows[own] - q) ** 2).sum(1))
             order = np.lexsort((ids[own], exact))[:k]
+            order = order[exact[order] <= most[i]]
             out.append((np.full(len(order), i), own[order], exact[order]))
     return tuple(np.concatenate(x) for x in zip(*out))
 
@@ -252,7 +257,10 @@ def _postings(index: DataFrame, graph) -> DataFrame:
 
 
 def _visits(queries: DataFrame, graph, ratio: float, sizes: np.ndarray, least: int) -> DataFrame:
-    """(list, q, vector): the queries at the lists that they visit."""
+    """(list, first, q, vector): the queries at the lists that they visit.
+
+    Of m lists the nearest root of m come first, and as many as have ``least`` rows.
+    """
 
     def over(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -260,10 +268,12 @@ def _visits(queries: DataFrame, graph, ratio: float, sizes: np.ndarray, least: i
                 part = batch.slice(a, 256)
                 lists = graph.value.visited(matrix(part.column(1)), ratio, sizes, least)
                 at = pa.array(np.repeat(np.arange(len(lists)), [len(x) for x in lists]))
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(lists)), *(c.take(at) for c in part.columns)], names=["list", "q", "vector"])
+                first = [(np.arange(len(x)) < np.sqrt(len(x))) | (np.cumsum(sizes[x]) - sizes[x] < least) for x in lists]
+                columns = [pa.array(np.concatenate(lists)), pa.array(np.concatenate(first)), *(c.take(at) for c in part.columns)]
+                yield pa.RecordBatch.from_arrays(columns, names=["list", "first", "q", "vector"])
 
     kind = queries.schema["vector"].dataType.simpleString()
-    return queries.select("q", "vector").mapInArrow(over, f"list bigint, q bigint, vector {kind}")
+    return queries.select("q", "vector").mapInArrow(over, f"list bigint, first boolean, q bigint, vector {kind}")
 
 
 def _in_blocks(rows: DataFrame, key: Column, own: str, other: str, counts: DataFrame) -> DataFrame:
@@ -274,7 +284,7 @@ def _in_blocks(rows: DataFrame, key: Column, own: str, other: str, counts: DataF
 
 
 def _met(postings: DataFrame, visits: DataFrame, k: int) -> DataFrame:
-    """(q, row, far, ids): the nearest rows of each query among each block of a list."""
+    """(q, row, far, ids): each query's nearest rows of every list visited, at a distance of at most ``most``."""
     number = lambda df, name: df.groupBy("list").agg(F.ceil(F.count(F.lit(1)) / BLOCK_ROWS).alias(name))
     counts = number(postings, "blocks").join(number(visits, "turns"), "list")
     left = _in_blocks(postings, F.col("row"), "blocks", "turns", counts)
@@ -287,7 +297,8 @@ def _met(postings: DataFrame, visits: DataFrame, k: int) -> DataFrame:
         rows, asked = rows.combine_chunks(), asked.combine_chunks()
         ids = rows.column("ids").combine_chunks()
         first = ids.flatten().to_numpy()[np.diff(ids.offsets.to_numpy(), prepend=0).cumsum()[:-1]]
-        q, row, far = nearest_rows(matrix(asked.column("vector").combine_chunks()), matrix(rows.column("vector").combine_chunks()), first, k)
+        points, own = (matrix(x.column("vector").combine_chunks()) for x in (asked, rows))
+        q, row, far = nearest_rows(points, own, first, k, asked.column("most").to_numpy())
         at = pa.array(row)
         return pa.table({"q": asked.column("q").take(pa.array(q)), "row": rows.column("row").take(at), "far": pa.array(far), "ids": rows.column("ids").take(at)})
 
@@ -325,8 +336,13 @@ def nearest_neighbours(
     for number, count in postings.where("home").groupBy("list").count().collect():
         sizes[number] = count
     visits = materialise(_visits(distinct, held, ratio, sizes, k + 1), "neighbours-visits")
-    met = _met(postings.drop("home"), visits, k + 1)
-    near = met.withColumn("k", F.row_number().over(W.partitionBy("q").orderBy("far", F.col("ids")[0]))).where(F.col("k") <= k + 1)
+    postings, beyond = postings.drop("home"), F.lit(float("inf"))
+    best = lambda met: met.withColumn("k", F.row_number().over(W.partitionBy("q").orderBy("far", F.col("ids")[0]))).where(F.col("k") <= k + 1).drop("k")
+    # the first lists bound the distance, so that the others send few rows
+    first = materialise(best(_met(postings, visits.where("first").withColumn("most", beyond), k + 1)), "neighbours-first")
+    bounds = first.groupBy("q").agg(F.when(F.count(F.lit(1)) > k, F.max("far")).otherwise(beyond).alias("most"))
+    others = _met(postings, visits.where("not first").join(bounds, "q"), k + 1)
+    near = best(first.unionByName(others).groupBy("q", "row").agg(F.first("far").alias("far"), F.first("ids").alias("ids")))
     # of equal vectors all smallest ids stand for themselves
     single = near.select("q", "far", F.explode("ids").alias("vec_id"))
     single = single.withColumn("k", F.row_number().over(W.partitionBy("q").orderBy("far", "vec_id"))).where(F.col("k") <= k + 1)
