@@ -9,22 +9,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-from glotta.operators.scheduling import FACTOR, FIRST_INTERVAL, LEAST_EASE, START_EASE
+from glotta.operators.scheduling import START_EASE, reviewed
 
 _STATE = "interval bigint, reps bigint, ef double, lapses bigint"
 _OUT = "learner_id bigint, lemma string, interval bigint, reps bigint, ef double, lapses bigint, due date"
 
 
-def reviewed(interval: int, reps: int, ef: float, lapses: int, q: int) -> tuple[int, int, float, int]:
-    """The card state after one review; the batch fold in ``operators.scheduling`` is the same rule."""
-    q = max(0, min(3, q))
-    if q == 0:
-        return 0, reps + 1, max(LEAST_EASE, ef - 0.2), lapses + 1
-    grown = FIRST_INTERVAL[q] if interval == 0 else int((interval * ef * FACTOR[q] + 0.5) // 1)
-    missing = float(3 - q)
-    return grown, reps + 1, max(LEAST_EASE, ef + (0.1 - missing * (0.08 + missing * 0.02))), lapses
-
-
 def card_stream(reviews: DataFrame) -> DataFrame:
     """The state of each card after each micro-batch that reviews it; reviews: learner_id, lemma, ts, review_id, q.
 
