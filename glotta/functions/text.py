@@ -12,7 +12,8 @@ from pyspark.sql import functions as F
 _SPACES = "".join(map(chr, [0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000, 0xFEFF]))
 WS = rf"[\t\n\x0B\f\r {_SPACES}]"
 BOUNDARY = r"(?:(?<=[0-9A-Za-z_])(?![0-9A-Za-z_])|(?<![0-9A-Za-z_])(?=[0-9A-Za-z_]))"
-TOKEN = r"[A-Za-zÀ-ÿŒœÆæ]+(?:[-'’][A-Za-zÀ-ÿŒœÆæ]+)*"
+# Possessive, as no part of a token is ever given back: a token of any number of parts needs no stack.
+TOKEN = r"[A-Za-zÀ-ÿŒœÆæ]++(?:[-'’][A-Za-zÀ-ÿŒœÆæ]++)*+"
 ELIDED = r"^(?:l|d|j|m|t|s|n|c|qu|jusqu|puisqu|quoiqu|lorsqu|presqu)'"
 
 #: All letters up to U+024F that carry an accent, and their base letters.
@@ -49,7 +50,8 @@ def quoted(text: Column) -> Column:
 
 
 def trimmed(text: Column) -> Column:
-    return F.regexp_replace(text, f"^{WS}+|{WS}+$", "")
+    # a run of blanks within the text is tried once, at its beginning
+    return F.regexp_replace(text, f"^{WS}++|(?<!{WS}){WS}++$", "")
 
 
 def collapsed(text: Column) -> Column:
@@ -172,7 +174,7 @@ LIGATURES = [("ﬁ", "fi"), ("ﬂ", "fl"), ("ﬀ", "ff"), ("ﬃ", "ffi"), ("ﬄ"
 LINE_REPAIRS = [(r"([A-Za-zÀ-ÿ])-[ \t]*\n+[ \t]*(?=[a-zà-ÿ])", "$1"), (r"([A-Za-zÀ-ÿ0-9»”’)])\n+([.,;:!?»”)])", "$1$2"), (r"([,;])\n+(?=[a-zà-ÿ])", "$1 ")]
 # Stray lines; then blanks.
 STRAY_LINES = [(r"\n[|~*#_•·]{1,3}\n", "\n")]
-BLANK_REPAIRS = [(r"[ \t]+\n", "\n"), (r"\n{3,}", "\n\n"), (r"[ \t]{2,}", " ")]
+BLANK_REPAIRS = [(r"(?<![ \t])[ \t]++\n", "\n"), (r"\n{3,}", "\n\n"), (r"[ \t]{2,}", " ")]
 
 
 def _repaired(text: Column, repairs: list[tuple[str, str]]) -> Column:
@@ -213,12 +215,26 @@ def material_domain(text: Column, least: int = 8, most: int = 70) -> Column:
     return F.coalesce(F.substring(F.get(lines, F.lit(0)), 1, most), F.lit(""))
 
 
+def word_beginnings(text: Column, to_blank: bool = True) -> Column:
+    """The lower-cased rest of the text from each ASCII word boundary on, up to a blank or to the end."""
+    return F.regexp_extract_all(F.lower(text), F.lit(rf"(?s){BOUNDARY}(?=({'[^ ]' if to_blank else '.'}+))"), F.lit(1))
+
+
 def cloze(sentence: Column, lemma: Column) -> Column:
     """The sentence with the first word that begins with the lemma blanked, or null where there is none."""
-    pattern = F.concat(F.lit(f"(?iu){BOUNDARY}"), quoted(lemma), F.lit("[0-9A-Za-z_]*"))
-    hit = F.regexp_substr(sentence, pattern)
-    at = F.regexp_instr(sentence, pattern)
-    return F.when(at > 0, F.concat(F.substring(sentence, F.lit(1), at - 1), F.lit("______"), F.substring(sentence, at + F.length(hit), F.length(sentence))))
+    rest = F.get(F.filter(word_beginnings(sentence, to_blank=False), lambda x: F.startswith(x, F.lower(lemma))), F.lit(0))
+    at = F.length(sentence) - F.length(rest)
+    after = F.substring(sentence, at + F.length(lemma) + 1, F.length(sentence))
+    return F.concat(F.substring(sentence, F.lit(1), at), F.lit("______"), F.regexp_replace(after, r"\A[0-9A-Za-z_]+", ""))
+
+
+def blanked(text: Column, word: Column, blank: str) -> Column:
+    """The text with every occurrence of the word, in whatever case, as ``blank``."""
+    mark = chr(1)
+    pieces = F.split(F.replace(F.lower(F.translate(text, mark, " ")), F.lower(word), F.lit(mark)), mark)
+    start = F.struct(F.lit(1).alias("at"), F.array().cast("array<string>").alias("kept"))
+    step = lambda s, p: F.struct((s["at"] + F.length(p) + F.length(word)).alias("at"), F.array_append(s["kept"], F.substring(text, s["at"], F.length(p))).alias("kept"))
+    return F.aggregate(pieces, start, step, lambda s: F.array_join(s["kept"], blank))
 
 
 def context_of(text: Column, lemma: Column, before: int = 30, after: int = 45) -> Column:

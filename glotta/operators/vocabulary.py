@@ -133,17 +133,53 @@ def ranked(vocab: DataFrame) -> DataFrame:
     return vocab.withColumn("rank", F.row_number().over(W.partitionBy("doc_id").orderBy(F.desc("n"), "first_pos")))
 
 
+#: Letters of a lemma that are looked up before the lemma is compared.
+_KEY = 3
+#: A document asked for so many keys lists all its words.
+_MANY_KEYS = 64
+
+
+def first_words(docs: DataFrame, asked: DataFrame) -> DataFrame:
+    """(doc_id, key, piece, sent_no): the index of a document's word beginnings, each distinct one with its first sentence.
+
+    asked: doc_id, low, key, the lower-cased lemmas to be found and their first letters. A piece goes to
+    the next blank, for lemmas with a blank to the end of its sentence; only pieces with a key that is asked for
+    are listed. All of it happens in the document's row.
+    """
+    long = F.when(F.col("low").contains(" "), F.col("key"))
+    wanted = asked.groupBy("doc_id").agg(F.collect_set("key").alias("keys"), F.collect_set(long).alias("long_keys"))
+    near = lambda piece, keys: F.exists(F.sequence(F.lit(1), F.lit(_KEY)), lambda n: F.array_contains(keys, F.substring(piece, F.lit(1), n)))
+
+    def pieces(sentence: Column) -> Column:
+        short = F.filter(X.word_beginnings(sentence), lambda p: (F.size("keys") > _MANY_KEYS) | near(p, F.col("keys")))
+        rest = F.filter(X.word_beginnings(sentence, to_blank=False), lambda p: near(p, F.col("long_keys")))
+        return F.array_distinct(F.concat(short, F.when(F.size("long_keys") > 0, rest).otherwise(F.array().cast("array<string>"))))
+
+    lists = docs.select("doc_id", X.sentences(F.col("text")).alias("sentences")).join(wanted, "doc_id")
+    every = F.flatten(F.transform("sentences", lambda s, k: F.transform(pieces(s), lambda p: F.struct(p.alias("piece"), k.alias("sent_no")))))
+    lists = lists.select("doc_id", "keys", F.sort_array(every).alias("found"))
+    first = F.filter("found", lambda x, k: (k == 0) | (F.get("found", k - 1)["piece"] != x["piece"]))
+    rows = lists.select("doc_id", "keys", F.explode(first).alias("x")).select("doc_id", "keys", "x.*")
+    keys = F.array_distinct(F.transform(F.sequence(F.lit(1), F.lit(_KEY)), lambda n: F.substring("piece", F.lit(1), n)))
+    return rows.select("doc_id", F.explode(F.array_intersect(keys, "keys")).alias("key"), "piece", "sent_no")
+
+
 def with_example(vocab: DataFrame, docs: DataFrame) -> DataFrame:
     """``vocab`` with ``example``, the first sentence that has a word beginning with the lemma, or null.
 
-    The sentences of a document stay one array, so the join is by document alone, and a lemma
-    reads the array up to its first hit. The word beginning is an ASCII one, so lemmas that begin
-    with an accented letter have no example after a space.
+    Lemmas meet the document's index of word beginnings by document and first letters, and are
+    compared there. The word beginning is an ASCII one, so lemmas that begin with an accented
+    letter have no example after a space. The sentences found are read from the document again.
     """
-    lists = docs.select("doc_id", X.sentences(F.col("text")).alias("sentences"))
-    pattern = F.concat(F.lit(f"(?iu){X.BOUNDARY}"), X.quoted(F.col("lemma")))
-    hit = F.filter("sentences", lambda s: F.rlike(s, pattern))
-    return vocab.join(lists, "doc_id").withColumn("example", F.get(hit, F.lit(0))).drop("sentences")
+    low = F.lower("lemma")
+    asked = vocab.select("doc_id", "lemma", low.alias("low"), F.substring(low, 1, _KEY).alias("key"))
+    met = first_words(docs, asked).join(asked, ["doc_id", "key"]).where(F.startswith("piece", F.col("low")))
+    places = met.groupBy("doc_id", "lemma").agg(F.min("sent_no").alias("sent_no"))
+    by_doc = places.groupBy("doc_id").agg(F.collect_list(F.struct("lemma", "sent_no")).alias("places"))
+    lists = docs.select("doc_id", X.sentences(F.col("text")).alias("sentences")).join(by_doc, "doc_id")
+    found = F.transform("places", lambda x: F.struct(x["lemma"].alias("lemma"), F.get("sentences", x["sent_no"]).alias("example")))
+    examples = lists.select("doc_id", F.explode(found).alias("x")).select("doc_id", "x.*")
+    return vocab.join(examples, ["doc_id", "lemma"], "left")
 
 
 def coverage(vocab: DataFrame, lexicon: DataFrame, levels: dict[str, int], target: int) -> DataFrame:

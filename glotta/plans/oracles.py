@@ -6,10 +6,10 @@ from glotta.lexicon import ENGLISH, ETRE_VERBS, GRAVE_VERBS, LEVELS, NUMERALS
 from glotta.operators.errors import DETERMINERS, ERROR_LEVELS, ETRE_FORMS, ORAL_NEGATION
 from glotta.operators.grammar import RULES
 from glotta.operators.vocabulary import SUFFIXES
-from glotta.functions.text import TOKEN
 from glotta.plans.queries import AS_OF, ELIDED_TEXTS, EXAM, LANGUAGE
 
 WS = r"[\t\n\x0B\f\r \x{00A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}\x{FEFF}]"
+TOKEN = "[A-Za-zÀ-ÿŒœÆæ]+(?:[-'’][A-Za-zÀ-ÿŒœÆæ]+)*"
 ELIDED = "^(?:l|d|j|m|t|s|n|c|qu|jusqu|puisqu|quoiqu|lorsqu|presqu)''"
 
 

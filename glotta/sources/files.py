@@ -13,9 +13,11 @@ import zlib
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from glotta.functions import text as X
 
@@ -61,13 +63,16 @@ def read_files(spark: SparkSession, path: str, pattern: str = "*") -> DataFrame:
 
 
 def kind_of(path: Column, content: Column) -> Column:
+    """The extension if it is known; else what the first bytes say, for old binary documents by the name of the program in them."""
     extension = F.lower(F.regexp_extract(path, r"\.([A-Za-z0-9]+)$", 1))
     head = F.hex(F.substring(content, F.lit(1), F.lit(8)))
+    first = lambda n: F.decode(F.substring(content, F.lit(1), F.lit(n)), "ISO-8859-1")
+    slides = first(4096).contains("PowerPoint") | first(8192).contains("\0".join("PowerPoint"))
     by_bytes = (
         F.when(head.startswith("25504446"), "pdf")
         .when(head.startswith("504B"), "zip")
-        .when(head.startswith("D0CF11E0"), "ole")
-        .when(head.startswith("7B5C727466"), "rtf")
+        .when(first(64).rlike(r"\A\s*\{\s*\\rtf"), "rtf")
+        .when(head.startswith("D0CF"), F.when(slides, "ppt").otherwise("doc"))
         .when(head.startswith("89504E47"), "png")
         .when(head.startswith("FFD8FF"), "jpg")
         .otherwise("txt")
@@ -208,9 +213,61 @@ RTF_DESTINATIONS = """fonttbl colortbl stylesheet info listtable listoverridetab
 themedata colorschememapping latentstyles datastore mmath filetbl pgdsctbl""".split()
 
 
+#: Destinations of each name that are taken out of one text; None: all.
+RTF_MOST_OF_A_NAME = 40
+_RTF_BLANKS = "[\\t\\n\\x0B\\f\\r \xa0]*"
+
+
+def _group_end(depth: np.ndarray, k: int) -> int | None:
+    """The number of the brace that ends the group which brace ``k`` begins; the search widens, so it costs what the group is long."""
+    size = 64
+    while True:
+        below = np.flatnonzero(depth[k : k + size] < depth[k])
+        if len(below):
+            return k + int(below[0])
+        if k + size >= len(depth):
+            return None
+        size *= 4
+
+
+def without_destinations(body: str) -> str:
+    r"""RTF with a blank for each destination: ``\name`` and the group in braces after it, of any depth, or what follows up to a semicolon.
+
+    The running depth over the places of all braces tells where a group ends. One without an end
+    reaches to the end of the text.
+    """
+    for name in RTF_DESTINATIONS:
+        if f"\\{name}" not in body:
+            continue
+        marks = np.frombuffer(body.encode("latin-1", "replace"), np.uint8)
+        braces = np.flatnonzero((marks == ord("{")) | (marks == ord("}")))
+        depth = np.cumsum(np.where(marks[braces] == ord("{"), 1, -1))
+        kept, at, n = [], 0, 0
+        for m in re.finditer(rf"\\{name}(?![0-9A-Za-z_]){_RTF_BLANKS}", body):
+            if m.start() < at:
+                continue
+            if body.startswith("{", m.end()):
+                last = _group_end(depth, int(np.searchsorted(braces, m.end())))
+                end = len(body) if last is None else int(braces[last]) + 1
+            else:
+                end = body.find(";", m.end()) + 1 or len(body)
+            kept += [body[at : m.start()], " "]
+            at, n = end, n + 1
+            if n == RTF_MOST_OF_A_NAME:
+                break
+        body = "".join([*kept, body[at:]])
+    return body
+
+
+@F.arrow_udf(T.StringType())
+def _without_destinations(bodies: pa.Array) -> pa.Array:
+    return pa.array((None if x is None else without_destinations(x) for x in bodies.to_pylist()), pa.string())
+
+
 def rtf_texts(files: DataFrame) -> DataFrame:
-    """(path, text) of RTF files."""
-    return files.where("accepted and kind = 'rtf'").select("path", rtf_plain(F.decode("content", "ISO-8859-1")).alias("text"))
+    """(path, text) of RTF files; one that doesn't begin as RTF has no row."""
+    body = F.decode("content", "ISO-8859-1")
+    return files.where("accepted and kind = 'rtf'").where(body.rlike(r"\A\s*\{?\s*\\rtf")).select("path", rtf_plain(body).alias("text"))
 
 
 def _resolved(text: Column, pattern: str, char: Callable[[Column], Column]) -> Column:
@@ -222,12 +279,7 @@ def _resolved(text: Column, pattern: str, char: Callable[[Column], Column]) -> C
 def rtf_plain(body: Column) -> Column:
     r"""The text of RTF: destinations out (a group in braces, or up to a semicolon), ``\'hh`` and ``\uN`` as characters,
     control words as blanks (``\par`` among them), lines with a letter kept."""
-    group = r"\{[^{}]*\}"
-    for _ in range(4):  # groups in groups
-        group = rf"\{{(?:[^{{}}]|{group})*\}}"
-    out = body
-    for name in RTF_DESTINATIONS:
-        out = F.regexp_replace(out, rf"\\{name}(?![0-9A-Za-z_])\s*(?:{group}|(?!\{{)[^;]*(?:;|$))", " ")
+    out = _without_destinations(body)
     out = _resolved(out, r"\\'([0-9a-fA-F]{2})", lambda h: F.decode(F.unhex(h), "ISO-8859-1"))
     code = lambda n: F.pmod(n.cast("bigint") + 65536, F.lit(65536)).cast("int")
     char = lambda n: F.when(code(n).between(0xD800, 0xDFFF), "").otherwise(F.decode(F.unhex(F.lpad(F.hex(code(n)), 8, "0")), "UTF-32"))
@@ -262,7 +314,7 @@ def legacy_texts(files: DataFrame) -> DataFrame:
 
     narrow, wide, size = lines(r"[\t -~À-ÿ]{4,}"), lines(r"(?:[\t -~À-ÿ]\x00){4,}"), letters
     best = F.when(size(F.col("wide")) > size(F.col("narrow")), F.col("wide")).otherwise(F.col("narrow"))
-    rows = files.where("accepted and kind in ('doc', 'ppt', 'ole')").select("path", narrow.alias("narrow"), wide.alias("wide"))
+    rows = files.where("accepted and kind in ('doc', 'ppt')").select("path", narrow.alias("narrow"), wide.alias("wide"))
     return rows.select("path", best.alias("text")).where(F.length("text") >= 20)
 
 

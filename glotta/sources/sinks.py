@@ -10,7 +10,7 @@ from glotta.functions import text as X
 
 def anki_rows(cards: DataFrame) -> DataFrame:
     """``cards`` (lemma, gender, gloss, example, level, pos) with front, back, sentence (the lemma blanked) and tag."""
-    blanked = F.regexp_replace(F.coalesce("example", F.lit("")), F.concat(F.lit("(?iu)"), X.quoted(F.col("lemma"))), F.lit("[...]"))
+    blanked = X.blanked(F.coalesce("example", F.lit("")), F.col("lemma"), "[...]")
     return cards.withColumns(
         {
             "front": F.concat("lemma", F.when(F.col("gender") != "", F.concat(F.lit(" ("), "gender", F.lit(")"))).otherwise("")),
