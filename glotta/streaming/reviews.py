@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from glotta.operators.scheduling import START_EASE, reviewed
+from glotta.sources.store import Store
 
 _STATE = "interval bigint, reps bigint, ef double, lapses bigint"
 _OUT = "learner_id bigint, lemma string, interval bigint, reps bigint, ef double, lapses bigint, due date"
@@ -49,3 +50,13 @@ def merged_glosses(glosses: DataFrame, path: str) -> Callable[[DataFrame, int],
         new.write.mode("append").parquet(path)
 
     return merge
+
+
+def gloss_batches(glosses: Store, stream: str) -> Callable[[DataFrame, int], None]:
+    """A ``foreachBatch`` function that adds a batch's unseen glosses (lemma, gloss) to a store, once however often the batch is replayed."""
+
+    def merge(batch: DataFrame, batch_id: int) -> None:
+        new = batch.where("gloss != ''").groupBy("lemma").agg(F.min("gloss").alias("gloss")).join(glosses.read(), "lemma", "left_anti")
+        glosses.append(new, stream=stream, batch=batch_id)
+
+    return merge
