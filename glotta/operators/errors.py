@@ -76,3 +76,19 @@ def error_groups(issues: DataFrame) -> DataFrame:
         .agg(F.count(F.lit(1)).alias("n"), F.min("ord").alias("first_ord"), F.array_sort(F.collect_list(sample)).alias("s"))
         .select("doc_id", "error", level.alias("level"), "n", "first_ord", F.col("s.snippet").alias("samples"))
     )
+
+
+# What is said beside an example of these errors; the others speak for themselves.
+HINTS = {"english": "looks like an English word", "neg": "in writing: ne ... pas"}
+
+
+def error_report(issues: DataFrame, lexicon: DataFrame) -> DataFrame:
+    """(doc_id, rank, error, level, n, samples): each document's errors, the most frequent first, ties by the first place; samples with hints."""
+    noun = F.lower(F.element_at(F.split("snippet", " "), -1))
+    nouns = lexicon.select(F.col("lemma").alias("_noun"), F.col("gender").alias("_gender"))
+    gender = F.when((F.col("error") == "genre") & F.col("_gender").isNotNull(), F.concat(F.lit("should be "), F.when(F.col("_gender") == "m", "le ").otherwise("la "), noun))
+    hint = F.coalesce(F.element_at(F.create_map(*(F.lit(x) for kv in HINTS.items() for x in kv)), F.col("error")), gender)
+    hinted = issues.withColumn("_word", F.when(F.col("error") == "genre", X.word_of(noun))).join(nouns, F.col("_word") == F.col("_noun"), "left")
+    hinted = hinted.withColumn("snippet", F.concat("snippet", F.coalesce(F.concat(F.lit("  — "), hint), F.lit("")))).select(*issues.columns)
+    order = W.partitionBy("doc_id").orderBy(F.desc("n"), "first_ord")
+    return error_groups(hinted).withColumn("rank", F.row_number().over(order)).select("doc_id", "rank", "error", "level", "n", "samples")

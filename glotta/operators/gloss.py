@@ -2,17 +2,17 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Callable
 
-import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from glotta.functions import text as X
+from glotta.operators.calls import Terms, called, is_page, reply_text
 
-# Words in a prompt, characters of context, tries.
-BATCH_WORDS, CONTEXT_CHARS, TRIES = 6, 42, 2
+# Words in a prompt, characters of context.
+BATCH_WORDS, CONTEXT_CHARS = 6, 42
 
 
 def prompts(vocab: DataFrame, docs: DataFrame, most: int = 24) -> DataFrame:
@@ -25,31 +25,18 @@ def prompts(vocab: DataFrame, docs: DataFrame, most: int = 24) -> DataFrame:
     return lists.select("doc_id", "batch_no", F.col("xs.lemma").alias("lemmas"), F.concat(F.lit("One short gloss a line for:\n"), F.array_join(lines, "\n")).alias("prompt"))
 
 
-def glossed(asked: DataFrame, client: Callable[[str], str] | None = None) -> DataFrame:
-    """(doc_id, lemma, gloss) from the client's replies; a prompt that fails twice is left out, as is one without a client.
-
-    ``client`` takes a prompt and returns the reply; it runs on the executors. None is bundled.
-    """
-
-    def over(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            replies = []
-            for prompt in batch.column(batch.schema.get_field_index("prompt")).to_pylist():
-                reply = None
-                for _ in range(TRIES if client else 0):
-                    try:
-                        reply = client(prompt)
-                        break
-                    except Exception:  # the service's own errors; the next try or batch goes on
-                        continue
-                replies.append(reply)
-            at = batch.schema.get_field_index
-            yield pa.RecordBatch.from_arrays([batch.column(at("doc_id")), batch.column(at("lemmas")), pa.array(replies, pa.string())], names=["doc_id", "lemmas", "reply"])
-
-    said = asked.select("doc_id", "lemmas", "prompt").mapInArrow(over, "doc_id bigint, lemmas array<string>, reply string")
-    page = F.col("reply").rlike("(?i)<!doctype|<html")
-    lines = F.when(~page, X.gloss_lines(F.col("reply"), F.size("lemmas")))
-    return said.select("doc_id", F.explode(F.arrays_zip("lemmas", lines.alias("lines"))).alias("x")).select(
+def replies(asked: DataFrame, client: Callable[[str], str] | None = None, terms: Terms = Terms()) -> DataFrame:
+    """(doc_id, lemmas, reply, error): what the service said to each prompt, and what is wrong with it."""
+    said = called(asked.select("doc_id", "lemmas", "prompt"), client, terms=terms).withColumn("reply", reply_text(F.col("reply")))
+    wrong = F.when(X.trimmed("reply") == "", "empty reply").when(is_page(F.col("reply")), "a page instead of a reply")
+    said = said.withColumn("error", F.coalesce("error", wrong))
+    return said.select("doc_id", "lemmas", F.when(F.col("error").isNull(), F.col("reply")).alias("reply"), "error")
+
+
+def glossed(asked: DataFrame, client: Callable[[str], str] | None = None, terms: Terms = Terms()) -> DataFrame:
+    """(doc_id, lemma, gloss) from the client's replies; a prompt that fails twice is left out, as is one without a client (``replies`` says why)."""
+    lines = X.gloss_lines(F.col("reply"), F.size("lemmas"))
+    return replies(asked, client, terms).select("doc_id", F.explode(F.arrays_zip("lemmas", lines.alias("lines"))).alias("x")).select(
         "doc_id", F.col("x.lemmas").alias("lemma"), F.col("x.lines").alias("gloss")
     ).where("lemma is not null and gloss is not null")
 

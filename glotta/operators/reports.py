@@ -41,6 +41,56 @@ def mastery(cards: DataFrame, by: str) -> DataFrame:
     return out.withColumn("percent", _percent(F.col("n_mastered"), F.col("n_cards")))
 
 
+def with_level(cards: DataFrame, lexicon: DataFrame, default: str = "B1") -> DataFrame:
+    """``cards`` whose missing level is that of the lexicon, or the default."""
+    named = lexicon.select("lemma", F.col("level").alias("_level"))
+    own = F.when(F.col("level") != "", F.col("level")) if "level" in cards.columns else F.lit(None)
+    return cards.join(named, "lemma", "left").withColumn("level", F.coalesce(own, F.col("_level"), F.lit(default))).drop("_level")
+
+
+def level_number(level: Column, levels: dict[str, int]) -> Column:
+    """The place of a level; unknown ones count as 3."""
+    return F.coalesce(F.element_at(F.create_map(*(F.lit(x) for kv in levels.items() for x in kv)), level), F.lit(3))
+
+
+def skills(cards: DataFrame, reviews: DataFrame, structures: DataFrame, levels: dict[str, int], learner: str = "learner_id") -> DataFrame:
+    """Six values of 0 to 100 per learner: basic and upper vocabulary, conjugation, grammar, accuracy, correctness.
+
+    cards: learner, level, pos, reps, last_q; structures: learner, n_rules and n_errors of the learner's own
+    text. Learners with cards have a row; what they have no cards, reviews or text for is 0.
+    """
+    known = (F.col("reps") > 0) & (F.coalesce("last_q", F.lit(0)) > 0)
+    basic, verb = level_number(F.col("level"), levels) <= 2, F.coalesce(F.col("pos") == "v", F.lit(False))
+    part = lambda good, among: F.when(F.count_if(among) > 0, _percent(F.count_if(among & good), F.count_if(among))).otherwise(0)
+    by_card = cards.groupBy(learner).agg(part(known, basic).alias("basic"), part(known, ~basic).alias("upper"), part(F.col("reps") > 1, verb).alias("conjugation"))
+    by_review = reviews.groupBy(learner).agg(_percent(F.count_if(F.col("q") > 0), F.count(F.lit(1))).alias("accuracy"))
+    grammar = F.floor(100 * F.least(F.lit(1.0), F.col("n_rules") / 8.0) + 0.5)
+    own = structures.select(learner, grammar.alias("grammar"), F.greatest(F.lit(0), 100 - 6 * F.col("n_errors")).alias("correctness"))
+    joined = by_card.join(by_review, learner, "left").join(own, learner, "left")
+    return joined.select(learner, *(F.coalesce(c, F.lit(0)).cast("bigint").alias(c) for c in ("basic", "upper", "conjugation", "grammar", "accuracy", "correctness")))
+
+
+def gap_list(cards: DataFrame, lexicon: DataFrame, levels: dict[str, int], target: int, most: int = 40, learner: str = "learner_id") -> DataFrame:
+    """(learner, rank, lemma): the first words of the lexicon up to a level that a learner has no card of, in the order of the lexicon.
+
+    A learner's known words are at most the lexicon's, which meet the lexicon as one list.
+    """
+    core = lexicon.where(level_number(F.col("level"), levels) <= target).select("lemma", "ord")
+    words = F.transform(F.array_sort(F.collect_list(F.struct("ord", "lemma"))), lambda x: x["lemma"])
+    listed = core.agg(words.alias("words")).select(F.lit(1).alias("one"), "words")
+    had = cards.select(learner, "lemma").join(core.select("lemma", F.lit(True).alias("core")), "lemma", "left")
+    had = had.groupBy(learner).agg(F.collect_set(F.when(F.col("core"), F.col("lemma"))).alias("had")).withColumn("one", F.lit(1))
+    lacking = F.slice(F.array_except("words", "had"), 1, most)
+    return had.join(listed, "one").select(learner, F.posexplode(lacking).alias("k", "lemma")).select(learner, (F.col("k") + 1).alias("rank"), "lemma")
+
+
+def due_list(cards: DataFrame, as_of: str, most: int = 60, learner: str = "learner_id") -> DataFrame:
+    """(learner, rank, lemma, due): the first cards that are due, the longest due first."""
+    due = cards.where(F.col("due") <= F.lit(as_of).cast("date"))
+    order = W.partitionBy(learner).orderBy("due", "lemma")
+    return due.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= most).select(learner, "rank", "lemma", "due")
+
+
 def deck_additions(vocab: DataFrame, deck: DataFrame, top: int = 50) -> DataFrame:
     """The ``top`` words of each document that are not in the deck (lemma)."""
     order = W.partitionBy("doc_id").orderBy(F.desc("n"), "first_pos")

@@ -264,7 +264,60 @@ def elided_words(spark, sf_dir):
 
 
 def gen_passage(spark, sf_dir):
-    return quiz.passages(_vocab(spark, sf_dir, "fr"), "B1").select("doc_id", "passage", F.array_join("recycled", ";").alias("recycled"))
+    return quiz.passages(_vocab(spark, sf_dir, "fr"), "B1", verbs=LANGUAGE.verbs_frame(spark)).select("doc_id", "passage", F.array_join("recycled", ";").alias("recycled"))
+
+
+def _word_reviews(spark, sf_dir):
+    """Reviews of lexicon words: an event reviews the word with its number modulo the lexicon's size."""
+    lexicon, *_ = _dims(spark)
+    events = _table(spark, sf_dir, "events").withColumn("ord", (F.col("event_id") % len(LANGUAGE.lexicon)).cast("int"))
+    return events.join(lexicon.select("lemma", "ord"), "ord").select(F.col("user_id").alias("learner_id"), "lemma", "ts", F.col("event_id").alias("review_id"), (F.col("event_id") % 4).cast("int").alias("q"))
+
+
+def _word_cards(spark, sf_dir):
+    lexicon, *_ = _dims(spark)
+    cards = scheduling.card_states(_word_reviews(spark, sf_dir), ["learner_id", "lemma"])
+    return reports.with_level(cards, lexicon).join(lexicon.select("lemma", "pos"), "lemma", "left")
+
+
+def skills_radar(spark, sf_dir):
+    """A learner's own text is the document with the learner's number."""
+    docs = _docs(spark, sf_dir).where("text != ''")
+    structures = reports.skill_scores(docs, grammar.grammar_hits(docs), errors.error_issues(docs, *_dims(spark))).withColumnRenamed("doc_id", "learner_id")
+    return reports.skills(_word_cards(spark, sf_dir), _word_reviews(spark, sf_dir), structures, LEVELS)
+
+
+def level_mastery(spark, sf_dir):
+    return reports.mastery(_word_cards(spark, sf_dir), "level")
+
+
+def gap_list(spark, sf_dir):
+    lexicon, *_ = _dims(spark)
+    return reports.gap_list(_word_cards(spark, sf_dir), lexicon, LEVELS, 3).withColumn("rank", F.col("rank").cast("bigint"))
+
+
+def due_list(spark, sf_dir):
+    return reports.due_list(_word_cards(spark, sf_dir), AS_OF).select("learner_id", F.col("rank").cast("bigint").alias("rank"), "lemma", F.col("due").cast("string").alias("due"))
+
+
+def error_report(spark, sf_dir):
+    lexicon, *_ = _dims(spark)
+    found = errors.error_report(errors.error_issues(_docs(spark, sf_dir), *_dims(spark)), lexicon)
+    return found.select("doc_id", F.col("rank").cast("bigint").alias("rank"), "error", "level", "n", F.array_join("samples", "|").alias("samples"))
+
+
+def backup_state(spark, sf_dir):
+    """Two halves of each learner's events as two backups: counters and the events of each day."""
+
+    def half(k):
+        rows = _reviews(spark, sf_dir).where(F.col("review_id") % 2 == k)
+        days = rows.groupBy("learner_id", F.to_date("ts").cast("string").alias("day")).agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("q") > 0).alias("good"))
+        done = F.map_from_entries(F.collect_list(F.struct("day", "n"))).alias("done")
+        return days.groupBy("learner_id").agg(F.sum("n").alias("reviews"), F.sum("good").alias("correct"), done)
+
+    merged = backup.merge_states(half(0), half(1), "learner_id", ["reviews", "correct"], ["done"])
+    entries = F.transform(F.array_sort(F.map_entries("done")), lambda x: F.concat_ws(":", x["key"], x["value"].cast("string")))
+    return merged.select("learner_id", "reviews", "correct", F.array_join(entries, ";").alias("done"))
 
 
 ALL: list[Callable[[SparkSession, str], DataFrame]] = [
@@ -273,6 +326,7 @@ ALL: list[Callable[[SparkSession, str], DataFrame]] = [
     conjugation_table, verb_form_index, srs_state, due_today, due_forecast, study_plan, learner_report, weak_list, mastery,
     rate_limit_daily, tumbling_daily, backup_merge, grade_answers, target_used, page_ranges, anki_rows, backup_json,
     quiz_distractors, quiz_questions, gen_passage, elided_words,
+    skills_radar, level_mastery, gap_list, due_list, error_report, backup_state,
 ]
 
 
