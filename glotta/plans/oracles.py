@@ -352,6 +352,7 @@ def oracle_sql() -> dict[str, str]:
         "backup_json": _CARDS + " SELECT learner_id, to_json(struct_pack(format := 'glotta-backup', version := 1, state := struct_pack(cards := list(struct_pack(lemma := lemma, due := due::VARCHAR, reps := reps) ORDER BY lemma)))) ::VARCHAR AS json FROM cards GROUP BY learner_id",
         "grade_answers": _with(_ANSWERS) + f" SELECT conv_id, turn, CASE WHEN coalesce({_NORMAL('answer')}, '') = '' THEN FALSE ELSE {_NORMAL('answer')} = {_NORMAL('expected')} END AS ok, CASE WHEN coalesce({_NORMAL('answer')}, '') = '' THEN 'empty' WHEN {_NORMAL('answer')} = {_NORMAL('expected')} THEN 'right' ELSE 'wrong' END AS msg FROM answers",
         "target_used": _with(_ANSWERS) + f", f AS (SELECT *, regexp_extract(expected, '[A-Za-zÀ-ÿ]{{4,}}') AS word FROM answers) SELECT conv_id, turn, contains({_NORMAL('answer')}, {_NORMAL('word')}) AND word <> '' AS used FROM f",
+        "targets_in_documents": f"WITH d AS (SELECT doc_id, {_NORMAL('text')} AS t FROM documents), b AS (SELECT item_id, {_NORMAL('text')} AS e FROM benchmark) SELECT doc_id, item_id AS target_id FROM d JOIN b ON e <> '' AND contains(t, e)",
         "page_ranges": "WITH e AS (SELECT event_id, least(event_id % 17 + 1, event_id % 5 + 1) AS a, greatest(event_id % 17 + 1, event_id % 5 + 1) AS b, event_id % 31 AS c FROM events) SELECT event_id, array_to_string(list_filter(range(1, 21), lambda p: (p BETWEEN a AND b) OR p = c), ',') AS pages FROM e",
         "anki_rows": fr + "," + SENTENCES + "," + _EXAMPLE + " SELECT v.doc_id, v.lemma || CASE WHEN gender <> '' THEN ' (' || gender || ')' ELSE '' END AS front, gloss AS back, regexp_replace(coalesce(example, ''), regexp_escape(v.lemma), '[...]', 'gi') AS sentence, 'glotta_' || level || '_' || pos AS tag FROM vocab v LEFT JOIN examples e ON e.doc_id = v.doc_id AND e.lemma = v.lemma WHERE v.rank <= 10",
     }

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from glotta.functions import text as X
 from glotta.lexicon import LEVELS, Language, small
-from glotta.operators import backup, conjugation, errors, grammar, quiz, reports, scheduling, vocabulary
+from glotta.operators import backup, conjugation, errors, grammar, quiz, reports, scheduling, targets, vocabulary
 from glotta.sources.sinks import anki_rows as anki
 from glotta.sources.tables import read_table
 
@@ -320,13 +320,18 @@ def backup_state(spark, sf_dir):
     return merged.select("learner_id", "reviews", "correct", F.array_join(entries, ";").alias("done"))
 
 
+def targets_in_documents(spark, sf_dir):
+    items = _table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("target_id"), F.col("text").alias("expected"))
+    return targets.targets_used(_docs(spark, sf_dir), items)
+
+
 ALL: list[Callable[[SparkSession, str], DataFrame]] = [
     token_counts, elisions, sentence_stats, word_stats, vocab_topk, vocab_levels, proper_nouns, vocab_example, vocab_summary,
     vocab_filter, skill_scores, file_sizes, deck_additions, lexicon_coverage, grammar_hits, grammar_samples, error_hits, french_clean, text_quality, html_text, accent_free,
     conjugation_table, verb_form_index, srs_state, due_today, due_forecast, study_plan, learner_report, weak_list, mastery,
     rate_limit_daily, tumbling_daily, backup_merge, grade_answers, target_used, page_ranges, anki_rows, backup_json,
     quiz_distractors, quiz_questions, gen_passage, elided_words,
-    skills_radar, level_mastery, gap_list, due_list, error_report, backup_state,
+    skills_radar, level_mastery, gap_list, due_list, error_report, backup_state, targets_in_documents,
 ]
 
 

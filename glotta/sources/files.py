@@ -6,10 +6,7 @@ entries (``package_entries``); what the entries say is worked out by column expr
 
 from __future__ import annotations
 
-import io
 import re
-import zipfile
-import zlib
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
@@ -20,6 +17,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from glotta.functions import text as X
+from glotta.sources.packages import MOST_ENTRY_BYTES
+from glotta.sources.packages import entries as read_entries
 
 # Size gates in bytes, entries that a format's text stands in.
 REJECT_BYTES, WARN_BYTES = 100 * 2**20, 25 * 2**20
@@ -86,31 +85,20 @@ def plain_texts(files: DataFrame, limits: Limits = ALL) -> DataFrame:
     return files.where("accepted and kind in ('txt', 'md', 'csv', 'html', 'htm')").select("path", _cut(text, limits.chars).alias("text"))
 
 
-def package_entries(files: DataFrame) -> DataFrame:
+def package_entries(files: DataFrame, most_bytes: int = MOST_ENTRY_BYTES) -> DataFrame:
     """(path, kind, entry, entry_no, xml, error): the readable entries of zip packages, with the number in their names.
 
     A package without a known extension is what its entries show. A package or entry that can't
-    be read (broken, encrypted, an unknown compression) has a row with what is wrong and no xml.
-    Names count without regard to case.
+    be read (cut off, encrypted, an unknown compression, over ``most_bytes``) has a row with what is wrong and no
+    xml, one with a wrong checksum has both. Names count without regard to case.
     """
     wanted = re.compile("|".join(f"(?:{p})" if p[:4] != "(?i)" else f"(?:{p[4:]})" for p in ENTRY_PATTERNS.values()), re.I)
-    broken = (zipfile.BadZipFile, zlib.error, NotImplementedError, RuntimeError, EOFError, OSError, UnicodeError)
-
-    def read(path: str, content: bytes) -> Iterator[tuple]:
-        try:
-            with zipfile.ZipFile(io.BytesIO(content)) as package:
-                for name in filter(wanted.search, package.namelist()):
-                    try:
-                        yield path, name, package.read(name).decode("utf-8", "replace"), None
-                    except broken as e:
-                        yield path, name, None, f"{type(e).__name__}: {e}"
-        except broken as e:
-            yield path, None, None, f"{type(e).__name__}: {e}"
 
     def over(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for path, content in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                for row in read(path, content.as_py()):  # one entry at a time is held
+                for name, body, error in read_entries(content.as_py(), wanted, most_bytes):  # one entry at a time is held
+                    row = (path, name, None if body is None else body.decode("utf-8", "replace"), error)
                     yield pa.RecordBatch.from_arrays([pa.array([x], pa.string()) for x in row], names=["path", "entry", "xml", "error"])
 
     packages = files.where("accepted and kind in ('docx', 'pptx', 'xlsx', 'odt', 'epub', 'zip')")

@@ -12,7 +12,7 @@ SQL = registry.oracle_sql()
 @pytest.fixture(scope="module")
 def db():
     con = duckdb.connect()
-    for name in ("documents", "pages", "events", "conversations"):
+    for name in ("documents", "pages", "events", "conversations", "benchmark"):
         con.execute(f"CREATE VIEW {name} AS SELECT * FROM '{SF}/{name}.parquet'")
     return con
 
