@@ -25,8 +25,8 @@ _DATE_RADICES, _FIRST_DAY = (17, 4297), "1900-01-01"
 
 #: What a value of each kind looks like; the order decides where several would fit.
 KINDS = {
-    "email": r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]++@(?:[A-Za-z0-9-]++\.)+[A-Za-z]{2,24}",
-    "secret": r"(?<![0-9A-Za-z])(?=[a-fA-F]*+[0-9])(?:[0-9a-f]{32,}+|[0-9A-F]{32,}+)(?![0-9A-Za-z])",
+    "email": r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]++@(?:[A-Za-z0-9-]++\.){1,127}[A-Za-z]{2,24}",
+    "secret": r"(?<![0-9A-Za-z])[0-9a-fA-F]{32,}+(?![0-9A-Za-z])",
     "ip": r"(?<![0-9.])(?:[0-9]{1,3}+\.){3}[0-9]{1,3}+(?![0-9]|\.[0-9])",
     "date": r"(?<![0-9-])(?:19|20)[0-9]{2}-[0-9]{2}-[0-9]{2}(?![0-9-])|(?<![0-9/])(?:19|20)[0-9]{2}/[0-9]{1,2}/[0-9]{1,2}(?![0-9/])|(?<![0-9./])[0-9]{1,2}(?<sep>[./])[0-9]{1,2}\k<sep>(?:19|20)[0-9]{2}(?![0-9])",
     "phone": r"\+[0-9]{1,3}+[ .-]?+\([0-9]{2,4}\)[ .-]?+[0-9]{3}[ .-]?+[0-9]{4}(?![0-9])|\+1[ .-]?+[0-9]{3}[ .-]?+[0-9]{3}[ .-]?+[0-9]{4}(?![0-9])|\([0-9]{3}\)[ .-]?+[0-9]{3}-[0-9]{4}(?![0-9])|(?<![0-9+.-])[0-9]{3}[.-][0-9]{3}[.-][0-9]{4}(?![0-9])|(?<![0-9A-Za-z+])\+[1-9](?:[ .-]?+\(?+[0-9]\)?+){7,14}+(?![0-9])",
@@ -129,8 +129,10 @@ def _email(value: Column, key: str) -> Column:
 
 
 def _secret(value: Column, key: str) -> Column:
-    lower = _permuted(value, key, "secret", [_DIGITS + "abcdef"])
-    return F.when(value.rlike("[A-F]"), _permuted(value, key, "secret", [_DIGITS + "ABCDEF"])).otherwise(lower)
+    # in mixed case every digit is one of both cases' digits
+    of = lambda letters: _permuted(value, key, "secret", [_DIGITS + letters])
+    upper, lower = value.rlike("[A-F]"), value.rlike("[a-f]")
+    return F.when(upper & lower, of("abcdefABCDEF")).when(upper, of("ABCDEF")).otherwise(of("abcdef"))
 
 
 def _ip(value: Column, key: str) -> Column:
@@ -278,7 +280,7 @@ def _cut_runs(text: Column, key: str) -> Column:
 def pseudonymise(docs: DataFrame, *, key: str, text_col: str = "text") -> DataFrame:
     """``docs`` with its personal values replaced in the text, and ``n_values``, the number replaced.
 
-    Kinds: e-mail addresses (the part before @), hexadecimal secrets of 32 digits or more (one decimal at least), IPv4
+    Kinds: e-mail addresses (the part before @; domains of up to 128 labels, more than any has), hexadecimal secrets of 32 digits or more, in either or both cases, IPv4
     addresses, dates from 1900 to 2099, phone numbers (after the country), card numbers of 13
     to 19 digits (the check digit follows), beside other numbers too. What fails its validation is no value and stays. A
     null text stays null with no values; an empty one stays empty. Repeated rows are rewritten
@@ -294,8 +296,8 @@ def pseudonymise(docs: DataFrame, *, key: str, text_col: str = "text") -> DataFr
         pattern = "|".join(f"(?:{KINDS[x]})" for x in kinds)
         out = out.withColumn("_glotta_found", over(lambda x: _cut(x, pattern, lambda value: _judged(value, kinds, key))))  # noqa: B023
     out = out.withColumn("_glotta_found", over(lambda x: _cut_runs(x, key)))
-    # every value has an @ or a digit; most texts have neither, and skip the passes
-    has = text.contains("@") | text.rlike("[0-9]")
+    # every value has an @, a digit or many hexadecimal letters; most texts have none, and skip the passes
+    has = text.contains("@") | text.rlike("[0-9]") | text.rlike("[a-fA-F]{32}")
     rewritten = F.array_join(F.transform("_glotta_found", lambda x: F.coalesce(x["new"], x["text"])), "")
     out = out.withColumns(
         {

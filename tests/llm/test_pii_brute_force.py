@@ -1,0 +1,180 @@
+"""Operator 3 against a plain Python form of the same rules: every text of the query, ties, clashes, long texts."""
+
+import datetime as dt
+import hashlib
+
+import pytest
+import regex
+from pyspark.sql import functions as F
+
+from glotta.llm import pii, queries
+
+SF = "/root/testdata/sf0.001"
+KEY = "a key"
+LOWER, UPPER, DIGITS = "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "0123456789"
+KINDS = {k: v.replace(r"\k<", r"\g<") for k, v in pii.KINDS.items()}  # as this module writes it
+PATTERNS = {k: regex.compile(v) for k, v in KINDS.items()}
+FORMS = [("-", "ymd", True), (".", "dmy", True), (".", "dmy", False), ("/", "mdy", True), ("/", "dmy", True), ("/", "ymd", True), ("/", "mdy", False), ("/", "dmy", False), ("/", "ymd", False)]
+
+
+def feistel(values, radices, kind):
+    cut = len(values) // 2
+    a, b, ra, rb = values[:cut], values[cut:], radices[:cut], radices[cut:]
+
+    def shift(half, limits, other, turn):
+        said = f"{KEY}|{kind},{turn},{'.'.join(map(str, other))},#"
+        return [(x + int(hashlib.sha256(f"{said}{i}".encode()).hexdigest()[:12], 16)) % limits[i] for i, x in enumerate(half)]
+
+    for turn in range(8):
+        if turn % 2 == 0:
+            a = shift(a, ra, b, turn)
+        else:
+            b = shift(b, rb, a, turn)
+    return a + b
+
+
+def permuted(value, kind, alphabets):
+    of = [next((a for a in alphabets if c in a), c) for c in value]
+    new = feistel([a.index(c) for a, c in zip(of, value)], [len(a) for a in of], kind)
+    return "".join(a[n] for a, n in zip(of, new))
+
+
+def luhn(digits):
+    return sum(d if i % 2 == 0 else sum(divmod(2 * d, 10)) for i, d in enumerate(int(c) for c in reversed(digits))) % 10
+
+
+def only_digits(value):
+    return "".join(c for c in value if c in DIGITS)
+
+
+def date(value):
+    for sign, order, padded in FORMS:
+        parts = value.split(sign)
+        if len(parts) != 3:
+            continue
+        found = dict(zip(order, parts))
+        if len(found["y"]) != 4 or padded and any(len(found[c]) != 2 for c in "md"):
+            continue
+        try:
+            day = dt.date(*(int(found[c]) for c in "ymd"))
+        except ValueError:
+            continue
+        n = (day - dt.date(1900, 1, 1)).days
+        low, high = feistel([n % 17, n // 17], [17, 4297], "date")
+        new = dt.date(1900, 1, 1) + dt.timedelta(days=high * 17 + low)
+        shown = {"y": f"{new.year:04d}", "m": f"{new.month:02d}" if padded else str(new.month), "d": f"{new.day:02d}" if padded else str(new.day)}
+        return sign.join(shown[c] for c in order)
+    return None
+
+
+def new_value(kind, value):
+    if kind == "email":
+        name, _, host = value.partition("@")
+        return permuted(name, "email", [LOWER, UPPER, DIGITS]) + "@" + host
+    if kind == "secret":
+        upper, lower = any(c in "ABCDEF" for c in value), any(c in "abcdef" for c in value)
+        return permuted(value, "secret", [DIGITS + ("abcdefABCDEF" if upper and lower else "ABCDEF" if upper else "abcdef")])
+    if kind == "ip":
+        octets = [int(x) for x in value.split(".")]
+        return ".".join(map(str, feistel(octets, [256] * 4, "ip"))) if max(octets) < 256 else None
+    if kind == "date":
+        return date(value)
+    if kind == "phone":
+        country = regex.match(r"(?:\+(?:[17]|[0-9]{1,3}))?", value)[0]
+        return country + permuted(value[len(country) :], "phone", [DIGITS])
+    if luhn(only_digits(value)):
+        return None
+    body = permuted(value[:-1], "card", [DIGITS])
+    return body + next(c for c in DIGITS if not luhn(only_digits(body) + c))
+
+
+def cut(segments, pattern, judge):
+    out = []
+    for text, new in segments:
+        if new is not None:
+            out.append((text, new))
+            continue
+        at = 0
+        for m in pattern.finditer(text):
+            value = judge(m[0])
+            if value is not None:
+                out += [(text[at : m.start()], None), (m[0], value)]
+                at = m.end()
+        out.append((text[at:], None))
+    return out
+
+
+def runs(segments):
+    out = []
+    for text, new in segments:
+        at = 0
+        for m in () if new is not None else regex.finditer(r"(?<![0-9])[0-9](?:[ -]?[0-9]){12,}+", text):
+            run, free, start = m[0], 0, 0
+            for group in regex.split("[ -]", run):
+                if start >= free:
+                    rest = run[start : start + 38]
+                    sizes = (regex.match(rf"[0-9](?:[ -]?[0-9]){{{n - 1}}}(?![0-9])", rest) for n in range(19, 12, -1))
+                    card = next((x[0] for x in sizes if x and not luhn(only_digits(x[0]))), None)
+                    if card:
+                        out += [(text[at : m.start() + start], None), (card, new_value("card", card))]
+                        at = m.start() + start + len(card)
+                        free = start + len(card)
+                start += len(group) + 1
+        out.append((text[at:], new))
+    return out
+
+
+def brute(text):
+    if text is None:
+        return None, 0
+    segments = [(text, None)]
+    for kinds in (("email", "secret", "ip", "date"), ("card",), ("phone",)):
+
+        def judge(value):
+            kind = next((k for k in kinds[:-1] if PATTERNS[k].fullmatch(value)), kinds[-1])
+            return new_value(kind, value)
+
+        segments = cut(segments, regex.compile("|".join(f"(?:{KINDS[k]})" for k in kinds)), judge)
+    segments = runs(segments)
+    return "".join(t if n is None else n for t, n in segments), sum(n is not None for _, n in segments)
+
+
+ODD = [
+    None, "", "deadbeef" * 4, "DEADBEEF" * 4, "deadBEEF" * 3 + "deadBEE1", "deadbeef" * 3 + "deadbee", "x" + "deadbeef" * 4, "a@b.c jo@mail.com. jo@x.c.com9, @x.de", "2024-02-30 2024-02-29 29.2.2023 29.02.2024 13/13/2020 5/3/2021 31/1/1999",
+    "10.0.0.1 999.1.1.1 1.2.3.4.5", "4111111111111111 4111 1111 1111 1111 4111111111111112", "7 41111 11111 111111 x 4111111111111111-2024-01-05", "+1 (212) 555-0198 212-555-0123 +49 30 1234567", "1234 4111 1111 1111 1111 12",
+    "jo@mail.com jo@mail.com 10.0.0.1@x.com 2024-01-05@host.org", "4" * 60, "1 2 3 " * 30, "été ２０２４-01-01 日本 a@日本.jp",
+]
+
+
+def result(spark, rows):
+    df = spark.createDataFrame(rows, "doc_id bigint, text string").selectExpr("*", "'own' AS n_values", "'x' AS extra")
+    return {r["doc_id"]: (r["text"], r["n_values"]) for r in pii.pseudonymise(df, key=KEY).collect()}
+
+
+def test_odd_texts(spark):
+    assert result(spark, list(enumerate(ODD))) == {k: brute(t) for k, t in enumerate(ODD)}
+
+
+def test_every_text_of_the_query(spark):
+    spark.conf.set(queries.PII_KEY, KEY)
+    try:
+        found = {r["doc_id"]: (r["text"], r["n_values"]) for r in queries.op3_pii(spark, SF).collect()}
+    finally:
+        spark.conf.unset(queries.PII_KEY)
+    texts = {r["doc_id"]: r["text"] for r in spark.read.parquet(f"{SF}/documents.parquet").collect()}
+    assert found == {i: brute(t) for i, t in texts.items()}
+    assert sum(n for _, n in found.values()) > 10
+
+
+@pytest.mark.parametrize("part,n", [("a.", 5_000_000), ("jo@mail.com, ", 20_000), ("1 ", 10_000), ("10.0.", 200_000), ("deadbeef", 1_250_000)])
+def test_long_values(spark, part, n):
+    """One value of megabytes, or very many: nothing needs a stack that grows with it."""
+    df = spark.range(1).select(F.lit(1).alias("doc_id"), F.concat(F.lit("x@" if part == "a." else "x "), F.repeat(F.lit(part), n), F.lit("com")).alias("text"))
+    row = pii.pseudonymise(df, key=KEY).select(F.length("text").alias("size"), "n_values").first()
+    assert row["size"] == len(part) * n + 5 and row["n_values"] == (n if "@" in part else 0)
+
+
+def test_domains_of_many_labels(spark):
+    fits, beyond = "x@" + "a." * 127 + "com", "x@" + "a." * 20_000 + "com"
+    found = result(spark, [(1, fits), (2, beyond)])
+    assert found[1] == brute(fits) and found[1][1] == 1 and found[2] == (beyond, 0)
