@@ -34,18 +34,13 @@ def _docs(spark: SparkSession, sf_dir: str, lang: str | None = None) -> DataFram
     return (docs.where(F.col("lang") == lang) if lang else docs).select("doc_id", "text")
 
 
-_KNOWN: dict[str, tuple[DataFrame, DataFrame, DataFrame]] = {}
-
-
 def _dims(spark: SparkSession) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """Lexicon, verb forms and stop words, worked out once for each application."""
-    key = spark.sparkContext.applicationId
-    if key not in _KNOWN:
-        _KNOWN.clear()
+    """Lexicon, verb forms and stop words, worked out once for each session, which keeps them."""
+    if not hasattr(spark, "_glotta_dims"):
         lexicon = small(LANGUAGE.lexicon_frame(spark))
         forms = small(conjugation.verb_forms(lexicon, LANGUAGE.verbs_frame(spark)))
-        _KNOWN[key] = lexicon, forms, small(LANGUAGE.words_frame(spark, LANGUAGE.stop_words))
-    return _KNOWN[key]
+        spark._glotta_dims = lexicon, forms, small(LANGUAGE.words_frame(spark, LANGUAGE.stop_words))
+    return spark._glotta_dims
 
 
 def _vocab(spark: SparkSession, sf_dir: str, lang: str | None = None) -> DataFrame:
