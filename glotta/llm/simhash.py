@@ -170,7 +170,7 @@ def allocate(widths: list[int], candidates: list[list[float]], n: float, total:
 
 
 def plan_partitions(nodes: DataFrame, distance: int = 3) -> list[Partition]:
-    """The partitions and thresholds by which ``nodes`` (fp) are probed."""
+    """The partitions and thresholds by which ``nodes`` (fp) are probed; a distance that none can serve is refused."""
     groups = bit_groups(nodes)
     pairs = pair_counts(nodes, groups, distance)
     n = max(1.0, nodes.count())
@@ -186,6 +186,8 @@ def plan_partitions(nodes: DataFrame, distance: int = 3) -> list[Partition]:
         cost, chosen = allocate(widths, candidates, n, distance - len(layout) + 1)
         if cost < best[0]:
             best = cost, layout, chosen
+    if best[0] == float("inf"):
+        raise ValueError(f"no partitions of {BITS} bits find all links at distance {distance} with {MOST_VARIANTS} probes of each or fewer")
     return [Partition(sum(1 << b for g in part for b in groups[g]), e) for part, e in zip(best[1], best[2], strict=True) if e >= 0]
 
 

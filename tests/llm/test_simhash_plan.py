@@ -37,3 +37,10 @@ def test_the_stage_calls_the_operator(spark, monkeypatch):
     text = " ".join(f"w{k}" for k in range(60))
     docs = spark.createDataFrame([(1, text), (2, text + " x"), (3, "else")], "doc_id bigint, text string")
     assert {r["doc_id"] for r in corpus_pipeline.near_dedup(spark, docs, "").collect()} == {1, 3} and called == [5]
+
+
+def test_a_distance_without_a_plan_is_refused(spark):
+    nodes = spark.createDataFrame([(k * 7919, k) for k in range(50)], "fp bigint, node bigint")
+    for distance in (24, 40):
+        with pytest.raises(ValueError, match=f"distance {distance}"):
+            simhash.plan_partitions(nodes, distance)
