@@ -7,12 +7,12 @@ from pyspark.sql import functions as F
 
 
 def read_table(spark: SparkSession, sf_dir: str, name: str, key: str | None = None) -> DataFrame:
-    """A Parquet table. With ``key``, one in fewer parts than half the cores is dealt to all cores by a salted hash of that column.
+    """A Parquet table. With ``key``, one in fewer files than half the cores is dealt to all cores by a salted hash of that column.
 
-    A file of one row group is one task's work however large the cluster, so texts in a few files
-    would be worked on by a few cores. Tables in many parts, as large ones are, aren't shuffled. The
-    salt keeps plans from taking the deal for a partitioning by the column.
+    A file of one row group is one task's work however large the cluster and however small its splits, so
+    texts in a few files would be worked on by a few cores. Tables in many files, as large ones are,
+    aren't shuffled. The salt keeps plans from taking the deal for a partitioning by the column.
     """
     df = spark.read.parquet(f"{sf_dir}/{name}.parquet")
     cores = spark.sparkContext.defaultParallelism
-    return df.repartition(cores, F.xxhash64(key, F.lit(name))) if key and 2 * df.rdd.getNumPartitions() < cores else df
+    return df.repartition(cores, F.xxhash64(key, F.lit(name))) if key and 2 * len(df.inputFiles()) < cores else df
