@@ -336,6 +336,7 @@ def oracle_sql() -> dict[str, str]:
         "french_clean": f"SELECT doc_id, {_cleaned()} AS text FROM documents",
         "text_quality": f"WITH w AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[A-Za-zÀ-ÿ]{{2,}}') AS words, len(regexp_extract_all(coalesce(text, ''), '[éèêëàâîïôûùçœæÉÈÊËÀÂÎÏÔÛÙÇŒÆ]')) AS accents FROM documents), h AS (SELECT doc_id, len(words) AS n, accents, len(list_filter(words, lambda x: regexp_matches(x, {_q(_FRENCH)}, 'i'))) AS hints FROM w) SELECT doc_id, CASE WHEN n = 0 THEN 'empty' WHEN n < 8 OR (hints::DOUBLE / n < 0.06::DOUBLE AND accents < 3) THEN 'low' ELSE 'ok' END AS quality FROM h",
         "html_text": f"SELECT page_id, {_html()} AS text FROM pages",
+        "book_texts": f"SELECT page_id, coalesce({_html()}, '') AS text FROM pages",
         "accent_free": "SELECT doc_id, strip_accents(text) AS text FROM documents",
         "conjugation_table": _with(LEXICON, VERBS, CONJUGATION) + " SELECT inf, tense, person::BIGINT AS person, form FROM conj",
         "verb_form_index": _with(LEXICON, VERBS, CONJUGATION, FORMS) + " SELECT form, inf FROM forms",

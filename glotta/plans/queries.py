@@ -14,8 +14,9 @@ from pyspark.sql import functions as F
 from glotta.functions import text as X
 from glotta.lexicon import LEVELS, Language, small
 from glotta.operators import backup, conjugation, errors, grammar, quiz, reports, scheduling, targets, vocabulary
+from glotta.sources import datasource, table_functions
 from glotta.sources.sinks import anki_rows as anki
-from glotta.sources.tables import read_table
+from glotta.sources.tables import read_table, scratch_folder
 
 AS_OF, EXAM = "2024-02-01", "2024-06-01"
 LANGUAGE = Language()
@@ -315,6 +316,21 @@ def backup_state(spark, sf_dir):
     return merged.select("learner_id", "reviews", "correct", F.array_join(entries, ";").alias("done"))
 
 
+def book_texts(spark, sf_dir):
+    """The pages as chapters of e-books, written and read by the data source; entries by the table function, in SQL."""
+    datasource.register(spark)
+    table_functions.register(spark)
+    folder = scratch_folder(spark, "books")
+    chapters = _table(spark, sf_dir, "pages").select(F.col("page_id").cast("string").alias("name"), F.col("html").alias("text"))
+    chapters.write.format("glotta_files").mode("append").save(folder)
+    entries = spark.sql(
+        """SELECT try_cast(regexp_extract(entry, '/(-?[0-9]+)[.]xhtml$', 1) AS BIGINT) AS page_id, xml
+        FROM package_entries(TABLE(SELECT path, content FROM {books} WHERE path LIKE '%.epub'))""",
+        books=spark.read.format("glotta_files").load(folder),
+    )
+    return entries.select("page_id", X.html_to_text(F.col("xml")).alias("text"))
+
+
 def targets_in_documents(spark, sf_dir):
     items = _table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("target_id"), F.col("text").alias("expected"))
     return targets.targets_used(_docs(spark, sf_dir), items)
@@ -326,7 +342,7 @@ ALL: list[Callable[[SparkSession, str], DataFrame]] = [
     conjugation_table, verb_form_index, srs_state, due_today, due_forecast, study_plan, learner_report, weak_list, mastery,
     rate_limit_daily, tumbling_daily, backup_merge, grade_answers, target_used, page_ranges, anki_rows, backup_json,
     quiz_distractors, quiz_questions, gen_passage, elided_words,
-    skills_radar, level_mastery, gap_list, due_list, error_report, backup_state, targets_in_documents,
+    skills_radar, level_mastery, gap_list, due_list, error_report, backup_state, targets_in_documents, book_texts,
 ]
 
 

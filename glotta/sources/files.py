@@ -51,12 +51,16 @@ def _cut(text: Column, most: int | None) -> Column:
 
 
 def read_files(spark: SparkSession, path: str, pattern: str = "*") -> DataFrame:
-    """(path, length, content, kind, accepted, large) of all files below a path.
+    """(path, length, content, kind, accepted, large) of all files below a path, by Spark's binary file source."""
+    return described(spark.read.format("binaryFile").option("pathGlobFilter", pattern).option("recursiveFileLookup", "true").load(path))
+
+
+def described(files: DataFrame) -> DataFrame:
+    """(path, length, content, kind, accepted, large) of files (path, length, content), those of ``sources.datasource`` or a stream of them as well.
 
     Files of over 100 MB are not accepted; their length is known without reading them. The kind
     is the extension, or what the first bytes say.
     """
-    files = spark.read.format("binaryFile").option("pathGlobFilter", pattern).option("recursiveFileLookup", "true").load(path)
     gates = {"accepted": F.col("length") <= REJECT_BYTES, "large": F.col("length") > WARN_BYTES}
     return files.select("path", "length", "content").withColumns({"kind": kind_of(F.col("path"), F.col("content")), **gates})
 
