@@ -326,7 +326,7 @@ def book_texts(spark, sf_dir):
     entries = spark.sql(
         """SELECT try_cast(regexp_extract(entry, '/(-?[0-9]+)[.]xhtml$', 1) AS BIGINT) AS page_id, xml
         FROM package_entries(TABLE(SELECT path, content FROM {books} WHERE path LIKE '%.epub'))""",
-        books=spark.read.format("glotta_files").load(folder),
+        books=spark.read.format("glotta_files").option("least_tasks", 2 * spark.sparkContext.defaultParallelism).load(folder),
     )
     return entries.select("page_id", X.html_to_text(F.col("xml")).alias("text"))
 

@@ -2,8 +2,8 @@
 
 Reading gives (path, length, modified, content), in SQL too (``CREATE TEMPORARY VIEW f USING
 glotta_files OPTIONS (path '...')``). Options: ``pattern`` (of file names), ``split_bytes`` (of a
-task's files, 64 MB), ``most_bytes`` (of a file, 100 MB). Files are listed once and dealt
-to tasks by their bytes. Filters on path, length and modified are met before a file is opened;
+task's files, at most 64 MB), ``least_tasks`` (1; few files are dealt to about so many tasks), ``most_bytes`` (of a file,
+100 MB). Files are listed once and dealt to tasks by their bytes. Filters on path, length and modified are met before a file is opened;
 where the session sets ``spark.sql.python.filterPushdown.enabled``, Spark hands them over. A file
 above ``most_bytes`` is a row without content. Names that begin with ``_`` or ``.`` are no files.
 
@@ -82,11 +82,15 @@ def listed(path: str, pattern: str = "*") -> list[File]:
     return sorted(out, key=lambda f: (f.micros, f.path))
 
 
-def dealt(files: Sequence[File], split_bytes: int, most_bytes: int) -> list[Files]:
-    """Files by turns in tasks of ``split_bytes`` or one larger file; opening one counts as 64 KB, and what is not read as no more."""
+def dealt(files: Sequence[File], split_bytes: int, most_bytes: int, least_tasks: int = 1) -> list[Files]:
+    """Files by turns in tasks of ``split_bytes`` (less where that makes under ``least_tasks``) or one larger file.
+
+    Opening a file counts as 64 KB, and one that is not read as no more.
+    """
+    costs = [65536 + (file.length if file.length <= most_bytes else 0) for file in files]
+    split_bytes = min(split_bytes, sum(costs) // max(least_tasks, 1))
     out, held, size = [], [], 0
-    for file in files:
-        cost = 65536 + (file.length if file.length <= most_bytes else 0)
+    for file, cost in zip(files, costs, strict=True):
         if held and size + cost > split_bytes:
             out.append(Files(tuple(held)))
             held, size = [], 0
@@ -109,8 +113,8 @@ _TESTS = {
 
 
 class FileReader(D.DataSourceReader):
-    def __init__(self, path: str, pattern: str, split_bytes: int, most_bytes: int) -> None:
-        self.path, self.pattern, self.split_bytes, self.most_bytes = path, pattern, split_bytes, most_bytes
+    def __init__(self, path: str, pattern: str, split_bytes: int, most_bytes: int, least_tasks: int) -> None:
+        self.path, self.pattern, self.split_bytes, self.most_bytes, self.least_tasks = path, pattern, split_bytes, most_bytes, least_tasks
         self.filters: list[D.Filter] = []
 
     def pushFilters(self, filters: list[D.Filter]) -> Iterator[D.Filter]:
@@ -126,7 +130,10 @@ class FileReader(D.DataSourceReader):
 
     def partitions(self) -> Sequence[Files]:
         files = [f for f in listed(self.path, self.pattern) if self._meets(f)]
-        return dealt(files, self.split_bytes, self.most_bytes) or [Files(())]
+        return self.dealt(files) or [Files(())]
+
+    def dealt(self, files: Sequence[File]) -> list[Files]:
+        return dealt(files, self.split_bytes, self.most_bytes, self.least_tasks)
 
     def read(self, partition: Files) -> Iterator[pa.RecordBatch]:
         system, _ = _system(self.path)
@@ -153,7 +160,7 @@ class FileStream(D.DataSourceStreamReader):
 
     def partitions(self, start: dict, end: dict) -> Sequence[Files]:
         files = [f for f in listed(self.reader.path, self.reader.pattern) if start["micros"] < f.micros <= end["micros"]]
-        return dealt(files, self.reader.split_bytes, self.reader.most_bytes)
+        return self.reader.dealt(files)
 
     def read(self, partition: Files) -> Iterator[pa.RecordBatch]:
         return self.reader.read(partition)
@@ -256,7 +263,7 @@ class FileSource(D.DataSource):
         return found
 
     def reader(self, schema: T.StructType) -> FileReader:
-        return FileReader(self._path(), self.options.get("pattern", "*"), int(self._number("split_bytes", 64 * 2**20)), int(self._number("most_bytes", 100 * 2**20)))
+        return FileReader(self._path(), self.options.get("pattern", "*"), int(self._number("split_bytes", 64 * 2**20)), int(self._number("most_bytes", 100 * 2**20)), int(self._number("least_tasks", 1)))
 
     def streamReader(self, schema: T.StructType) -> FileStream:
         return FileStream(self.reader(schema), self._number("settle_seconds", 2))

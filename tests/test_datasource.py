@@ -57,6 +57,8 @@ def test_files_are_dealt_by_bytes():
     parts = datasource.dealt(found, 200_000, 10**8)
     assert [[f.length for f in p.files] for p in parts] == [[10, 10], [500_000], [10, 10**9]]
     assert datasource.dealt([], 1, 1) == []
+    small = [datasource.File(str(k), 1000, k) for k in range(20)]
+    assert [len(datasource.dealt(small, 10**8, 10**8, n)) for n in (1, 4, 10, 99)] == [1, 4, 10, 20]
 
 
 @pytest.mark.parametrize("book_bytes", [1, 50, 2**24])
