@@ -6,7 +6,7 @@ from glotta.lexicon import ENGLISH, ETRE_VERBS, GRAVE_VERBS, LEVELS, NUMERALS
 from glotta.operators.errors import DETERMINERS, ERROR_LEVELS, ETRE_FORMS, ORAL_NEGATION
 from glotta.operators.grammar import RULES
 from glotta.operators.vocabulary import SUFFIXES
-from glotta.plans.queries import AS_OF, ELIDED_TEXTS, EXAM, LANGUAGE
+from glotta.plans.queries import AS_OF, EXAM, LANGUAGE
 
 WS = r"[\t\n\x0B\f\r \x{00A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}\x{FEFF}]"
 TOKEN = "[A-Za-zÀ-ÿŒœÆæ]+(?:[-'’][A-Za-zÀ-ÿŒœÆæ]+)*"
@@ -107,6 +107,13 @@ toks AS (
 """
 
 
+_ELIDED_DOCS = r"""
+elided AS (
+    SELECT doc_id, regexp_replace(coalesce(text, ''), '(^|[ \n])(?:([LlDd]|[Qq]u)e|([Ll])a) ([aeiouyAEIOUYàâéèêîôûœÀÂÉÈÊÎÔÛŒ])', '\1\2\3''\4', 'g') AS text
+    FROM documents WHERE lang = 'fr'
+)
+"""
+
 SURFACE = """
 surface AS (
     SELECT doc_id, w, count(*) AS n, min(pos) AS first_pos, list_distinct(list(lower(raw))) AS forms,
@@ -320,7 +327,7 @@ def oracle_sql() -> dict[str, str]:
         "grammar_samples": _with(_GRAMMAR) + f" SELECT doc_id, rule, array_to_string({_distinct_first('hits', 3)}, '|') AS samples FROM rules WHERE len(hits) > 0",
         "error_hits": errors + f", numbered AS (SELECT *, row_number() OVER (PARTITION BY doc_id, error ORDER BY ord) AS k FROM issues) SELECT doc_id, error, {level} AS level, count(*) AS n, string_agg(snippet, '|' ORDER BY ord) FILTER (WHERE k <= 4) AS samples FROM numbered GROUP BY doc_id, error",
         "vocab_filter": fr + ", f AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY n DESC, first_pos) AS k FROM vocab WHERE level = 'B1' AND pos = 'n' AND (contains(lemma, 'tion') OR contains(lower(gloss), 'tion'))) SELECT doc_id, lemma, n FROM f WHERE k <= 300",
-        "elided_words": _with(_tokens().replace("FROM documents WHERE TRUE", "FROM documents")).replace("WITH", "WITH documents(doc_id, text) AS (VALUES " + ", ".join(f"({k}::BIGINT, {_q(t)})" for k, t in enumerate(ELIDED_TEXTS)) + "),\n", 1) + " SELECT doc_id, pos::BIGINT AS pos, raw, w, prefix FROM toks",
+        "elided_words": _with(_ELIDED_DOCS, _tokens().replace("FROM documents", "FROM elided")) + " SELECT doc_id, pos::BIGINT AS pos, raw, w, prefix FROM toks",
         "quiz_distractors": fr + ", c AS (SELECT doc_id, lemma, row_number() OVER (PARTITION BY doc_id ORDER BY md5('1|' || lemma), lemma) AS place, count(*) OVER (PARTITION BY doc_id) AS m FROM vocab), a AS (SELECT doc_id, lemma, k, (place + k - 1) % m + 1 AS want FROM c, (VALUES (1), (2), (3)) t(k) WHERE k <= m - 1), d AS (SELECT a.doc_id, a.lemma, string_agg(c.lemma, ';' ORDER BY a.k) AS distractors FROM a JOIN c ON c.doc_id = a.doc_id AND c.place = a.want GROUP BY a.doc_id, a.lemma) SELECT c.doc_id, c.lemma, coalesce(d.distractors, '') AS distractors FROM c LEFT JOIN d USING (doc_id, lemma)",
         "quiz_questions": fr + "," + SENTENCES + "," + _EXAMPLE + """, one AS (SELECT inf, arg_min(struct_pack(tense := tense, person := person, form := form), md5('1|' || inf || '|' || tense || '|' || person)) AS x FROM conj WHERE form <> '—' GROUP BY inf),
             q AS (SELECT v.doc_id, v.lemma, v.gloss, v.pos, e.example, one.x, regexp_extract(e.example, '(?i)\\b' || regexp_escape(v.lemma) || '[0-9A-Za-z_]*') AS hit

@@ -20,7 +20,8 @@ from glotta.sources.tables import read_table, scratch_folder
 
 AS_OF, EXAM = "2024-02-01", "2024-06-01"
 LANGUAGE = Language()
-ELIDED_TEXTS = ["L’été d'hiver, qu'il pleuve : jusqu’à l'aube c'est-à-dire aujourd'hui.", "Lorsqu'elle s'en va, n'oublie pas l'œuvre d'Émile.", "presqu'île quelqu'un entr'ouvert"]
+#: A French article, "de" or "que" before a vowel, which written French elides.
+UNELIDED = r"(^|[ \n])(?:([LlDd]|[Qq]u)e|([Ll])a) ([aeiouyAEIOUYàâéèêîôûœÀÂÉÈÊÎÔÛŒ])"
 
 
 _KEYS = {"documents": "doc_id", "pages": "page_id"}
@@ -254,9 +255,9 @@ def quiz_questions(spark, sf_dir):
 
 
 def elided_words(spark, sf_dir):
-    """Tokens of written-out French, as the corpus has no elisions."""
-    rows = spark.createDataFrame(list(enumerate(ELIDED_TEXTS)), "doc_id bigint, text string")
-    return vocabulary.tokens(rows).select("doc_id", F.col("pos").cast("bigint").alias("pos"), "raw", "w", "prefix")
+    """Tokens of the French documents, whose invented prose has no elisions, after the elisions of written French are made."""
+    docs = _docs(spark, sf_dir, "fr").withColumn("text", F.regexp_replace(F.coalesce("text", F.lit("")), UNELIDED, "$1$2$3'$4"))
+    return vocabulary.tokens(docs).select("doc_id", F.col("pos").cast("bigint").alias("pos"), "raw", "w", "prefix")
 
 
 def gen_passage(spark, sf_dir):

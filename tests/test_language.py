@@ -205,3 +205,11 @@ def test_glosses(spark, dims):
 
 def test_reflexive_and_motion_verbs_take_etre():
     assert "aller" in ETRE_VERBS and "mourir" in ETRE_VERBS
+
+
+def test_elided_words_are_cut_off_and_others_stay(spark):
+    texts = ["L’été d'hiver, qu'il pleuve : jusqu’à l'aube c'est-à-dire aujourd'hui.", "Lorsqu'elle s'en va, n'oublie pas l'œuvre d'Émile.", "presqu'île quelqu'un entr'ouvert"]
+    rows = vocabulary.tokens(spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")).orderBy("doc_id", "pos").collect()
+    cut = [(r["prefix"], r["w"]) for r in rows if r["prefix"]]
+    assert cut == [("l'", "été"), ("d'", "hiver"), ("qu'", "il"), ("jusqu'", "à"), ("l'", "aube"), ("c'", "est-à-dire"), ("lorsqu'", "elle"), ("s'", "en"), ("n'", "oublie"), ("l'", "œuvre"), ("d'", "émile"), ("presqu'", "île")]
+    assert [r["w"] for r in rows if "'" in r["w"]] == ["aujourd'hui", "quelqu'un", "entr'ouvert"]
