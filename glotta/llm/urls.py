@@ -8,9 +8,11 @@ the longest rule that fits is found by column expressions, without a join.
 
 from __future__ import annotations
 
+import csv
 import zlib
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
+from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
@@ -23,14 +25,8 @@ from glotta.llm.common import broadcast_value
 BUCKETS = 1 << 16
 SIZES = (3, 4, 5)
 
-# Invented labelled URLs: the words of a kind, put into the same shapes of host and path.
-_BLOCK_WORDS = "spam pills casino viagra porn xxx adult betting poker jackpot lottery warez crack keygen malware phishing clickbait escort gambling cheap-meds link-farm free-money".split()
-_ALLOW_WORDS = "docs library university museum news science garden recipes history weather school music travel research journal wiki cooking health sports archive books maps".split()
-_SHAPES = ["http://{w}.example.com/", "https://www.{w}.example.org/en/12", "https://{w}-farm.example.net/de/7.html", "https://blog.{w}-site.example.com/page?x=1", "http://example.net/{w}/3", "https://m.my{w}.example.org/fr/88/"]
-# Most hosts are names that say nothing: pairs of syllables stand for them, to be allowed.
-_SYLLABLES = "ba ter lin thon ish re ver mon cast del ing ha or est ti on nd wh sh ly".split()
-_NAMES = [a + b + _SYLLABLES[(i * 7 + j) % 20] for i, a in enumerate(_SYLLABLES) for j, b in enumerate(_SYLLABLES) if (i + j) % 5 == 0]
-TRAINING = [(s.format(w=w), k) for k, words in ((1, _BLOCK_WORDS), (0, _ALLOW_WORDS + _NAMES)) for w in words for s in _SHAPES]
+#: Invented URLs (url, block: 1 or 0), one a line; hosts end in reserved names.
+LABELLED = Path(__file__).with_name("labelled_urls.csv")
 
 
 @dataclass(frozen=True)
@@ -82,8 +78,18 @@ def _parts(url: str) -> tuple[str, str]:
     return rest[:cut].lower(), path[: min([i for i in map(path.find, "?#") if i >= 0], default=len(path))]
 
 
-def train(labelled: Iterable[tuple[str, int]] = TRAINING, *, rounds: int = 600, rate: float = 4.0, ridge: float = 1e-4) -> UrlModel:
-    """Weights from (url, 1 to block or 0 to allow), both kinds weighing alike; without rows every score is one half."""
+def read_labelled(path: str | Path = LABELLED) -> list[tuple[str, int]]:
+    """The rows (url, block) of a labelled file, which has a line of names."""
+    with open(path, encoding="utf-8", newline="") as file:
+        return [(r["url"], int(r["block"])) for r in csv.DictReader(file)]
+
+
+def train(labelled: Iterable[tuple[str, int]] | None = None, *, block_share: float = 0.35, rounds: int = 600, rate: float = 4.0, ridge: float = 1e-4) -> UrlModel:
+    """Weights from (url, 1 to block or 0 to allow), by default those of the labelled file; without rows every score is one half.
+
+    ``block_share`` is the share of URLs to block that the two kinds are weighed to.
+    """
+    labelled = read_labelled() if labelled is None else labelled
     rows = [(ngrams(*_parts(u)), y) for u, y in labelled]
     model = UrlModel(np.zeros(BUCKETS), 0.0)
     if not rows:
@@ -92,7 +98,7 @@ def train(labelled: Iterable[tuple[str, int]] = TRAINING, *, rounds: int = 600,
     row = np.repeat(np.arange(len(rows)), [len(g) for g, _ in rows])
     size = np.array([1 / np.sqrt(max(1, len(g))) for g, _ in rows])
     y = np.array([k for _, k in rows], float)
-    weight = np.where(y > 0, 1 / max(1.0, y.sum()), 1 / max(1.0, (1 - y).sum())) / 2
+    weight = np.where(y > 0, block_share / max(1.0, y.sum()), (1 - block_share) / max(1.0, (1 - y).sum()))
     for _ in range(rounds):
         margin = model.bias + np.bincount(row, model.weights[at], len(rows)) * size
         slope = (y - 1 / (1 + np.exp(-margin))) * weight
@@ -107,8 +113,9 @@ def judge(urls: DataFrame, rules: list[Rule], model: UrlModel, *, url_col: str =
     A rule fits its host and all hosts below it, where the path starts with the rule's; of
     several the longest wins (host and path together; of equal length the first given). Where no
     rule fits, the model blocks from ``threshold`` on. A null URL, or one without ``://``, has
-    an empty host and path, which no rule fits. Repeated rows are judged alike; columns of
-    ``urls`` that are named as a new one are replaced.
+    an empty host and path, which no rule fits. URLs of any length are judged whole; an empty
+    table gives an empty result. Repeated rows are judged alike; columns of ``urls`` that are
+    named as a new one are replaced.
     """
     host, path = F.col("host"), F.col("path")
     ranked = sorted(rules, key=lambda r: -len(r.name))

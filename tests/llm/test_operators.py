@@ -311,7 +311,7 @@ def test_urls(spark):
         host, path, rule, verdict = cases[r["url"]]
         assert (r["host"], r["path"], r["rule"]) == (host, path, rule)
         assert r["verdict"] == verdict or verdict is None and r["verdict"] in ("allow", "block")
-    right = [(model.score(*urls._parts(u)) >= 0.5) == bool(y) for u, y in urls.TRAINING]
+    right = [(model.score(*urls._parts(u)) >= 0.5) == bool(y) for u, y in urls.read_labelled()]
     assert np.mean(right) > 0.97
     assert urls.train([]).score("a", "/") == 0.5
     assert urls.judge(pages.where("false"), queries.URL_RULES, model).count() == 0
