@@ -2,12 +2,13 @@
 
 Training counts the words of each language, then the character n-grams of the distinct words,
 weighted. An n-gram is put under a language where its rate is at least ``least_rate`` of that
-language's n-grams and at least ``least_part`` of its highest rate in any language, so there
-are at most 1 / least_rate n-grams for each language: that bounds what the driver gets and
-broadcasts. The filter is an array of rows of 64-bit words, one bit for each language; the AND of the
-rows at an n-gram's hashes is the set of languages that contain it. A text's n-grams are
-counted for each language and corrected for the filter's false positives, whose rate for a
-language follows from the share of its bits that are set.
+language's n-grams and at least ``least_part`` of its highest rate in any language: strays of
+other languages aren't a language's n-grams (both at zero leave every n-gram in). The filter is
+an array of rows of 64-bit words, one bit for each language, whose bits tasks set for their n-grams;
+the driver gets and broadcasts the filter, whose size has a bound. The AND of the rows at an n-gram's
+hashes is the set of languages that contain it. A text's n-grams are counted for each language by
+population counts of bit slices and corrected for the filter's false positives, whose rate for
+a language follows from the share of its bits that are set.
 """
 
 from __future__ import annotations
@@ -29,6 +30,8 @@ WORDS = re.compile(r"[^\W\d_]+")
 #: Sizes of the n-grams, in bytes; an n-gram and its size fit a 64-bit number.
 SIZES = (3, 4, 5)
 HASHES = 3
+#: Slots of a filter; the most take 128 MB for each 64 languages.
+FEWEST_SLOTS, MOST_SLOTS = 1 << 20, 1 << 24
 #: Tokens that are judged at a time.
 SLICE = 500_000
 
@@ -75,11 +78,24 @@ class LanguageFilter:
         return ((a[:, None] + b[:, None] * np.arange(HASHES, dtype=np.uint64)) % np.uint64(len(self.slots))).astype(np.int64)
 
     def counts(self, words: list[str]) -> np.ndarray:
-        """For each word the number of its n-grams, and of those in each language's filter."""
+        """For each word the number of its n-grams, and of those in each language's filter.
+
+        The masks of the n-grams are turned into one bit slice a language, in which every word
+        starts at a byte of its own; a language's count is the population count of its slice.
+        """
         grams, owners = ngrams(words)
         masks = np.bitwise_and.reduce(self.slots[self.places(grams)], axis=1)
-        columns = [np.bincount(owners, minlength=len(words))]
-        columns += [np.bincount(owners, self._bit(masks, k), len(words)) for k in range(len(self.languages))]
+        sizes = np.bincount(owners, minlength=len(words))
+        ends = np.cumsum(-(-sizes // 8))
+        starts = ends - -(-sizes // 8)
+        order = np.argsort(owners, kind="stable")
+        bits = np.empty(len(grams), np.int64)
+        bits[order] = np.arange(len(grams)) - np.repeat(np.cumsum(sizes) - sizes, sizes) + np.repeat(starts * 8, sizes)
+        columns = [sizes]
+        for k in range(len(self.languages)):
+            plane = np.zeros(int(ends[-1]) * 8, np.uint8)
+            plane[bits] = self._bit(masks, k)
+            columns.append(np.add.reduceat(np.bitwise_count(np.packbits(plane)).astype(np.int64), starts))
         return np.column_stack(columns)
 
     def predict(self, texts: list[list[str]], false_rate: np.ndarray) -> list[tuple[str, float]]:
@@ -143,27 +159,58 @@ def gram_counts(words: DataFrame) -> DataFrame:
     return words.select("lang", "word", "n").mapInArrow(over, "gram bigint, lang string, n bigint").groupBy("gram", "lang").agg(F.sum("n").alias("n"))
 
 
-def fit(docs: DataFrame, *, where: Column | None = None, lang_col: str = "lang", text_col: str = "text", least_rate: float = 2e-5, least_part: float = 0.05, slots: int = 1 << 20) -> LanguageFilter:
-    """Learn from the rows that fulfil ``where`` and have a language."""
+def slot_masks(chosen: DataFrame, empty: LanguageFilter) -> DataFrame:
+    """(slot, word, mask): the filter's rows of n-grams (gram, numbers of its languages), at most one for each word of a slot.
+
+    Tasks hash their n-grams and join bits before they send them, so neither a task nor the driver
+    gets more rows than the filter has words, however many n-grams there are.
+    """
+    wide = empty.slots.shape[1]
+    sized = LanguageFilter(empty.languages, np.broadcast_to(np.zeros(1, np.uint64), empty.slots.shape[:1]))
+
+    def over(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            langs = batch.column(1)
+            owner = np.repeat(np.arange(len(langs)), langs.value_lengths().to_numpy(zero_copy_only=False))
+            number = langs.flatten().to_numpy(zero_copy_only=False).astype(np.uint64)
+            masks = np.zeros((len(langs), wide), np.uint64)
+            np.bitwise_or.at(masks, (owner, (number // np.uint64(64)).astype(np.int64)), np.uint64(1) << number % np.uint64(64))
+            places = sized.places(batch.column(0).to_numpy(zero_copy_only=False).view(np.uint64))
+            slots, at = np.unique(places.ravel(), return_inverse=True)
+            rows = np.zeros((len(slots), wide), np.uint64)
+            np.bitwise_or.at(rows, at, np.repeat(masks, HASHES, axis=0))
+            slot, word = np.nonzero(rows)
+            yield pa.RecordBatch.from_arrays([pa.array(slots[slot]), pa.array(word.astype(np.int32)), pa.array(rows[slot, word].view(np.int64))], names=["slot", "word", "mask"])
+
+    return chosen.select("gram", "langs").mapInArrow(over, "slot bigint, word int, mask bigint").groupBy("slot", "word").agg(F.bit_or("mask").alias("mask"))
+
+
+def slots_for(kinds: int) -> int:
+    """A power of two of slots for so many n-grams in the largest language: twenty each, within FEWEST_SLOTS and MOST_SLOTS."""
+    return min(max(1 << max(0, 20 * kinds - 1).bit_length(), FEWEST_SLOTS), MOST_SLOTS)
+
+
+def fit(docs: DataFrame, *, where: Column | None = None, lang_col: str = "lang", text_col: str = "text", least_rate: float = 2e-5, least_part: float = 0.05, slots: int | None = None) -> LanguageFilter:
+    """Learn from the rows that fulfil ``where`` and have a language.
+
+    With ``least_rate`` and ``least_part`` at zero the filter has every n-gram of every language.
+    Without ``slots`` their number follows the number of n-grams (``slots_for``).
+    """
     rows = docs if where is None else docs.where(where)
     known = noted_paths(docs.sparkSession)
     grams = materialise(gram_counts(word_counts(rows, lang_col, text_col)), "grams")
-    totals = {r["lang"]: r["n"] for r in grams.groupBy("lang").agg(F.sum("n").alias("n")).collect()}
-    languages = sorted(totals)
-    out = LanguageFilter(languages, np.zeros((slots, max(1, -(-len(languages) // 64))), np.uint64))
+    sums = grams.groupBy("lang").agg(F.sum("n").cast("double").alias("total"), F.count(F.lit(1)).alias("kinds")).orderBy("lang").collect()
+    languages = [r["lang"] for r in sums]
+    kinds = max((r["kinds"] for r in sums), default=0)
+    size = slots or slots_for(kinds if least_rate <= 0 else min(kinds, int(1 / least_rate)))
+    out = LanguageFilter(languages, np.zeros((size, max(1, -(-len(languages) // 64))), np.uint64))
     if languages:
-        sums = grams.sparkSession.createDataFrame([(k, float(v)) for k, v in totals.items()], "lang string, total double")
-        rated = grams.join(F.broadcast(sums), "lang").select("gram", "lang", (F.col("n") / F.col("total")).alias("rate"))
-        peak = rated.groupBy("gram").agg(F.max("rate").alias("peak"), F.collect_list(F.struct("lang", "rate")).alias("all")).where(F.col("peak") >= least_rate)
+        numbered = grams.sparkSession.createDataFrame([(r["lang"], r["total"], k) for k, r in enumerate(sums)], "lang string, total double, k int")
+        rated = grams.join(F.broadcast(numbered), "lang").select("gram", "k", (F.col("n") / F.col("total")).alias("rate"))
+        peak = rated.groupBy("gram").agg(F.max("rate").alias("peak"), F.collect_list(F.struct("k", "rate")).alias("all")).where(F.col("peak") >= least_rate)
         chosen = F.filter("all", lambda x: (x["rate"] >= least_rate) & (x["rate"] >= least_part * F.col("peak")))
-        places = {x: k for k, x in enumerate(languages)}
-        rows = peak.select("gram", F.transform(chosen, lambda x: x["lang"]).alias("langs")).collect()
-        masks = np.zeros((len(rows), out.slots.shape[1]), np.uint64)
-        for k, r in enumerate(rows):
-            for x in r["langs"]:
-                masks[k, places[x] // 64] |= np.uint64(1 << places[x] % 64)
-        for at in out.places(np.array([r["gram"] for r in rows], np.int64).view(np.uint64)).T:
-            np.bitwise_or.at(out.slots, at, masks)
+        found = slot_masks(peak.select("gram", F.transform(chosen, lambda x: x["k"]).alias("langs")), out).toArrow()
+        out.slots[found["slot"].to_numpy(), found["word"].to_numpy()] = found["mask"].to_numpy().view(np.uint64)
     release(docs.sparkSession, [x for x in noted_paths(docs.sparkSession) if x not in known])
     return out
 
