@@ -190,7 +190,8 @@ def keep_rows(docs: DataFrame, verdicts: DataFrame, *, id_col: str = "doc_id", t
     marks = verdicts.groupBy("doc_id", "text_sha256").agg(F.first("kept").alias("kept"), F.count(F.lit(1)).alias("n"))
     marks = materialise(marks.where("not kept or n > 1").select(F.col("doc_id").alias("_id"), F.col("text_sha256").alias("_digest"), "kept"), "marks")
     same = F.col(id_col).eqNullSafe(F.col("_id")) & (digest == F.col("_digest"))
-    left = docs.join(marks, same, "left_anti")
+    # merged at any size, so that the cost has no step where the marks grow too large to broadcast
+    left = docs.join(marks.hint("merge"), same, "left_anti")
     again = marks.where("kept")
     if again.isEmpty():
         return left

@@ -1,20 +1,21 @@
 """Near-duplicates by SimHash, verified by the Jaccard similarity of word shingles (0.8 or more), and every pair beyond.
 
-SimHash (``llm.simhash``) on shingles of five words proposes groups, whose links are verified by
-whole sets. No number of bits bounds that similarity, so pairs beyond the distance are found in
-an exact way, by a prefix filter:
-
 1. Every text gets the set of its shingles of five words, as 64-bit hashes, in one order for all
    texts: rare shingles first, those that are frequent in a sample last. The order changes cost
-   only. Texts with one set are one node.
-2. Two sets of similarity 4/5 share a shingle among the first floor(n / 5) + 1 of each: those
-   meet in buckets, and no pair is missed.
-3. The members of each SimHash group and of each bucket are compared with its least node, which
-   joins the copies of a large group by as many pairs as it has members. Then members of a bucket that are still apart are
-   compared with each other; a bucket above ``block`` members is dealt to several tasks. Pairs
-   whose sizes or counts of shingles by some hash bits (six, for large sets up to twelve) rule
-   the similarity out go no further.
-4. Pairs are verified by the whole sets; connected components over the links give the groups.
+   only. Texts with one set are one node. The same hashes give the SimHash of operator 4.
+2. Operator 4's links between fingerprints are verified by whole sets; what they connect is known
+   from then on, and only what they leave apart is looked for any further.
+3. No number of bits bounds the similarity, so the rest is found in an exact way. Two sets of
+   similarity 4/5 share a shingle among the first floor(n / 5) + 1 of each: those meet in buckets,
+   of which only such with nodes of different components are kept. The rarest shingle that two
+   sets share leaves room for their other common ones behind it in both; a bucket where it
+   doesn't has nothing to say of that pair.
+4. The members of each bucket are compared with the one that has the fewest rarer shingles, as it is alike
+   to the most, which joins the copies of a large group by as many pairs as it has members. Then members of a
+   bucket that are still apart are compared with each other; a bucket above ``block`` members is
+   dealt to several tasks. Pairs whose counts of shingles by some hash bits (six, for large sets
+   up to twelve) rule the similarity out go no further.
+5. Pairs are verified by the whole sets; connected components over the links give the groups.
 """
 
 from __future__ import annotations
@@ -33,7 +34,7 @@ from glotta.llm.exact import keep_rows
 from glotta.llm.graph import connected_components
 
 SHINGLE, SEED, SKETCH = 5, 42, 64
-#: SimHash groups are those of fingerprints that differ in so many bits or fewer.
+#: SimHash links are those of fingerprints that differ in so many bits or fewer.
 DISTANCE = 8
 #: Buckets and pairs are worked on in so many turns, which bounds the shuffle files on disk.
 TURNS = 4
@@ -43,8 +44,8 @@ FILL, MOST_BUCKETS = 320, 4096
 SAMPLE_OF, MOST_FREQUENT = 8, 500_000
 
 
-def shingles(text: bytes) -> np.ndarray:
-    """The distinct hashes of the text's shingles, sorted; a shorter text is one shingle, one without words has none."""
+def hashes(text: bytes) -> np.ndarray:
+    """The hashes of the text's shingles, repeats included; a shorter text is one shingle, one without words has none."""
     import xxhash
 
     words = text.lower().split()
@@ -52,7 +53,12 @@ def shingles(text: bytes) -> np.ndarray:
         parts = [b" ".join(words)] if words else []
     else:
         parts = [b"%b %b %b %b %b" % x for x in zip(*(words[k:] for k in range(SHINGLE)))]
-    return np.unique(np.fromiter((xxhash.xxh64_intdigest(x, SEED) for x in parts), np.uint64, len(parts)))
+    return np.fromiter((xxhash.xxh64_intdigest(x, SEED) for x in parts), np.uint64, len(parts))
+
+
+def shingles(text: bytes) -> np.ndarray:
+    """The distinct hashes of the text's shingles, sorted."""
+    return np.unique(hashes(text))
 
 
 def frequent(docs: DataFrame, text_col: str = "text", held: int = 4_000_000) -> tuple[np.ndarray, np.ndarray]:
@@ -96,16 +102,18 @@ def fine_buckets(n: int) -> int:
 
 
 def with_shingles(docs: DataFrame, text_col: str = "text") -> DataFrame:
-    """``docs`` with node (the set's hash), n, grams (in the order of all texts), sketch (counts by six bits) and fine (by more; empty for small sets)."""
+    """``docs`` with node (the set's hash), n, grams (in the order of all texts), sketch (counts by six bits), fine (by more; empty for small sets) and fp (the SimHash)."""
     shared = broadcast_value(docs, frequent(docs, text_col))
 
     def each(texts: list[bytes]) -> list[pa.Array]:
         import xxhash
 
         known, ranks = shared.value
-        nodes, sets, sketches, finer = [], [], [], []
+        nodes, sets, sketches, finer, prints = [], [], [], [], []
         for text in texts:
-            grams = shingles(text)
+            every = hashes(text)
+            prints.append(simhash.of_hashes(every))
+            grams = np.unique(every)
             nodes.append(xxhash.xxh64_intdigest(grams.tobytes(), SEED))
             sketches.append(sketch(grams, SKETCH))
             buckets = fine_buckets(len(grams))
@@ -117,9 +125,9 @@ def with_shingles(docs: DataFrame, text_col: str = "text") -> DataFrame:
         sizes = np.array([len(x) for x in sets], np.int32)
         ends = np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32)
         grams = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate([np.empty(0, np.int64), *sets])))
-        return [pa.array(np.array(nodes, np.uint64).view(np.int64)), pa.array(sizes), grams, pa.array(sketches, pa.binary()), pa.array(finer, pa.binary())]
+        return [pa.array(np.array(nodes, np.uint64).view(np.int64)), pa.array(sizes), grams, pa.array(sketches, pa.binary()), pa.array(finer, pa.binary()), pa.array(np.array(prints, np.uint64).view(np.int64))]
 
-    fields = [T.StructField("node", T.LongType()), T.StructField("n", T.IntegerType()), T.StructField("grams", T.ArrayType(T.LongType())), T.StructField("sketch", T.BinaryType()), T.StructField("fine", T.BinaryType())]
+    fields = [T.StructField("node", T.LongType()), T.StructField("n", T.IntegerType()), T.StructField("grams", T.ArrayType(T.LongType())), T.StructField("sketch", T.BinaryType()), T.StructField("fine", T.BinaryType()), T.StructField("fp", T.LongType())]
     return map_texts(docs, fields, each, text_col)
 
 
@@ -176,18 +184,18 @@ def possible(pairs: DataFrame, profiles: DataFrame) -> DataFrame:
 
 
 def _apart(members: DataFrame, block: int) -> DataFrame:
-    """(a, b): pairs of one bucket's members (gram, node, n, sketch, component) in different components that can be alike."""
+    """(a, b): pairs of one bucket's members (gram, node, n, at, sketch, component) in different components that can be alike."""
     sizes = members.groupBy("gram").agg(F.count(F.lit(1)).alias("size"), F.min("component").alias("low"), F.max("component").alias("high"))
     chunks = F.ceil(F.col("size") / block).cast("int")
     dealt = (
         members.join(sizes.where("low != high").select("gram", "size"), "gram")
-        .select("gram", "node", "n", "sketch", "component", F.pmod(F.hash("node"), chunks).alias("own"), F.explode(F.sequence(F.lit(0), chunks - 1)).alias("other"))
-        .select(F.xxhash64("gram", F.least("own", "other"), F.greatest("own", "other")).alias("bucket"), "node", "n", "sketch", "component")
+        .select("gram", "node", "n", "at", "sketch", "component", F.pmod(F.hash("node"), chunks).alias("own"), F.explode(F.sequence(F.lit(0), chunks - 1)).alias("other"))
+        .select(F.xxhash64("gram", F.least("own", "other"), F.greatest("own", "other")).alias("bucket"), "node", "n", "sketch", "component", "at")
         .repartition("bucket")
         .sortWithinPartitions("bucket")
     )
 
-    def pairs(bucket, node, n, component, sketch) -> Iterator[pa.RecordBatch]:
+    def pairs(bucket, node, n, component, at, sketch) -> Iterator[pa.RecordBatch]:
         step, open_ = 1, np.arange(len(bucket))
         while len(open_):
             open_ = open_[open_ + step < len(bucket)]
@@ -195,7 +203,7 @@ def _apart(members: DataFrame, block: int) -> DataFrame:
             for k in range(0, len(open_), 65536):
                 a = open_[k : k + 65536]
                 b = a + step
-                ok = (component[a] != component[b]) & (5 * np.minimum(n[a], n[b]) >= 4 * np.maximum(n[a], n[b]))
+                ok = (component[a] != component[b]) & (9 * np.minimum(n[a] - at[a], n[b] - at[b]) >= 4 * (n[a] + n[b]))
                 a, b = a[ok], b[ok]
                 ok = _possible(n[a], n[b], sketch[a], sketch[b])
                 x, y = node[a[ok]], node[b[ok]]
@@ -208,7 +216,7 @@ def _apart(members: DataFrame, block: int) -> DataFrame:
         for batch in batches:
             if not batch.num_rows:
                 continue
-            new = [batch.column(k).to_numpy(zero_copy_only=False) for k in (0, 1, 2, 4)]
+            new = [batch.column(k).to_numpy(zero_copy_only=False) for k in (0, 1, 2, 4, 5)]
             new.append(_sketches(batch.column(3)))
             held = new if held is None else [np.concatenate(x) for x in zip(held, new)]
             other = np.nonzero(held[0] != held[0][-1])[0]
@@ -226,11 +234,18 @@ def _turn(col: str, k: int) -> Column:
     return F.pmod(F.xxhash64(col), F.lit(TURNS)) == k
 
 
-def _proposed(rows: DataFrame, groups: DataFrame) -> DataFrame:
-    """(a, b): the least node of each SimHash group of two nodes or more with each other node of it."""
-    placed = rows.select("doc_id", "node").join(groups.select("doc_id", "component_id"), "doc_id").select("component_id", "node").distinct()
-    least = placed.groupBy("component_id").agg(F.min("node").alias("a"), F.max("node").alias("high")).where("a != high").select("component_id", "a")
-    return placed.join(least, "component_id").where("node != a").select("a", F.col("node").alias("b"))
+def _proposed(profiles: DataFrame, distance: int, block: int) -> DataFrame:
+    """(a, b): operator 4's links between the nodes (node, fp), those of one fingerprint with the least of them."""
+    heads = materialise(profiles.groupBy("fp").agg(F.min("node").alias("node")), "jaccard-heads")
+    near = simhash.links(heads, simhash.plan_partitions(heads, distance), distance, block)
+    same = profiles.select("fp", F.col("node").alias("b")).join(heads, "fp").where("node != b").select(F.col("node").alias("a"), "b")
+    return near.select("a", "b").unionByName(same)
+
+
+def _placed(nodes: DataFrame, links: DataFrame) -> DataFrame:
+    """``nodes`` (node) with the component that the links give them."""
+    # merged at any size, so that the cost has no step where the components grow too large to broadcast
+    return nodes.join(connected_components(links).hint("merge"), "node", "left").withColumn("component", F.coalesce("component", "node"))
 
 
 def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", block: int = 1024, distance: int = DISTANCE) -> DataFrame:
@@ -238,30 +253,28 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
 
     Documents link where the Jaccard similarity of their sets of five-word shingles is 0.8 or
     more; a component is what links connect, and its number means nothing else. ``distance``,
-    that of the SimHash groups, changes cost only. Null texts count as empty; texts without
-    words are alike. Ids may be null or repeat; such rows are left to the prefix filter.
+    that of the SimHash links, decides how much is left to the prefix filter, and so the cost
+    only. Null texts count as empty; texts without words are alike. Ids may be null or repeat.
     """
-    once = docs.groupBy(F.col(id_col).alias("doc_id")).agg(F.count(F.lit(1)).alias("n")).where("n = 1 and doc_id is not null").select("doc_id")
-    groups = simhash.near_duplicates(docs, id_col=id_col, text_col=text_col, shingle=SHINGLE, distance=distance, block=block).join(once, "doc_id", "left_semi")
     named = docs.select(F.col(id_col).alias("doc_id"), F.sha2(text_or_empty(text_col), 256).alias("text_sha256"), F.col(text_col).alias("text"))
     rows = materialise(with_shingles(named).drop("text"), "jaccard-rows")
+    profiles = materialise(rows.groupBy("node").agg(*(F.min(x).alias(x) for x in ("n", "sketch", "fine", "fp"))), "jaccard-profiles")
+    found = verified(possible(_proposed(profiles, distance, block), profiles), rows)
     first = F.slice("grams", F.lit(1), F.floor(F.col("n") / 5).cast("int") + 1)
-    every = rows.select(F.explode(first).alias("gram"), "node", "n")
+    prefixes = materialise(_placed(rows.groupBy("node").agg(F.first("n").alias("n"), F.first(first).alias("first")), found), "jaccard-prefixes")
+    every = prefixes.select(F.posexplode("first").alias("at", "gram"), "node", "n", "component")
 
     def met(marks: DataFrame) -> DataFrame:
-        buckets = marks.groupBy("gram").agg(F.min(F.struct("node", "n")).alias("hub"), F.max("node").alias("high")).where("hub.node != high")
-        return marks.join(buckets.select("gram", "hub"), "gram").select("gram", "node", "n", "hub").distinct()
+        dealt = marks.repartition("gram")
+        buckets = dealt.groupBy("gram").agg(F.min(F.struct("at", "node", "n", "component")).alias("hub"), F.min("component").alias("low"), F.max("component").alias("high"))
+        return dealt.join(buckets.where("low != high").select("gram", "hub"), "gram").select("gram", "at", "node", "n", "component", "hub")
 
     members = materialise_parts([met(every.where(_turn("gram", k))) for k in range(TURNS)], "jaccard-members")
-    profiles = rows.select("node", "n", "sketch", "fine").join(members.select("node").distinct(), "node", "left_semi")
-    profiles = materialise(profiles.groupBy("node").agg(F.min("n").alias("n"), F.min("sketch").alias("sketch"), F.min("fine").alias("fine")), "jaccard-profiles")
-    fits = 5 * F.least("n", "hub.n") >= 4 * F.greatest("n", "hub.n")
-    hubs = members.where(fits & (F.col("node") != F.col("hub.node"))).select(F.col("hub.node").alias("a"), F.col("node").alias("b")).distinct()
-    hubs = hubs.unionByName(_proposed(rows, groups)).distinct()
-    found = verified(possible(hubs, profiles), rows)
-    known = profiles.join(connected_components(found), "node", "left").select("node", "sketch", F.coalesce("component", "node").alias("component"))
-    known = materialise(known, "jaccard-known")
-    apart = [_apart(members.where(_turn("gram", k)).drop("hub").join(known, "node"), block) for k in range(TURNS)]
+    fits = 9 * F.least(F.col("n") - F.col("at"), F.col("hub.n") - F.col("hub.at")) >= 4 * (F.col("n") + F.col("hub.n"))
+    hubs = members.where(fits & (F.col("component") != F.col("hub.component"))).select(F.col("hub.node").alias("a"), F.col("node").alias("b")).distinct()
+    found = found.unionByName(verified(possible(hubs, profiles), rows))
+    known = materialise(_placed(profiles.select("node", "sketch").join(members.select("node").distinct(), "node", "left_semi"), found), "jaccard-known")
+    apart = [_apart(members.where(_turn("gram", k)).drop("hub", "component").join(known, "node"), block) for k in range(TURNS)]
     more = verified(possible(materialise_parts(apart, "jaccard-apart").distinct(), profiles), rows)
     parts = connected_components(found.unionByName(more))
     return rows.join(parts, "node", "left").select("doc_id", "text_sha256", F.coalesce("component", "node").alias("component"))

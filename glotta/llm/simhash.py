@@ -55,12 +55,16 @@ def fingerprint(text: bytes, shingle: int = 3) -> int:
     else:
         parts = [b" ".join(words[i : i + shingle]) for i in range(len(words) - shingle + 1)]
     hash_ = xxhash.xxh64_intdigest
-    hashes = np.fromiter((hash_(x, SEED) for x in parts), np.uint64, len(parts))
+    return of_hashes(np.fromiter((hash_(x, SEED) for x in parts), np.uint64, len(parts)))
+
+
+def of_hashes(hashes: np.ndarray) -> int:
+    """The SimHash of a text's shingle hashes, repeats included; without any it is zero."""
     ones = np.zeros(BITS, np.int64)
     for k in range(0, len(hashes), 65536):
         part = hashes[k : k + 65536].view(np.uint8).reshape(-1, 8)
         ones += np.unpackbits(part, axis=1, bitorder="little").sum(0, dtype=np.int64)
-    return int(np.packbits(2 * ones > len(parts), bitorder="little").view(np.uint64)[0])
+    return int(np.packbits(2 * ones > len(hashes), bitorder="little").view(np.uint64)[0])
 
 
 def with_fingerprint(docs: DataFrame, *, name: str = "fp", shingle: int = 3, text_col: str = "text") -> DataFrame:
