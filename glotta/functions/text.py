@@ -9,11 +9,15 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 # White space, an ASCII word boundary, tokens, elided words.
-_SPACES = "".join(map(chr, [0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000, 0xFEFF]))
-WS = rf"[\t\n\x0B\f\r {_SPACES}]"
+_FAR_SPACES = "".join(map(chr, [0xA0, 0x1680, 0x2000])) + "-" + "".join(map(chr, [0x200A, 0x2028, 0x2029, 0x202F, 0x205F, 0x3000, 0xFEFF]))
+# Ranges, and those beyond ASCII behind one comparison: a letter of a class is otherwise held against each of its members.
+_SPACES = f"[{chr(0xA0)}-{chr(0xFEFF)}&&[{_FAR_SPACES}]]"
+WS = rf"[ \t-\r{_SPACES}]"
+# An ASCII word character where case is folded in all alphabets, as a class that needs no folding.
+_FOLDED_WORD = "(?-iu:[a-z0-9A-Z_" + "".join(map(chr, [0x130, 0x131, 0x17F, 0x212A])) + "])"
 BOUNDARY = r"(?:(?<=[0-9A-Za-z_])(?![0-9A-Za-z_])|(?<![0-9A-Za-z_])(?=[0-9A-Za-z_]))"
 # Possessive, as no part of a token is ever given back: a token of any number of parts needs no stack.
-TOKEN = r"[A-Za-zÀ-ÿŒœÆæ]++(?:[-'’][A-Za-zÀ-ÿŒœÆæ]++)*+"
+TOKEN = r"[a-zA-ZÀ-ÿŒœ]++(?:[-'’][a-zA-ZÀ-ÿŒœ]++)*+"
 ELIDED = r"^(?:l|d|j|m|t|s|n|c|qu|jusqu|puisqu|quoiqu|lorsqu|presqu)'"
 
 #: All letters up to U+024F that carry an accent, and their base letters.
@@ -30,9 +34,9 @@ def ascii_rule(pattern: str) -> str:
     out = pieces[0]
     for before, after in zip(pieces, pieces[1:]):
         if _all_ascii(re.match(r"(\\w|[0-9A-Za-z_])|\(([^()\\]*)\)", after), 0):
-            out += "(?<![0-9A-Za-z_])"
+            out += f"(?<!{_FOLDED_WORD})"
         elif _all_ascii(re.search(r"(\\w\+?|(?<!\\)[0-9A-Za-z_])$|\(([^()\\]*)\)$", before), -1):
-            out += "(?![0-9A-Za-z_])"
+            out += f"(?!{_FOLDED_WORD})"
         else:
             out += BOUNDARY
         out += after
@@ -51,11 +55,12 @@ def quoted(text: Column) -> Column:
 
 def trimmed(text: Column) -> Column:
     # a run of blanks within the text is tried once, at its beginning
-    return F.regexp_replace(text, f"^{WS}++|(?<!{WS}){WS}++$", "")
+    return F.regexp_replace(text, f"^{WS}++|{WS}(?<!{WS}{WS}){WS}*+$", "")
 
 
 def collapsed(text: Column) -> Column:
-    return F.regexp_replace(text, f"{WS}+", " ")
+    # a single blank is left as it is
+    return F.regexp_replace(text, rf" {WS}++|[\t-\r{_SPACES}]{WS}*+", " ")
 
 
 def raw_tokens(text: Column) -> Column:
@@ -64,7 +69,7 @@ def raw_tokens(text: Column) -> Column:
 
 def elision(raw: Column) -> Column:
     """The elided word before a token (``l'``), or empty."""
-    low = F.translate(F.lower(raw), "’", "'")
+    low = F.replace(F.lower(raw), F.lit("’"), F.lit("'"))
     return F.when(low.contains("'"), F.regexp_extract(low, ELIDED, 0)).otherwise("")
 
 
@@ -75,7 +80,7 @@ def word_of(raw: Column) -> Column:
 
 def word_of_low(low: Column) -> Column:
     """``word_of`` of a token in lower case; only a token with an apostrophe meets a pattern."""
-    low = F.translate(low, "’", "'")
+    low = F.replace(low, F.lit("’"), F.lit("'"))
     return F.when(low.contains("'"), F.regexp_replace(low, ELIDED, "")).otherwise(low)
 
 
@@ -86,8 +91,9 @@ def words(text: Column) -> Column:
 
 def sentences(text: Column) -> Column:
     """Sentences of 13 to 399 characters: cut after . ! ? ; : … and white space."""
-    parts = F.split(collapsed(F.coalesce(text, F.lit(""))), r"(?<=[.!?;:…]) +")
-    return F.filter(F.transform(parts, trimmed), lambda s: (F.length(s) > 12) & (F.length(s) < 400))
+    # collapsed texts have no white space but single blanks
+    parts = F.split(collapsed(F.coalesce(text, F.lit(""))), r" (?<=[.!?;:…] )")
+    return F.filter(F.transform(parts, lambda s: F.trim(s)), lambda s: (F.length(s) > 12) & (F.length(s) < 400))
 
 
 def word_count(text: Column) -> Column:
@@ -122,7 +128,8 @@ def grade_answer(answer: Column, expected: Column) -> Column:
 
 def is_number_word(word: Column, numerals: list[str]) -> Column:
     """Whether every part between hyphens is a numeral or digits."""
-    return F.forall(F.split(word, "-"), lambda p: p.isin(numerals) | p.rlike("^[0-9]+$"))
+    is_number = lambda p: p.isin(numerals) | p.rlike("^[0-9]+$")
+    return F.when(word.contains("-"), F.forall(F.split(word, "-"), is_number)).otherwise(is_number(word))
 
 
 def html_to_text(html: Column) -> Column:

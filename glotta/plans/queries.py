@@ -68,9 +68,11 @@ def elisions(spark, sf_dir):
 
 
 def sentence_stats(spark, sf_dir):
-    found = X.sentences(F.col("text"))
-    size = F.aggregate(found, F.lit(0), lambda n, s: n + F.length(s))
-    return _docs(spark, sf_dir).select("doc_id", F.size(found).cast("bigint").alias("n_sentences"), size.cast("bigint").alias("n_chars"))
+    # number and size in one fold, as two columns would cut the text twice
+    start = F.struct(F.lit(0).cast("bigint").alias("n"), F.lit(0).cast("bigint").alias("size"))
+    fold = lambda x, s: F.struct((x["n"] + 1).alias("n"), (x["size"] + F.length(s)).alias("size"))
+    found = _docs(spark, sf_dir).select("doc_id", F.aggregate(X.sentences(F.col("text")), start, fold).alias("x"))
+    return found.select("doc_id", F.col("x.n").alias("n_sentences"), F.col("x.size").alias("n_chars"))
 
 
 def word_stats(spark, sf_dir):
