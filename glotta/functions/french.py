@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -116,12 +118,16 @@ def agreed(adjective: Column, gender: Column, plural: Column | bool = False) ->
     return F.concat(adjective, F.when(gender == "f", "e").otherwise(""), F.when(plural, "s").otherwise(""))
 
 
+def _ends_in(word: Column, endings: str) -> Column:
+    return reduce(lambda a, b: a | b, (word.endswith(x) for x in endings.split("|")))
+
+
 def guessed_pos(word: Column, is_form: Column) -> Column:
     """The part of speech by the ending, where the lexicon has none."""
     return (
         F.when(is_form, "v")
         .when(word.endswith("ment") & (F.length(word) > 5), "adv")
-        .when(word.rlike("(eux|euse|ique|able|ible|ain|el|al)$"), "adj")
+        .when(_ends_in(word, "eux|euse|ique|able|ible|ain|el|al"), "adj")
         .otherwise("n")
     )
 
@@ -132,6 +138,6 @@ def guessed_level(lemma: Column, count: Column) -> Column:
         F.least(count, F.lit(12)) * 3
         + F.when(F.length(lemma) <= 5, 8).when(F.length(lemma) <= 8, 4).otherwise(0)
         + F.when(lemma.endswith("ment"), 3).otherwise(0)
-        + F.when(lemma.rlike("(tion|sion|té)$"), 2).otherwise(0)
+        + F.when(_ends_in(lemma, "tion|sion|té"), 2).otherwise(0)
     )
     return F.when(score >= 30, "A1").when(score >= 20, "A2").when(score >= 12, "B1").otherwise("B2")

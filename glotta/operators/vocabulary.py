@@ -40,7 +40,8 @@ def sentences(docs: DataFrame) -> DataFrame:
 
 
 def is_capital(raw: Column) -> Column:
-    return F.regexp_replace(raw, "^[^A-Za-zÀ-ÿ]+", "").rlike("^[A-ZÀ-Þ]")
+    first = F.substring(raw, 1, 1)  # an ASCII letter decides without a pattern
+    return F.when(first.between("a", "z"), False).when(first.between("A", "Z"), True).otherwise(raw.rlike("^[^A-Za-zÀ-ÿ]*+[A-ZÀ-Þ]"))
 
 
 def surface_lemmas(lexicon: DataFrame) -> DataFrame:
@@ -79,7 +80,7 @@ def lemmatised(words: DataFrame, lexicon: DataFrame, forms: DataFrame) -> DataFr
     by_letters = lexicon.select(F.col("lemma").alias("letters"), F.col("lemma").alias("by_letters"))
     by_form = forms.select(F.col("form").alias("w"), F.col("inf").alias("by_form"))
     found = (
-        words.withColumn("letters", F.regexp_replace("w", "['’]", ""))
+        words.withColumn("letters", F.replace(F.replace("w", F.lit("'"), F.lit("")), F.lit("’"), F.lit("")))
         .join(by_surface, "w", "left")
         .join(by_letters, "letters", "left")
         .join(by_form, "w", "left")
