@@ -41,8 +41,12 @@ def error_issues(docs: DataFrame, lexicon: DataFrame, forms: DataFrame, stop_wor
     genders = lexicon.select(F.col("lemma").alias("w"), "gender")
     verb = forms.select(F.col("form").alias("w"), F.col("inf").alias("verb"))
     verb_after = forms.select(F.col("form").alias("after"), F.lit(True).alias("verb_follows"))
-    marked = near.join(small(accent_index(lexicon, stop_words)), "w", "left").join(genders, "w", "left").join(verb, "w", "left").join(verb_after, "after", "left")
-    w, before, after = F.col("w"), F.col("before"), F.col("after")
+    w, before = F.col("w"), F.col("before")
+    # of the tokens few can be in error; only those meet the other tables
+    near = near.join(small(accent_index(lexicon, stop_words)), "w", "left")
+    near = near.where(F.col("meant").isNotNull() | w.isin([*english, "a", "de", "que"]) | before.isin("le", "la", "un", "une", *ETRE_FORMS))
+    marked = near.join(genders, "w", "left").join(verb, "w", "left").join(verb_after, "after", "left")
+    after = F.col("after")
     masculine = before.isin("le", "un")
     pair = F.concat_ws(" ", "raw_before", "raw")
     checks = [

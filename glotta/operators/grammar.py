@@ -33,21 +33,37 @@ _SUFFIX_RULE = re.compile(r"\\b\\w\+\(([a-z|]+)\)\\b")
 _FIRST_WORDS = re.compile(r"\\b\(?([a-z |]+)\)?\\s\+|\\b\(([a-z |]+)\)")
 
 
+_WORD = "[0-9A-Za-z_]"
+
+
+def _first_words(pattern: str) -> list[str]:
+    """The first words of a rule that begins with given ASCII words, else none."""
+    first = _FIRST_WORDS.match(pattern)
+    return sorted({x.split(" ")[0] for x in (first[1] or first[2]).split("|")}) if first else []
+
+
+def _matches(pattern: str) -> Column:
+    return F.regexp_extract_all("text", F.lit(pattern), F.lit(0))
+
+
+def _one_of(words: list[list[str]]) -> str:
+    return "|".join(sorted({x for part in words for x in part}, key=lambda x: (-len(x), x)))
+
+
 def _hits(pattern: str) -> Column:
-    """All matches of a rule in the column text, whose ASCII words are the column words.
+    """All matches of a rule in the column text, whose ASCII words with an ending of some rule are the column ended, and those that some rule begins with the column begun.
 
     A rule on the ends of words looks at the words alone. One that begins with given ASCII words
     looks at texts that have one of them.
     """
     ends = _SUFFIX_RULE.fullmatch(pattern)
     if ends:
-        return F.filter("words", lambda w: w.rlike(f"(?i).(?:{ends[1]})$"))
-    every = F.regexp_extract_all("text", F.lit(X.ascii_rule(pattern)), F.lit(0))
-    first = _FIRST_WORDS.match(pattern)
-    if not first:
+        return F.filter("ended", lambda w: w.rlike(f"(?i).(?:{ends[1]})$"))
+    every = _matches(X.ascii_rule(pattern))
+    named = _first_words(pattern)
+    if not named:
         return every
-    named = sorted({x.split(" ")[0] for x in (first[1] or first[2]).split("|")})
-    return F.when(F.arrays_overlap("low", F.array(*map(F.lit, named))), every).otherwise(F.array().cast("array<string>"))
+    return F.when(F.arrays_overlap("begun", F.array(*map(F.lit, named))), every).otherwise(F.array().cast("array<string>"))
 
 
 def grammar_hits(docs: DataFrame, rules: list[tuple[str, str, str]] = RULES) -> DataFrame:
@@ -55,8 +71,15 @@ def grammar_hits(docs: DataFrame, rules: list[tuple[str, str, str]] = RULES) ->
 
     samples are the first three distinct matches, trimmed. One pass over the text, no shuffle.
     """
-    texts = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).withColumn("words", F.regexp_extract_all("text", F.lit("[0-9A-Za-z_]+"), F.lit(0)))
-    texts = texts.withColumn("low", F.array_distinct(F.transform("words", F.lower)))
+    texts = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
+    # one pass each for all rules on ends and all first words; most words of a text are of no rule
+    none = F.array().cast("array<string>")
+    ends = _one_of([x[1].split("|") for _, _, p in rules if (x := _SUFFIX_RULE.fullmatch(p))])
+    last = "".join(sorted({x[-1] for x in ends.split("|") if x}))
+    ended = _matches(f"(?i)(?<!{_WORD}){_WORD}++(?<=[{last}])(?<=(?:{ends}))") if ends else none
+    first = _one_of([_first_words(p) for _, _, p in rules if not _SUFFIX_RULE.fullmatch(p)])
+    begun = _matches(f"(?i)(?<!{_WORD})(?:{first})(?!{_WORD})") if first else none
+    texts = texts.withColumns({"ended": ended, "begun": F.array_distinct(F.transform(begun, F.lower))})
     found = [
         F.struct(F.lit(rule).alias("rule"), F.lit(k).alias("rule_ord"), F.lit(level).alias("level"), _hits(pattern).alias("hits"))
         for k, (rule, level, pattern) in enumerate(rules)
