@@ -38,7 +38,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from glotta.llm.common import broadcast_value, last_table, materialise, materialise_parts, noted_paths, only_table, text_bytes
+from glotta.llm.common import arrow_batches, broadcast_value, last_table, materialise, materialise_parts, noted_paths, only_table, text_bytes
 from glotta.llm.exchange import FAN, pack, pack_keys, totals, unpack
 
 #: Tokens in a chunk, about; a longer document is a chunk by itself.
@@ -47,6 +47,8 @@ CHUNK_TOKENS = 400_000
 BUCKETS = 70
 #: Chunks meet their answers in so many turns, which bounds the shuffle files on disk.
 TURNS = 3
+#: Rows of texts and chunks pass to the tasks in batches of about so many bytes; a chunk's row is often one by itself.
+BATCH_BYTES = 4_000_000
 #: Tokens that the first steps of the EM run on.
 START_TOKENS = 200_000
 _END = b" "  # no word contains a space
@@ -320,6 +322,11 @@ def score_documents(docs: DataFrame, *, learn: Column, id_col: str = "doc_id", t
     is learned, every token is unseen. An empty table gives an empty result; other columns of
     ``docs`` are ignored, whatever their names.
     """
+    with arrow_batches(docs.sparkSession, BATCH_BYTES):
+        return _scored(docs, learn, id_col, text_col, chunk_tokens, fan)
+
+
+def _scored(docs: DataFrame, learn: Column, id_col: str, text_col: str, chunk_tokens: int, fan: int) -> DataFrame:
     spark = docs.sparkSession
     before = noted_paths(spark)
     named = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.coalesce(learn, F.lit(False)).alias("learn"), text_bytes(text_col).alias("text"))
