@@ -15,7 +15,7 @@
    bucket that are still apart are compared with each other; a bucket above ``block`` members is
    dealt to several tasks. Pairs whose counts of shingles by some hash bits (six, for large sets
    up to twelve) rule the similarity out go no further.
-5. Pairs are verified by the whole sets; connected components over the links give the groups.
+5. Pairs are verified by the whole sets, of which only those that pairs name are dealt out; connected components over the links give the groups.
 """
 
 from __future__ import annotations
@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from glotta.llm import simhash
-from glotta.llm.common import broadcast_value, last_table, map_texts, materialise, materialise_parts, noted_paths, only_table, text_or_empty
+from glotta.llm.common import arrow_batches, broadcast_value, last_table, map_texts, materialise, materialise_parts, noted_paths, only_table, text_or_empty
 from glotta.llm.exact import keep_rows
 from glotta.llm.graph import connected_components
 
@@ -40,6 +40,10 @@ DISTANCE = 8
 TURNS = 4
 #: Sets of more than ``FILL`` shingles also have finer counts, of about so many for 64 buckets, in at most so many buckets.
 FILL, MOST_BUCKETS = 320, 4096
+#: Rows of texts and sets pass to the tasks in batches of about so many bytes, to hold less of an executor's memory.
+BATCH_BYTES = 4_000_000
+#: The nodes that pairs name are marked in at most so many bits; a power of two.
+MOST_MARKS = 1 << 26
 #: Frequent shingles are sought in one of so many rows; at most so many are put last.
 SAMPLE_OF, MOST_FREQUENT = 8, 500_000
 
@@ -136,12 +140,39 @@ def _alike(both: Column, a: Column, b: Column) -> Column:
     return 9 * both >= 4 * (a + b)
 
 
+def _marked(named: DataFrame, most_bits: int = MOST_MARKS) -> np.ndarray:
+    """A Bloom filter of the nodes (two bits each, from the hash that a node is), as 64-bit words of a bounded number."""
+    bits = min(most_bits, max(1 << 16, 1 << (16 * named.count()).bit_length()))
+    at = F.explode(F.array(*(F.shiftrightunsigned("node", k).bitwiseAND(F.lit(bits - 1)) for k in (0, 32)))).alias("at")
+    one = F.expr("shiftleft(1L, cast(at & 63 as int))")
+    found = named.select(at).groupBy(F.shiftright("at", 6).alias("word")).agg(F.bit_or(one).alias("bits")).toPandas()
+    words = np.zeros(bits >> 6, np.int64)
+    words[found["word"].to_numpy(np.int64)] = found["bits"].to_numpy(np.int64)
+    return words
+
+
+def may_be_named(rows: DataFrame, named: DataFrame, most_bits: int = MOST_MARKS) -> DataFrame:
+    """The rows whose node is among the nodes of ``named``, and few others, found before rows are dealt out."""
+    marks = broadcast_value(rows, _marked(named, most_bits))
+
+    @F.arrow_udf("boolean")
+    def marked(node: pa.Array) -> pa.Array:
+        words, node = marks.value, node.to_numpy(zero_copy_only=False).view(np.uint64)
+        ok = np.ones(len(node), bool)
+        for k in (0, 32):
+            at = ((node >> np.uint64(k)) & np.uint64(64 * len(words) - 1)).astype(np.int64)
+            ok &= (words[at >> 6] >> (at & 63) & 1).astype(bool)
+        return pa.array(ok)
+
+    return rows.where(marked("node"))
+
+
 def verified(pairs: DataFrame, rows: DataFrame) -> DataFrame:
     """The pairs (a, b) of nodes whose sets have a similarity of 0.8 or more."""
     known = noted_paths(rows.sparkSession)
     pairs = materialise(pairs, "jaccard-pairs")
-    named = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
-    sets = materialise(rows.select("node", "grams").join(named, "node", "left_semi").groupBy("node").agg(F.first("grams").alias("grams")), "jaccard-sets")
+    named = materialise(pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct(), "jaccard-named")
+    sets = materialise(may_be_named(rows.select("node", "grams"), named).join(named, "node", "left_semi").groupBy("node").agg(F.first("grams").alias("grams")), "jaccard-sets")
     a, b = (sets.select(F.col("node").alias(x), F.col("grams").alias(f"of_{x}")) for x in "ab")
     both = F.size(F.array_intersect("of_a", "of_b"))
     met = lambda part: part.join(a, "a").join(b, "b").where(_alike(both, F.size("of_a"), F.size("of_b"))).select("a", "b")
@@ -283,7 +314,8 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
 def keep_one(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", block: int = 1024, distance: int = DISTANCE) -> DataFrame:
     """``docs`` with one row of each group, that of the smallest id; a null id is above all others. All columns stay."""
     known = noted_paths(docs.sparkSession)
-    placed = last_table(near_duplicates(docs, id_col=id_col, text_col=text_col, block=block, distance=distance), "jaccard-placed", known)
+    with arrow_batches(docs.sparkSession, BATCH_BYTES):
+        placed = last_table(near_duplicates(docs, id_col=id_col, text_col=text_col, block=block, distance=distance), "jaccard-placed", known)
     place = F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id").alias("id"), F.col("text_sha256").alias("digest"))
     groups = placed.groupBy("component").agg(F.min(place).alias("least"), F.count(F.lit(1)).alias("rows")).where("rows > 1")
     verdicts = placed.join(groups, "component").select("doc_id", "text_sha256", (F.col("least") == place).alias("kept"))
