@@ -45,6 +45,16 @@ def unpack(x: bytes, kind) -> np.ndarray:
     return np.ascontiguousarray(raw.reshape(size, -1).T).reshape(-1).view(kind)
 
 
+def pack_narrow(x: np.ndarray) -> bytes:
+    """Integers of zero or more, in as few byte planes as the largest needs."""
+    size = np.min_scalar_type(int(x.max(initial=0))).itemsize
+    return bytes([size]) + pack(x.astype(f"u{size}"))
+
+
+def unpack_narrow(x: bytes) -> np.ndarray:
+    return unpack(x[1:], f"u{x[0]}")
+
+
 def pack_keys(keys: np.ndarray) -> bytes:
     """Sorted keys, as differences."""
     return pack(np.diff(keys, prepend=np.uint64(0)))

@@ -16,9 +16,10 @@ Corpus counts are looked up in bulk, as most n-grams of a text are keys of their
    whose size grows with the corpus).
 3. Each chunk asks for those of its trigrams whose two bigrams both occur in other chunks; of
    the others its own count is the corpus count.
-4. Tokens with their counts are a table. Each step of the EM is one pass over it, whose sums are
-   exact and of fixed size; the first steps run on the first tokens of one chunk, to start near
-   the solution. Then all documents are scored.
+4. Tokens with their counts are a table. Each chunk's distinct counts, as far as a step of the EM
+   depends on them, are a smaller one; each step is one pass over it, whose sums are exact and of
+   fixed size. The first steps run on the first tokens of one chunk, to start near the solution.
+   Then all documents are scored.
 
 Counts and learning cover all documents, in 64-bit numbers; a task holds a few chunks' worth of
 keys at any size of the corpus. N-grams are compared by 64-bit hashes.
@@ -39,7 +40,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from glotta.llm.common import arrow_batches, broadcast_value, last_table, materialise, materialise_parts, noted_paths, only_table, text_bytes
-from glotta.llm.exchange import FAN, pack, pack_keys, totals, unpack
+from glotta.llm.exchange import FAN, pack, pack_keys, pack_narrow, totals, unpack, unpack_narrow
 
 #: Tokens in a chunk, about; a longer document is a chunk by itself.
 CHUNK_TOKENS = 400_000
@@ -221,6 +222,9 @@ class Counts:
     triple: np.ndarray
     context: np.ndarray
     wide_context: np.ndarray
+    times: np.ndarray | None = None  # how many tokens have these counts; one each if it isn't given
+    wide_bucket: np.ndarray | None = None  # buckets of the contexts, where they are at hand
+    bucket: np.ndarray | None = None
 
     @classmethod
     def read(cls, sizes: np.ndarray, word: bytes, pair: bytes, triple: bytes) -> Counts:
@@ -237,6 +241,23 @@ class Counts:
         """The teaching tokens, each taken out of its counts."""
         return Counts(*(x[teaches][:most] - 1 for x in (self.word, self.pair, self.triple, self.context, self.wide_context)))
 
+    def folded(self) -> tuple[Counts, np.ndarray]:
+        """The distinct counts that a step of the EM depends on, with their times, and the tries that no step changes.
+
+        Without its trigram a token says nothing of the trigrams' weights, so its context there goes, and without its
+        bigram that one goes, too; the tries of their buckets (those of trigrams, then those of bigrams) are kept.
+        """
+        no_triple = self.triple == 0
+        tries = np.concatenate([np.bincount(bucket_of(self.wide_context), minlength=BUCKETS), np.bincount(bucket_of(self.context[no_triple]), minlength=BUCKETS)])
+        context = np.where(no_triple & (self.pair == 0), 0, self.context)
+        columns = [self.word, self.pair, self.triple, context, np.where(no_triple, 0, self.wide_context)]
+        key = np.zeros(len(self.word), np.uint64)
+        for x in columns:
+            key = _mix(key * np.uint64(3) + x.astype(np.uint64))
+        _, first, times = np.unique(key, return_index=True, return_counts=True)
+        columns = [x[first] for x in columns]
+        return Counts(*columns, times, bucket_of(columns[4]), bucket_of(columns[3])), tries.astype(float)
+
 
 @dataclass
 class Weights:
@@ -248,22 +269,26 @@ class Weights:
 
     def parts(self, c: Counts, total: float, base: float) -> tuple[np.ndarray, ...]:
         """The mixture's four parts, which add up to the probability, and the buckets of the contexts."""
-        b3, b2 = bucket_of(c.wide_context), bucket_of(c.context)
+        b3, b2 = (bucket_of(n) if known is None else known for known, n in ((c.wide_bucket, c.wide_context), (c.bucket, c.context)))
         a3, a2 = self.three[b3], self.two[b2]
         p3 = a3 * (c.triple / np.maximum(c.wide_context, 1))
         p2 = (1 - a3) * a2 * (c.pair / np.maximum(c.context, 1))
         rest = (1 - a3) * (1 - a2)
         return p3, p2, rest * self.one * (c.word / max(total, 1.0)), rest * ((1 - self.one) * base), b3, b2
 
-    def sums(self, c: Counts, total: float, base: float) -> np.ndarray:
-        """The E step: expected uses and tries of each weight, in one row."""
+    def sums(self, c: Counts, total: float, base: float, tries: np.ndarray | None = None) -> np.ndarray:
+        """The E step: expected uses and tries of each weight, in one row; ``tries`` are those of folded counts."""
         p3, p2, p1, p0, b3, b2 = self.parts(c, total, base)
         p = p3 + p2 + p1 + p0
-        s3, s2, s1 = p3 / p, p2 / p, p1 / p
-        left = 1 - s3
-        return np.concatenate([
-            np.bincount(b3, s3, BUCKETS), np.bincount(b3, minlength=BUCKETS), np.bincount(b2, s2, BUCKETS), np.bincount(b2, left, BUCKETS), [s1.sum(), (left - s2).sum()]
-        ])
+        n = 1 if c.times is None else c.times
+        s3, s2, s1 = p3 / p * n, p2 / p * n, p1 / p * n
+        left = n - s3
+        if tries is None:
+            try3, try2 = np.bincount(b3, minlength=BUCKETS), np.bincount(b2, left, BUCKETS)
+        else:
+            known = c.triple > 0
+            try3, try2 = tries[:BUCKETS], tries[BUCKETS:] + np.bincount(b2[known], left[known], BUCKETS)
+        return np.concatenate([np.bincount(b3, s3, BUCKETS), try3, np.bincount(b2, s2, BUCKETS), try2, [s1.sum(), (left - s2).sum()]])
 
     @classmethod
     def of(cls, sums: np.ndarray) -> Weights:
@@ -281,6 +306,21 @@ class Weights:
         return float(max(np.abs(self.three - other.three).max(), np.abs(self.two - other.two).max(), abs(self.one - other.one)))
 
 
+def _folded(counted: DataFrame) -> DataFrame:
+    """The folded counts of each chunk's teaching tokens, which the EM reads again and again."""
+
+    def over(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for learn, sizes, *packed in _rows(batches):
+            sizes = unpack(sizes, np.int64)
+            counts, tries = Counts.read(sizes, *packed).without_own(np.repeat(np.array(learn, bool), sizes)).folded()
+            values = [pack_narrow(getattr(counts, x)) for x in names[1:]]
+            yield pa.RecordBatch.from_arrays([pa.array([tries], pa.list_(pa.float64())), *(pa.array([x], pa.binary()) for x in values)], names=names)
+
+    names = ["tries", "word", "pair", "triple", "context", "wide_context", "times", "wide_bucket", "bucket"]
+    schema = "tries array<double>, " + ", ".join(f"{x} binary" for x in names[1:])
+    return counted.select("learn", "sizes", "word", "pair", "triple").mapInArrow(over, schema)
+
+
 def learn_weights(counted: DataFrame, total: int, base: float, *, start_rounds: int = 60, rounds: int = 12, tolerance: float = 2e-3) -> Weights:
     """Weights by EM on the deleted counts: steps on the first tokens of one chunk, then steps over all until no weight moves by more than ``tolerance``."""
     deleted = max(1.0, total - 1.0)
@@ -293,18 +333,19 @@ def learn_weights(counted: DataFrame, total: int, base: float, *, start_rounds:
         near = Counts.read(sizes, *map(bytes, packed)).without_own(np.repeat(np.array(learn, bool), sizes), START_TOKENS)
         for _ in range(start_rounds):
             weights = Weights.of(weights.sums(near, deleted, base))
-    for _ in range(rounds if start else 0):
+    if not start:
+        return weights
+    folded = materialise(_folded(taught), "folded")
+    for _ in range(rounds):
         shared = broadcast_value(counted, weights)
 
         def step(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
             sums = np.zeros(4 * BUCKETS + 2)
-            for learn, sizes, *packed in _rows(batches):
-                sizes = unpack(sizes, np.int64)
-                teaching = Counts.read(sizes, *packed).without_own(np.repeat(np.array(learn, bool), sizes))
-                sums += shared.value.sums(teaching, deleted, base)
+            for tries, *packed in _rows(batches):
+                sums += shared.value.sums(Counts(*map(unpack_narrow, packed)), deleted, base, np.array(tries))
             yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(sums))), pa.array(sums)], names=["k", "x"])
 
-        found = counted.select("learn", "sizes", "word", "pair", "triple").mapInArrow(step, "k bigint, x double").groupBy("k").agg(F.sum("x").alias("x")).orderBy("k").collect()
+        found = folded.mapInArrow(step, "k bigint, x double").groupBy("k").agg(F.sum("x").alias("x")).orderBy("k").collect()
         before, weights = weights, Weights.of(np.array([r["x"] for r in found]))
         if weights.moved(before) <= tolerance:
             break
