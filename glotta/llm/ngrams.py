@@ -40,7 +40,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from glotta.llm.common import arrow_batches, broadcast_value, last_table, materialise, materialise_parts, noted_paths, only_table, text_bytes
-from glotta.llm.exchange import FAN, pack, pack_keys, pack_narrow, totals, unpack, unpack_narrow
+from glotta.llm.exchange import FAN, distinct, pack, pack_keys, pack_narrow, totals, unpack, unpack_narrow
 
 #: Tokens in a chunk, about; a longer document is a chunk by itself.
 CHUNK_TOKENS = 400_000
@@ -52,6 +52,8 @@ TURNS = 3
 BATCH_BYTES = 4_000_000
 #: Tokens that the first steps of the EM run on.
 START_TOKENS = 200_000
+#: Odd numbers without a pattern; sums of products with them tell tuples of counts apart.
+_ODD = (0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F)
 _END = b" "  # no word contains a space
 
 
@@ -77,8 +79,9 @@ class Grams:
         self.stream = unpack(stream, np.uint32).astype(np.int64)
         before = np.concatenate([[0], self.stream[:-1]])
         self.first = before == 0
-        pairs, self.pair_of = np.unique(before << 32 | self.stream, return_inverse=True)
-        self.pairs = _joined(self.words[pairs >> 32], self.words[pairs & 0xFFFFFFFF])
+        size = len(self.words)
+        pairs, _, self.pair_of = distinct(before * size + self.stream)
+        self.pairs = _joined(self.words[pairs // size], self.words[pairs % size])
         self.ends = np.nonzero(self.stream == 0)[0]
         self.sizes = np.diff(np.concatenate([[-1], self.ends]))
 
@@ -90,47 +93,50 @@ class Grams:
         """The sorted keys of words and bigrams, how often the teaching documents have them, and their order."""
         weight = self.teaches(learn).astype(float)
         n = np.concatenate([np.bincount(self.stream, weight, len(self.words)), np.bincount(self.pair_of, weight, len(self.pairs))])
-        keys, order, place = np.unique(np.concatenate([self.words, self.pairs]), return_index=True, return_inverse=True)
+        keys, order, place = distinct(np.concatenate([self.words, self.pairs]))
         return keys, n.astype(np.int64)[order], place
 
     def triples(self, learn: list[bool], outside: np.ndarray):
-        """Numbers of the tokens that have a trigram, which trigram, own counts, keys, and which are to be asked for: those whose two bigrams other chunks have."""
+        """Numbers of the tokens that have a trigram, which trigram, own counts, which are to be asked for (those whose two bigrams other chunks have), and their keys."""
         teaches = self.teaches(learn)
         at = np.nonzero(~self.first)[0]
         size = max(1, len(self.pairs))
-        found, triple_of = np.unique(self.pair_of[at - 1] * size + self.pair_of[at], return_inverse=True)
+        found, _, triple_of = distinct(self.pair_of[at - 1] * size + self.pair_of[at])
         own = np.bincount(triple_of, teaches[at], len(found)).astype(np.int64)
         a, b = found // size, found % size
-        return at, triple_of, own, _joined(self.pairs[a], self.pairs[b]), outside[a] & outside[b]
+        ask = outside[a] & outside[b]
+        return at, triple_of, own, ask, _joined(self.pairs[a[ask]], self.pairs[b[ask]])
 
 
 def _chunks(docs: DataFrame, chunk_tokens: int) -> DataFrame:
     """(chunk, ids, learn, words, stream): doc ids and training flags in the order of the stream."""
 
     def over(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[tuple[int | None, bool, list[bytes]]] = []
+        held: list[tuple[int | None, bool]] = []
+        tokens: list[bytes] = []
         names = ["chunk", "ids", "learn", "words", "stream"]
 
         def chunk():
-            ids, learn, lists = zip(*held, strict=True)
-            flat = pa.array([w for x in lists for w in (*x, _END)], pa.binary()).dictionary_encode()
-            words = [_END, *flat.dictionary.to_pylist()]
-            number = np.arange(1, len(words), dtype=np.uint32)
+            ids, learn = zip(*held, strict=True)
+            flat = pa.array(tokens, pa.binary()).dictionary_encode()
+            size = len(flat.dictionary)
+            number = np.arange(1, size + 1, dtype=np.uint32)
             number[pc.index(flat.dictionary, pa.scalar(_END, pa.binary())).as_py()] = 0
             stream = number[flat.indices.to_numpy()]
-            hashes = np.fromiter(map(xxhash.xxh3_64_intdigest, words), np.uint64, len(words))
+            words = [_END, *flat.dictionary.to_numpy(zero_copy_only=False)]
+            hashes = np.frombuffer(b"".join(map(xxhash.xxh3_64_digest, words)), ">u8").astype(np.uint64)
             name = uuid.uuid4().int >> 65  # chunks are written once, so the name holds from then on
             held.clear()
+            tokens.clear()
             return pa.RecordBatch.from_arrays([pa.array([name], pa.int64()), pa.array([list(ids)], pa.list_(pa.int64())), pa.array([list(learn)], pa.list_(pa.bool_())), pa.array([pack(hashes)], pa.binary()), pa.array([pack(stream)], pa.binary())], names=names)
 
-        size = 0
         for batch in batches:
-            for doc_id, learn, text in _rows([batch]):
-                held.append((doc_id, learn, text.lower().split()))
-                size += len(held[-1][2]) + 1
-                if size >= chunk_tokens:
+            for doc_id, learn, text in zip(*(column.to_pylist() for column in batch.columns), strict=True):
+                held.append((doc_id, learn))
+                tokens.extend(text.lower().split())
+                tokens.append(_END)
+                if len(tokens) >= chunk_tokens:
                     yield chunk()
-                    size = 0
         if held:
             yield chunk()
 
@@ -169,9 +175,9 @@ def _known(chunks: DataFrame, answers: DataFrame) -> DataFrame:
             _, _, place = grams.ask_words_and_pairs(learn)
             n = _all(parts)[place]
             word, pair = n[: len(grams.words)], n[len(grams.words) :]
-            at, triple_of, own, keys, ask = grams.triples(learn, (pair & 1).astype(bool))
-            asked, first, order = np.unique(keys[ask], return_index=True, return_inverse=True)
-            places = np.zeros(len(keys), np.int32)
+            at, triple_of, own, ask, keys = grams.triples(learn, (pair & 1).astype(bool))
+            asked, first, order = distinct(keys)
+            places = np.zeros(len(own), np.int32)
             places[ask] = order + 1
             pair = (pair >> 1)[grams.pair_of]
             triple, place = pair.copy(), np.zeros(len(pair), np.int32)  # a first token's trigram is its bigram
@@ -251,10 +257,9 @@ class Counts:
         tries = np.concatenate([np.bincount(bucket_of(self.wide_context), minlength=BUCKETS), np.bincount(bucket_of(self.context[no_triple]), minlength=BUCKETS)])
         context = np.where(no_triple & (self.pair == 0), 0, self.context)
         columns = [self.word, self.pair, self.triple, context, np.where(no_triple, 0, self.wide_context)]
-        key = np.zeros(len(self.word), np.uint64)
-        for x in columns:
-            key = _mix(key * np.uint64(3) + x.astype(np.uint64))
-        _, first, times = np.unique(key, return_index=True, return_counts=True)
+        key = sum(x.view(np.uint64) * np.uint64(by) for x, by in zip(columns, _ODD, strict=True))
+        _, first, place = distinct(key)
+        times = np.bincount(place, minlength=len(first))
         columns = [x[first] for x in columns]
         return Counts(*columns, times, bucket_of(columns[4]), bucket_of(columns[3])), tries.astype(float)
 
