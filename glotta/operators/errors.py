@@ -30,7 +30,8 @@ def neighbours(docs: DataFrame) -> DataFrame:
     lists = docs.select("doc_id", X.raw_tokens(F.col("text")).alias("raws"))
     lists = lists.select("doc_id", "raws", F.transform("raws", X.word_of).alias("ws"))
     none = F.array(F.lit(None).cast("string"))
-    moved = lambda x, name: (F.concat(none, F.slice(x, F.lit(1), F.size(x) - 1)).alias(f"{name}before"), F.concat(F.slice(x, F.lit(2), F.size(x)), none).alias(f"{name}after"))
+    # cut to the list's own length, so that an empty list stays empty
+    moved = lambda x, name: (F.slice(F.concat(none, x), F.lit(1), F.size(x)).alias(f"{name}before"), F.slice(F.concat(x, none), F.lit(2), F.size(x)).alias(f"{name}after"))
     zipped = F.arrays_zip(F.col("raws").alias("raw"), F.col("ws").alias("w"), *moved("ws", ""), *moved("raws", "raw_"))
     return lists.select("doc_id", F.posexplode(zipped).alias("pos", "x")).select("doc_id", "pos", "x.*")
 
