@@ -33,7 +33,7 @@ def test_neighbours(spark):
     ]
 
 
-@pytest.mark.parametrize("name", ["error_hits"])
+@pytest.mark.parametrize("name", ["error_hits", "error_report"])
 def test_query(spark, folders, name):
     for folder in folders:
         con = duckdb.connect()
