@@ -33,7 +33,7 @@ def test_neighbours(spark):
     ]
 
 
-@pytest.mark.parametrize("name", ["error_hits", "error_report", "skill_scores"])
+@pytest.mark.parametrize("name", ["error_hits", "error_report", "skill_scores", "skills_radar"])
 def test_query(spark, folders, name):
     for folder in folders:
         con = duckdb.connect()
